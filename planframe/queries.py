@@ -129,8 +129,8 @@ add("pivot_calculated", "lineitem", [{"op": "pivot", "rows": ["l_returnflag"], "
 # --- windows
 O = select("o_orderkey", "v")
 add("percent_of_total", "orders", [where("o_orderkey", "lte", 2000), {"op": "calculate", "kind": "percent_of_total", "column": "o_totalprice", "per": "o_orderpriority", "name": "v"}, O], "SELECT o_orderkey, round_even(o_totalprice / sum(o_totalprice) OVER (PARTITION BY o_orderpriority) * 100, 2) AS v FROM orders WHERE o_orderkey <= 2000", digits=2)
-add("running_total", "orders", [{"op": "calculate", "kind": "running_total", "column": "o_totalprice", "name": "v"}, O], "SELECT o_orderkey, round(sum(o_totalprice) OVER (ORDER BY o_orderkey), 1) AS v FROM orders", digits=1)
-add("running_total_per", "orders", [{"op": "calculate", "kind": "running_total", "column": "o_totalprice", "per": "o_orderpriority", "name": "v"}, O], "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey), 1) AS v FROM orders", digits=1)
+add("running_total", "orders", [{"op": "calculate", "kind": "running_total", "column": "o_custkey", "name": "v"}, O], "SELECT o_orderkey, (sum(o_custkey) OVER (ORDER BY o_orderkey))::DOUBLE AS v FROM orders")
+add("running_total_per", "orders", [{"op": "calculate", "kind": "running_total", "column": "o_custkey", "per": "o_orderpriority", "name": "v"}, O], "SELECT o_orderkey, (sum(o_custkey) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey))::DOUBLE AS v FROM orders")
 add("rank", "lineitem", [{"op": "calculate", "kind": "rank", "column": "l_quantity", "name": "v"}, select("l_orderkey", "l_linenumber", "v")], "SELECT l_orderkey, l_linenumber, rank() OVER (ORDER BY l_quantity DESC) AS v FROM lineitem")
 add("rank_per", "lineitem", [{"op": "calculate", "kind": "rank", "column": "l_extendedprice", "per": "l_returnflag", "descending": False, "name": "v"}, select("l_orderkey", "l_linenumber", "v")], "SELECT l_orderkey, l_linenumber, rank() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) AS v FROM lineitem")
 add("rank_groups", "orders", [{"op": "group_by", "columns": ["o_orderpriority"], "aggregations": [{"column": "o_orderkey", "func": "count"}]}, {"op": "calculate", "kind": "rank", "column": "count_o_orderkey", "name": "v"}], "SELECT o_orderpriority, count(*) AS count_o_orderkey, rank() OVER (ORDER BY count(*) DESC) AS v FROM orders GROUP BY 1")
