@@ -81,7 +81,7 @@ add("filter_two_columns", "lineitem", [{"op": "filter_formula", "formula": "=[l_
 add("select_columns", "lineitem", [LINE], f"SELECT {L} FROM lineitem")
 add("drop_columns", "nation", [{"op": "drop_columns", "columns": ["n_regionkey"]}], "SELECT n_nationkey, n_name FROM nation")
 add("rename", "nation", [{"op": "rename", "mapping": {"n_name": "n_nationkey", "n_nationkey": "n_name"}}], "SELECT n_name AS n_nationkey, n_nationkey AS n_name, n_regionkey FROM nation")
-add("compute_tax", "lineitem", [{"op": "compute", "name": "taxed", "expr": "round([l_extendedprice] * (1 - [l_discount]) * (1 + [l_tax]), 2)"}, select("l_orderkey", "l_linenumber", "taxed")], "SELECT l_orderkey, l_linenumber, round_even(l_extendedprice * (1.0::DOUBLE - l_discount) * (1.0::DOUBLE + l_tax), 2) AS taxed FROM lineitem", digits=1)
+add("compute_tax", "lineitem", [{"op": "compute", "name": "taxed", "expr": "round([l_extendedprice] * (1 - [l_discount]) * (1 + [l_tax]), 2)"}, select("l_orderkey", "l_linenumber", "taxed")], "SELECT l_orderkey, l_linenumber, round_even(l_extendedprice * (1.0::DOUBLE - l_discount) * (1.0::DOUBLE + l_tax), 2) AS taxed FROM lineitem", digits=2)
 add("compute_div_zero", "lineitem", [{"op": "compute", "name": "ratio", "expr": "[l_tax] / [l_discount]"}, select("l_orderkey", "l_linenumber", "ratio")], "SELECT l_orderkey, l_linenumber, round(l_tax / nullif(l_discount, 0), 4) AS ratio FROM lineitem")
 add("days_between", "lineitem", [{"op": "compute", "name": "age", "expr": "days([l_shipdate], today())"}, {"op": "compute", "name": "w", "expr": "weeks([l_shipdate], today())"}, select("l_orderkey", "l_linenumber", "age", "w")], f"SELECT l_orderkey, l_linenumber, (DATE '{TODAY}' - l_shipdate::DATE)::DOUBLE AS age, floor((DATE '{TODAY}' - l_shipdate::DATE) / 7.0)::DOUBLE AS w FROM lineitem")
 _M = f"(year(DATE '{TODAY}') - year(o_orderdate)) * 12 + month(DATE '{TODAY}') - month(o_orderdate) - CASE WHEN day(DATE '{TODAY}') < day(o_orderdate) THEN 1 ELSE 0 END"
