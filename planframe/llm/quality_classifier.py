@@ -1,7 +1,7 @@
 """Quality classifier: ordinal cumulative-link (proportional odds) regression on graded ratings.
 
 Grades come from the ratings: 0 bad quality or toxic text, 1 middling, 2 good, whatever levels occur.
-Features are the distinct words of a document (ASCII lower-cased) hashed into ``2**bits`` buckets; all
+Features are the distinct words of a document (ASCII lower-cased) and three tokens for its shape, hashed into ``2**bits`` buckets; all
 grades share one weight per bucket, and ordered thresholds cut the score:
 ``P(grade > k) = sigmoid(w.x - theta_k)``. The expected grade is the sum of these tail probabilities, and
 the tail probability of the selection is ``P(grade >= select_grade)``.
@@ -10,7 +10,7 @@ Fitting uses a bounded sample: at most ``sample_rows`` rated documents (those of
 is a bitmap of ``2**bits`` bits, so the driver holds at most ``sample_rows * 2**bits / 8`` bytes. Scoring
 covers every document in one scan, with the weights (``8 * 2**bits`` bytes) broadcast.
 
-Defined results. Null or blank text: no features, so the thresholds alone decide. No ratings: expected
+Defined results. Null or blank text: only the shape tokens decide. No ratings: expected
 grade and tail probability null, everything kept. Repeated rows: a row each. Empty table: no rows.
 """
 
@@ -27,10 +27,22 @@ from . import text as T
 from .storage import text_or_empty
 
 
+_SHAPES = T.mix(np.arange(1, 4, dtype=np.uint64) * T.U64(0xC2B2AE3D27D4EB4F))
+
+
 def features(part: T.Buffers, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and buckets, each pair once, in order of rows."""
+    """Rows and buckets, each pair once, in order of rows: the words, and three tokens for the shape of the text
+    (share of distinct words, share of symbols, length), hashed like words."""
     found = T.words(part, T.PUNCTUATION, fold=True)
-    key = np.unique((found.row.astype(np.int64) << bits) | (found.hash >> T.U64(64 - bits)).astype(np.int64))
+    shift = T.U64(64 - bits)
+    key = np.unique((found.row.astype(np.int64) << bits) | (found.hash >> shift).astype(np.int64))
+    n = np.maximum(found.counts(part.rows), 1)
+    distinct = np.bincount(key >> bits, minlength=part.rows)
+    symbols = part.per_row(T.PUNCTUATION[part.data] & ~T.WHITE[part.data])
+    shapes = [np.minimum(10, 10 * distinct // n), np.minimum(20, 4 * symbols // n), np.log2(n).astype(np.int64)]
+    rows = np.arange(part.rows, dtype=np.int64)
+    more = [(rows << bits) | (T.mix(x.astype(np.uint64) ^ seed) >> shift).astype(np.int64) for x, seed in zip(shapes, _SHAPES)]
+    key = np.unique(np.concatenate([key, *more]))
     return key >> bits, key & ((1 << bits) - 1)
 
 
@@ -45,8 +57,9 @@ class Ordinal:
         return 1 / (1 + np.exp(np.clip(self.thresholds[:, None] - score[None, :], -60, 60)))
 
 
-def fit(row: np.ndarray, bucket: np.ndarray, grade: np.ndarray, bits: int, steps: int = 400, ridge: float = 2e-3, rate: float = 0.1) -> Ordinal:
-    """Maximum likelihood with a ridge by Adam over the whole sample; thresholds stay ordered by their gaps' logarithms."""
+def fit(row: np.ndarray, bucket: np.ndarray, grade: np.ndarray, bits: int, steps: int = 300, lasso: float = 1e-3, rate: float = 0.1) -> Ordinal:
+    """Maximum likelihood with a lasso, by Adam with soft thresholding, then without it over the
+    buckets that the lasso kept; thresholds stay ordered by their gaps' logarithms."""
     levels = np.unique(grade)
     y = np.searchsorted(levels, grade)
     k, n, size = len(levels), len(grade), 1 << bits
@@ -56,8 +69,11 @@ def fit(row: np.ndarray, bucket: np.ndarray, grade: np.ndarray, bits: int, steps
     theta = -np.log(share / (1 - share))
     free = np.concatenate([theta[:1], np.log(np.maximum(np.diff(theta), 1e-3))])
     x = np.concatenate([np.zeros(size), free])
-    m, v = np.zeros_like(x), np.zeros_like(x)
-    for step in range(1, steps + 1):
+    kept = np.ones(len(x))
+    for step in [*range(1, steps + 1), *range(1, steps // 2 + 1)]:
+        if step == 1:
+            m, v = np.zeros_like(x), np.zeros_like(x)
+            rest = lasso if kept.all() else lasso / 10
         w, f = x[:size], x[size:]
         gaps = np.exp(f[1:])
         theta = f[0] + np.concatenate([[0], np.cumsum(gaps)])
@@ -72,10 +88,14 @@ def fit(row: np.ndarray, bucket: np.ndarray, grade: np.ndarray, bits: int, steps
         d_s = (up - down) / p
         d_theta = np.array([(-(up / p)[y == j + 1]).sum() + (down / p)[y == j].sum() for j in range(k - 1)])
         d_free = np.concatenate([[d_theta.sum()], [gaps[j] * d_theta[j + 1 :].sum() for j in range(k - 2)]])
-        grad = np.concatenate([-np.bincount(bucket, weights=d_s[row], minlength=size) / n + ridge * w * 0.1, -d_free / n])
+        grad = np.concatenate([-np.bincount(bucket, weights=d_s[row], minlength=size) / n, -d_free / n])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         pace = rate * (1 - step / (steps + 1))
-        x = x - pace * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        scale = np.sqrt(v / (1 - 0.999**step)) + 1e-4
+        x = x - kept * pace * (m / (1 - 0.9**step)) / scale
+        x[:size] = np.sign(x[:size]) * np.maximum(0, np.abs(x[:size]) - pace * rest / scale[:size])
+        if step == steps:
+            kept[:size] = x[:size] != 0
     return Ordinal(x[:size], x[size] + np.concatenate([[0], np.cumsum(np.exp(x[size + 1 :]))]), levels)
 
 
@@ -122,7 +142,7 @@ def train(docs: DataFrame, ratings: DataFrame, bits: int = 16, sample_rows: int
     return fit(np.concatenate(rows), np.concatenate(buckets), np.array(grades), bits)
 
 
-def grade_documents(docs: DataFrame, model: Ordinal, bits: int = 16, select_grade: int = 2, select_probability: float = 0.5) -> DataFrame:
+def grade_documents(docs: DataFrame, model: Ordinal, bits: int = 16, select_grade: int = 2, select_probability: float = 0.75) -> DataFrame:
     """doc_id, raw_score, expected_grade, tail_prob, kept for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
