@@ -540,7 +540,7 @@ class Compiler:
             return self.cell("text", F.when(o == "", s).otherwise(F.replace(s, o, n)), *e)
         k, ek = self.num(self.compile(nth))
         k = k.cast("int")
-        head = F.substring_index(s, o, k)
+        head = F.call_function("substring_index", s, o, k)
         has = (o != "") & (F.length(head) + F.length(o) <= F.length(s)) & (F.size(F.split(s, F.concat(F.lit(r"\Q"), F.replace(o, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E")), -1)) > k)
         return self.cell("text", F.when(has, F.concat(head, n, F.substring(s, F.length(head) + F.length(o) + 1, F.length(s)))).otherwise(s), *e, ek, F.when(k < 1, VALUE))
 
