@@ -255,7 +255,7 @@ PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style><script
 
 def test_html_extraction(spark, empty):
     article = "<article><header><h1>Head &amp; line</h1><p>by me</p></header><p><b>One   two<br>three<p>Four\n five</p><div class='share'>Share</div><ul><li>a<li>b</ul></article>"
-    plain = lambda i: f"<div><p>Welcome to our little site</p><p>Story {i} is about {'x' * i} and nothing else at all, told at length number {i}</p><p>Come back soon</p></div>"
+    plain = lambda i: f"<div><p>Welcome to our little site</p><p>Story {i} is about {'x' * (i + 1)} and nothing else at all, told at length number {i}</p><p>Come back soon</p></div>"
     rows = [(1, "http://a.example/x/1", PAGE.format(main=article)), (2, None, None), (3, "http://a.example/x/2", "")]
     rows += [(10 + i, f"http://b.example/s/{i}?q=1", PAGE.format(main=plain(i))) for i in range(8)]
     rows += [(30, "http://c.example/1", PAGE.format(main=plain(3))), (31, "http://c.example/2", PAGE.format(main=plain(3)))]
@@ -265,7 +265,7 @@ def test_html_extraction(spark, empty):
     assert got[1]["text"] == "Head & line\nOne two three\nFour five\na\nb" and got[1]["n_chars"] == len(got[1]["text"])
     assert got[2]["text"] == "" and got[3]["text"] == ""
     for i in range(8):
-        assert got[10 + i]["text"] == f"Story {i} is about {'x' * i} and nothing else at all, told at length number {i}"
+        assert got[10 + i]["text"] == f"Story {i} is about {'x' * (i + 1)} and nothing else at all, told at length number {i}"
     assert "Story 3" in got[30]["text"] and got[30]["text"] == got[31]["text"]  # copies do not delete each other
     assert html_extraction.extract(pages.limit(0)).count() == 0
 
