@@ -8,8 +8,9 @@ blocks are marked. A page that shares most of its text with a neighbour is a cop
 next neighbour is taken instead. ``open`` blocks that are shared are deleted, ``out`` blocks always. Blocks inside an
 article that its author marked as such stay even when shared: two articles may quote one passage.
 
-Scale. One parse, then only blocks travel. Neighbours come from a global sort, cut into runs of
-``run`` pages that overlap by ``reach``, so a host with a third of all pages is spread over many runs.
+Scale. URLs alone are sorted first, which gives the edges of ranges of some thousand pages, so a host with a third of all
+pages is spread over many ranges. Then pages are parsed once and their packed blocks shuffled once, to their range and, near
+an edge, to the next; a task walks its range with a window of few pages.
 
 Defined results. Null html: empty text. Null url: no host, no neighbours. Repeated rows: a row each. A page without main blocks:
 its open blocks. Empty table: no rows.
@@ -17,15 +18,16 @@ its open blocks. Empty table: no rows.
 
 from __future__ import annotations
 
+import bisect
+import json
 import re
+import zlib
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialise
-
 #: Elements whose text is never part of the article.
 SILENT = {"script", "style", "noscript", "template", "head", "title", "svg", "iframe", "object", "canvas", "audio", "video", "select", "textarea", "button", "datalist"}
 OUT = {"nav", "footer", "aside", "form", "menu", "dialog"}
@@ -213,50 +215,104 @@ def text_of(blocks: list[tuple[str, str]], shared: list[bool]) -> str:
     return "\n".join(t for (zone, t), s in zip(blocks, shared) if zone == "main" or zone == "open" and not has_main and not s)
 
 
-def extract(pages: DataFrame, run: int = 256, reach: int = 3) -> DataFrame:
+def _address(url) -> tuple:
+    """Host and path of a URL; both empty where it has none."""
+    bare = F.regexp_replace(F.coalesce(url, F.lit("")), r"[#?].*$", "")
+    return F.lower(F.regexp_extract(bare, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/]*)", 1)), F.regexp_extract(bare, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/]*(.*)$", 1)
+
+
+def ranges(keyed: DataFrame, reach: int, per_range: int, most: int) -> tuple[list[bytes], list[bytes], list[bytes]]:
+    """The sorted keys in ranges of about ``per_range`` rows: the first key of each, and the keys of ``reach`` rows before and after it.
+
+    Only ``2 * reach`` keys of each of ``most`` ranges at most come to the driver.
+    """
+    n = max(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(most, -(-keyed.count() // per_range)))
+
+    def edges(batches):
+        head, tail, at = [], [], None
+        for batch in batches:
+            keys = batch.column(0)
+            if len(keys):
+                at = batch.column(1)[0].as_py()
+                head += keys.slice(0, max(0, reach - len(head))).to_pylist()
+                tail = (tail + keys.slice(max(0, len(keys) - reach)).to_pylist())[-reach:]
+        if head:
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([head], pa.list_(pa.binary())), pa.array([tail], pa.list_(pa.binary()))], ["at", "head", "tail"])
+
+    placed = keyed.select("key").repartitionByRange(n, "key").sortWithinPartitions("key").withColumn("at", F.spark_partition_id())
+    found = sorted(placed.mapInArrow(edges, "at int, head array<binary>, tail array<binary>").collect())
+    heads, tails = [[bytes(k) for k in r[1]] for r in found], [[bytes(k) for k in r[2]] for r in found]
+    low, high = [], []
+    for i in range(len(found)):
+        before, after = [], []
+        for j in range(i - 1, max(-1, i - 1 - reach), -1):
+            before = tails[j] + before
+        for j in range(i + 1, min(len(found), i + 1 + reach)):
+            after += heads[j]
+        low.append((before[-reach:] + heads[i])[0])
+        high.append((tails[i] + after[:reach])[-1])
+    return [h[0] for h in heads], low, high
+
+
+def extract(pages: DataFrame, reach: int = 3, per_range: int = 20_000, most_ranges: int = 50_000) -> DataFrame:
     """page_id, url, text, n_chars, n_blocks, n_shared for every row."""
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    number = F.lpad(F.coalesce(F.col("page_id").cast("string"), F.lit("")), 20, "0")
+    keyed = own.withColumn("key", F.concat_ws("\0", *_address(F.col("url")), number, F.coalesce("url", F.lit(""))).cast("binary"))
+    first, low, high = ranges(keyed, reach, per_range, most_ranges)
 
     def parse(batches):
+        """Blocks of each page, packed, once for its own range and once for each range that it lies near."""
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                found = [blocks_of(h or "") for h in part.column(2).to_pylist()]
-                kind = pa.list_(pa.struct([("zone", pa.string()), ("text", pa.string())]))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([[{"zone": z, "text": t} for z, t in f] for f in found], kind)], ["page_id", "url", "blocks"])
-
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    parsed = own.mapInArrow(parse, "page_id long, url string, blocks array<struct<zone: string, text: string>>")
-    address = F.regexp_replace(F.coalesce("url", F.lit("")), r"[#?].*$", "")
-    host = F.lower(F.regexp_extract(address, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/]*)", 1))
-    path = F.regexp_extract(address, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/]*(.*)$", 1)
-    keyed = parsed.withColumn("host", host).withColumn("path", path).withColumn("tie", F.xxhash64(F.to_json("blocks")))
-    order = ["host", "path", "page_id", "url", "tie"]
-    sorted_ = materialise(keyed.repartitionByRange(*order).sortWithinPartitions(*order).drop("tie").withColumn("m", F.monotonically_increasing_id()))
-    part = F.shiftright("m", 33).cast("int")
-    sizes = dict(sorted_.groupBy(part.alias("p")).count().collect())  # a row a partition
-    ahead, total = [], 0
-    for p in range(max(sizes, default=-1) + 1):
-        ahead.append(total)
-        total += sizes.get(p, 0)
-    offsets = F.array(*[F.lit(a).cast("long") for a in ahead]) if ahead else F.array(F.lit(0).cast("long"))
-    numbered = sorted_.withColumn("g", F.get(offsets, part) + (F.col("m") - (part.cast("long") * (1 << 33)))).drop("m")
-    first, last = F.floor((F.col("g") - reach) / run), F.floor((F.col("g") + reach) / run)
-    spread = numbered.withColumn("of_run", F.explode(F.sequence(F.greatest(first, F.lit(0)), last)))
+                rows = []
+                for page, url, html, key in zip(*[c.to_pylist() for c in batch.slice(at, 256).columns]):
+                    packed = zlib.compress(json.dumps(blocks_of(html or ""), ensure_ascii=False).encode("utf-8", "surrogatepass"))
+                    home = max(0, bisect.bisect_right(first, key) - 1)
+                    a = b = home
+                    while a and key <= high[a - 1]:
+                        a -= 1
+                    while b + 1 < len(first) and key >= low[b + 1]:
+                        b += 1
+                    rows += [(page, url, key, to, to == home, packed) for to in range(a, b + 1)]
+                kinds = [pa.int64(), pa.string(), pa.binary(), pa.int32(), pa.bool_(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["page_id", "url", "key", "to", "own", "packed"])
 
     def difference(batches):
-        from .jaccard_join import _groups
-
-        for table in _groups(batches, ["of_run"]):
-            rows = table.to_pylist()
-            for r in rows:
-                r["blocks"] = [(b["zone"], b["text"]) for b in r["blocks"] or []]
-            rows.sort(key=lambda r: r["g"])
-            mine = [k for k, r in enumerate(rows) if r["g"] // run == r["of_run"]]
-            shared = [shared_blocks(rows[max(0, k - reach) : k + reach + 1], min(k, reach), reach) for k in mine]
-            texts = [text_of(rows[k]["blocks"], s) for k, s in zip(mine, shared)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([rows[k]["page_id"] for k in mine], pa.int64()), pa.array([rows[k]["url"] for k in mine], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array([len(rows[k]["blocks"]) for k in mine], pa.int64()), pa.array([sum(s) for s in shared], pa.int64())],
+        """Rows of a range in order; a window of few pages is held."""
+        held, done, here = [], 0, None
+
+        def settle(last: bool):
+            nonlocal done
+            end = len(held) if last else max(done, len(held) - reach)
+            mine = [k for k in range(done, end) if held[k]["own"]]
+            shared = [shared_blocks(held[max(0, k - reach) : k + reach + 1], min(k, reach), reach) for k in mine]
+            texts = [text_of(held[k]["blocks"], s) for k, s in zip(mine, shared)]
+            out = pa.RecordBatch.from_arrays(
+                [pa.array([held[k]["page_id"] for k in mine], pa.int64()), pa.array([held[k]["url"] for k in mine], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array([len(held[k]["blocks"]) for k in mine], pa.int64()), pa.array([sum(s) for s in shared], pa.int64())],
                 ["page_id", "url", "text", "n_chars", "n_blocks", "n_shared"],
             )
+            kept = max(0, end - reach)
+            del held[:kept]
+            done = end - kept
+            return out
 
-    return spread.repartition("of_run").sortWithinPartitions("of_run").mapInArrow(difference, "page_id long, url string, text string, n_chars long, n_blocks long, n_shared long")
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["to"] != here:
+                    if held:
+                        yield settle(True)
+                    held.clear()
+                    done, here, g = 0, row["to"], 0
+                host, path = row["key"].split(b"\0", 2)[:2]
+                row |= {"g": g, "host": host.decode(), "path": path.decode(), "blocks": json.loads(zlib.decompress(row.pop("packed")))}
+                held.append(row)
+                g += 1
+                if len(held) >= 256:
+                    yield settle(False)
+        if held:
+            yield settle(True)
+
+    parsed = keyed.mapInArrow(parse, "page_id long, url string, key binary, to int, own boolean, packed binary")
+    placed = parsed.repartitionById(max(1, len(first)), F.col("to")).sortWithinPartitions("to", "key", "packed")
+    return placed.mapInArrow(difference, "page_id long, url string, text string, n_chars long, n_blocks long, n_shared long")

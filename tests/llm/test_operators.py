@@ -260,7 +260,7 @@ def test_html_extraction(spark, empty):
     rows += [(10 + i, f"http://b.example/s/{i}?q=1", PAGE.format(main=plain(i))) for i in range(8)]
     rows += [(30, "http://c.example/1", PAGE.format(main=plain(3))), (31, "http://c.example/2", PAGE.format(main=plain(3)))]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
-    got = {r["page_id"]: r for r in rows_of(html_extraction.extract(pages, run=3, reach=3))}
+    got = {r["page_id"]: r for r in rows_of(html_extraction.extract(pages, reach=3, per_range=3))}
     assert len(got) == len(rows)
     assert got[1]["text"] == "Head & line\nOne two three\nFour five\na\nb" and got[1]["n_chars"] == len(got[1]["text"])
     assert got[2]["text"] == "" and got[3]["text"] == ""
