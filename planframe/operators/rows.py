@@ -17,17 +17,20 @@ def sort_key(sheet: Sheet, name: str) -> Column:
     if name in sheet.orders:
         return F.nullif(F.array_position(F.array(*[F.lit(v) for v in sheet.orders[name]]), c), F.lit(0))
     if kind == "text":
-        plain = F.nullif(c, F.lit("")) if not _dates(sheet, name) else None
-        return F.when(V.is_blank(c), None).otherwise(plain if plain is not None else V.read_date(c).cast("string"))
+        return F.when(V.is_blank(c), None).otherwise(V.read_date(c).cast("string") if _dates(sheet, name) else c)
     return F.nanvl(c, F.lit(None).cast("double")) if kind == "number" and dict(sheet.df.dtypes)[name] in ("double", "float") else c
 
 
 def _dates(sheet: Sheet, name: str) -> bool:
-    return bool(sheet.formats.get(name, {}).get("dates"))
+    """Whether over four fifths of the values read as dates and are not bare numbers; one aggregate over the column."""
+    c = V.col(name)
+    some = ~V.is_blank(c)
+    read = sheet.df.agg(F.count(F.when(some, 1)), F.count(F.when(some & c.rlike("[0-9]") & ~c.rlike(r"^\s*[0-9]+\s*$"), V.read_date(c)))).first()
+    return read[0] > 0 and read[1] > 0.8 * read[0]
 
 
 def sort(sheet: Sheet, step: dict, ctx) -> Sheet:
-    """Stable, blanks last in both directions; costs nothing until a step asks for the order."""
+    """Stable, blanks last in both directions; costs nothing until a step asks for the order, but for a look at text columns."""
     up, stem = step.get("ascending", True), sheet.fresh("s")
     names = {f"{stem}_{i}": sort_key(sheet, c) for i, c in enumerate(step["columns"])}
     return sheet.with_df(sheet.df.withColumns(names), order=[(n, up) for n in names] + sheet.order)
@@ -49,7 +52,7 @@ def top_n(sheet: Sheet, step: dict, ctx) -> Sheet:
 
 
 def dedupe(sheet: Sheet, step: dict, ctx) -> Sheet:
-    """One row for each key, the first or last in order: a partial aggregate finds its place, a join keeps it."""
+    """One row for each key, the first or last in order; tasks keep one row a key before the shuffle (a window group limit)."""
     names = step.get("columns") or sheet.columns
     sheet.need(*names)
     keys = {f"__k{i}": F.coalesce(F.nullif(V.col(c), F.lit("")), F.lit(None)) if sheet.kind(c) == "text" else V.col(c) for i, c in enumerate(names)}

@@ -83,3 +83,9 @@ def check_result(df: DataFrame) -> list[str]:
         return ["the result has no rows"]
     out = [f"column {c!r} is blank in every row" for i, c in enumerate(names) if not row[f"s{i}"]]
     return out + [f"column {c!r} has {row[f'p{i}']} values outside 0 to 100" for i, c in enumerate(names) if row.get(f"p{i}")]
+
+
+def sample(df: DataFrame, n: int = 20_000, seed: int = 7) -> DataFrame:
+    """``n`` rows by the least hash of seed and values, whatever the partitions; all rows where there are fewer."""
+    place = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in df.columns])
+    return df.orderBy(place).limit(n)

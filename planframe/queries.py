@@ -212,6 +212,7 @@ def add_query(name: str, query: Callable, sql: str) -> None:
     CATALOGUE[name] = (query, sql)
 
 
+add_query("sample_rows", lambda s, d: P.sample(table(s, d, "orders"), 500), "")
 add_query("value_counts", lambda s, d: P.value_counts(table(s, d, "events"), "event_type"), "SELECT event_type AS value, count(*) AS n FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 12")
 _PROFILED = ["c_mktsegment", "c_acctbal", "segment"]
 add_query("profile_columns", lambda s, d: P.profile(DIRTY(table(s, d, "customer")).select(*_PROFILED)), " UNION ALL ".join(f"SELECT '{c}' AS name, count(*) AS n_rows, count(*) FILTER (WHERE {c} IS NULL OR trim({c}::VARCHAR) = '') AS n_blank, count(DISTINCT CASE WHEN trim({c}::VARCHAR) <> '' THEN {c} END) AS n_distinct FROM {DIRTY_SQL}" for c in _PROFILED))
