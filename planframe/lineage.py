@@ -16,13 +16,29 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of the largest group that one task may sort for a plain window.
+WINDOW_ROWS = 1_000_000
+
+
+def fits_window(df: DataFrame, keys: list[str]) -> bool:
+    """Whether no group has more than WINDOW_ROWS rows; one count a key, of the key columns alone."""
+    if not keys:
+        return df.count() <= WINDOW_ROWS
+    largest = df.groupBy(*[F.col(k) for k in keys]).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return (largest or 0) <= WINDOW_ROWS
+
+
 def scan(df: DataFrame, keys: list[str], order: list[Column], value: str, how: str, name: str) -> DataFrame:
     """Adds column ``name``: the running sum of ``value`` per key in order, or its last value so far (``how``: sum, last).
 
-    Rows are range-partitioned by key and order, so a key with many rows spans partitions; each partition is
-    scanned alone, and what the earlier partitions of a key leave is added from one row a key and partition.
+    Where every group fits one task, this is a plain window. Otherwise rows are range-partitioned by key and order,
+    so a key with many rows spans partitions; each partition is scanned alone, and what the earlier partitions of a
+    key leave is added from one row a key and partition.
     """
     by = [F.col(k) for k in keys]
+    if fits_window(df, keys):
+        whole = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(name, F.coalesce(F.sum(value).over(whole), F.lit(0.0)) if how == "sum" else F.last(value, ignorenulls=True).over(whole))
     placed = checkpointed(df.repartitionByRange(*by, *order).withColumn("__pid", F.spark_partition_id()))
     inside = Window.partitionBy("__pid", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*by).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)

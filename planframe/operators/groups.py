@@ -35,6 +35,19 @@ def aggregate(sheet: Sheet, name: str, func: str, is_key: bool = False) -> Colum
     raise PlanError(f"there is no aggregate {func!r}")
 
 
+def mergeable(sheet: Sheet, name: str, func: str, is_key: bool = False) -> tuple[list[Column], Column]:
+    """Aggregates of a cell, and the aggregate over such cells that gives ``func`` over all their rows (all but nunique)."""
+    if func == "count":
+        return [aggregate(sheet, name, func, is_key).alias("cell")], F.coalesce(F.sum("cell"), F.lit(0))
+    x = V.to_number(V.col(name), sheet.kind(name))
+    if func == "sum":
+        return [F.sum(x).alias("cell")], F.coalesce(F.sum("cell"), F.lit(0.0))
+    if func == "mean":
+        return [F.sum(x).alias("cell"), F.count(x).alias("__b")], F.try_divide(F.sum("cell"), F.sum("__b").cast("double"))
+    one = aggregate(sheet, name, func).alias("cell")
+    return [one], aggregate(Sheet(sheet.df.select(V.col(name).alias("cell"))), "cell", func)
+
+
 def used_columns(expr: str) -> list[str]:
     out = []
 
@@ -94,7 +107,7 @@ def rate(sheet: Sheet, step: dict, ctx) -> Sheet:
 
 
 def pivot(sheet: Sheet, step: dict, ctx) -> Sheet:
-    """Body and true totals in one pass with grouping sets; totals come from the rows, not from the cells."""
+    """Body and true totals; totals come from sums and counts of the rows (for nunique from distinct values), not from the shown cells."""
     rows, across = step["rows"], step.get("columns") or []
     rows, across = ([rows] if isinstance(rows, str) else rows), ([across] if isinstance(across, str) else across)
     sheet.need(*rows, *across)
@@ -106,19 +119,27 @@ def pivot(sheet: Sheet, step: dict, ctx) -> Sheet:
     if step.get("calculated"):
         aggs, made = _calculated(sheet, step["calculated"])
         sets = [r, []] if totals else [r]
-        df = base.groupingSets(sets, *r).agg(F.grouping_id().alias("__g"), *aggs).withColumns(made)
+        sums = [f"__sum{i}" for i in range(len(aggs))]
+        df = base.groupBy(*r).agg(*aggs).groupingSets(sets, *r).agg(F.grouping_id().alias("__g"), *[F.sum(x).alias(x) for x in sums]).withColumns(made)
         return _with_total(sheet, df.select("__g", *r, *made), rows, list(made))
     if not across:
         raise PlanError("a pivot needs columns or calculated fields")
     name = value or rows[0]
-    agg = aggregate(sheet, name, func, value is None)
+    sheet.need(name)
     base = base.withColumn("__c", head)
     heads = [x[0] for x in base.select("__c").distinct().orderBy("__c").limit(WIDEST + 1).collect()]
     if len(heads) > WIDEST:
         raise PlanError(f"that would make more than {WIDEST} columns; which values matter?")
     c = F.col("__c")
     sets = [[*r, c], r, [c], []] if totals else [[*r, c]]
-    cells = base.groupingSets(sets, *r, c).agg(F.grouping_id().alias("__gid"), F.grouping("__c").alias("__gc"), agg.alias("__x"))
+    # each cell once, then totals from the few cells' states: grouping sets copy every row they read
+    if func == "nunique":
+        some = F.when(~V.is_blank(V.col(name), sheet.kind(name)), V.col(name))
+        states, total = base.select(*r, c, some.alias("cell")).distinct(), F.count_distinct("cell")
+    else:
+        parts, total = mergeable(sheet, name, func, value is None)
+        states = base.groupBy(*r, c).agg(*parts)
+    cells = states.groupingSets(sets, *r, c).agg(F.grouping_id().alias("__gid"), F.grouping("__c").alias("__gc"), total.alias("__x"))
     wide = cells.withColumn("__g", F.shiftright("__gid", 1)).groupBy("__g", *r).agg(
         *[F.max(F.when((F.col("__gc") == 0) & (c == F.lit(h)), F.col("__x"))).alias(h) for h in heads], *([F.max(F.when(F.col("__gc") == 1, F.col("__x"))).alias("Total")] if totals else [])
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..lineage import scan
+from ..lineage import fits_window, scan
 from ..sheet import PlanError, Sheet
 
 
@@ -125,15 +125,19 @@ def calculate(sheet: Sheet, step: dict, ctx) -> Sheet:
     if kind == "rank":
         key = sort_key(sheet, name)
         down = step.get("descending", True)
+        df = sheet.df.withColumns({"__key": key} | ({"__per": keys[0]} if per else {}))
+        by = ["__per"] if per else []
+        if fits_window(df, by):
+            place = F.rank().over(Window.partitionBy(*by).orderBy(F.col("__key").desc_nulls_last() if down else F.col("__key").asc_nulls_last()))
+            return sheet.with_df(df.withColumn(out, F.when(F.col("__key").isNotNull(), place.cast("bigint"))).drop("__key", "__per"))
         counted = sheet.df.filter(key.isNotNull()).groupBy(*[k.alias("__g") for k in keys], key.alias("__v")).agg(F.count("*").cast("double").alias("__c"))
         # rows before each distinct value, by running counts over distinct values
         order = [F.col("__v").desc() if down else F.col("__v").asc()]
         ran = scan(counted, ["__g"] if per else [], order, "__c", "sum", "__upto")
         ranks = ran.select(*(["__g"] if per else []), "__v", (F.col("__upto") - F.col("__c") + 1).cast("bigint").alias("__rank"))
-        df = sheet.df.withColumn("__key", key)
         on = F.col("__key") == F.col("__v")
         if per:
-            on &= V.col(per).eqNullSafe(F.col("__g"))
+            on &= F.col("__per").eqNullSafe(F.col("__g"))
         joined = df.join(ranks, on, "left")
-        return sheet.with_df(joined.withColumn(out, F.col("__rank")).drop("__key", "__v", "__g", "__rank"))
+        return sheet.with_df(joined.withColumn(out, F.col("__rank")).drop("__key", "__per", "__v", "__g", "__rank"))
     raise PlanError(f"there is no calculation {kind!r}")

@@ -45,9 +45,11 @@ def share_of_values(df: DataFrame, name: str, n: int = 12) -> DataFrame | None:
 
 
 def findings(df: DataFrame) -> DataFrame:
-    """finding, name, n: what a cleaning step would mend, in one aggregate."""
-    aggs, rows = [], []
-    for i, c in enumerate(x for x in df.columns if not x.startswith("__")):
+    """finding, name, n: what a cleaning step would mend, in one aggregate; repeated rows in a second."""
+    names = [x for x in df.columns if not x.startswith("__")]
+    every = [V.is_blank(V.col(c), V.kind_of(df, c)) for c in names]
+    aggs, rows = [F.count(F.when(F.array_min(F.array(*every)), 1)).alias("f0")], [("empty rows", None, "f0")]
+    for c in names:
         kind, x = V.kind_of(df, c), V.col(c)
         blank = V.is_blank(x, kind)
         tests = {"blanks": blank}
@@ -58,9 +60,11 @@ def findings(df: DataFrame) -> DataFrame:
         for k, t in tests.items():
             aggs.append(F.count(F.when(t, 1)).alias(f"f{len(rows)}"))
             rows.append((k, c, f"f{len(rows)}"))
+    groups = df.groupBy(*[V.col(c) for c in names]).agg(F.count(F.lit(1)).alias("n"))
+    repeats = groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n")).select(F.lit("repeated rows").alias("finding"), F.lit(None).cast("string").alias("name"), "n")
     one = df.agg(*aggs)
-    parts = [F.struct(F.lit(k).alias("finding"), F.lit(c).alias("name"), F.col(f).alias("n")) for k, c, f in rows]
-    return one.select(F.explode(F.array(*parts)).alias("r")).select("r.*").filter("n > 0")
+    parts = [F.struct(F.lit(k).alias("finding"), F.lit(c).cast("string").alias("name"), F.col(f).alias("n")) for k, c, f in rows]
+    return one.select(F.explode(F.array(*parts)).alias("r")).select("r.*").unionByName(repeats).filter("n > 0")
 
 
 def spellings(df: DataFrame, name: str) -> DataFrame:

@@ -11,6 +11,7 @@ from . import profile as P
 from .functions import values as V
 from .operators import groups
 from .plans.engine import Context, run_plan
+from .privacy import PATTERNS, personal_data
 from .sheet import sheet_of
 from .sqlgate import run_sql
 
@@ -124,6 +125,8 @@ _P = {"op": "pivot", "rows": ["l_returnflag"], "columns": ["l_linestatus"]}
 add("pivot_sum", "lineitem", [_P | {"values": "l_quantity", "func": "sum"}], _pivot_sql("round(sum(l_quantity){f}, 2)"), digits=2)
 add("pivot_count", "lineitem", [_P], _pivot_sql("count(*){f}"))
 add("pivot_mean_totals", "lineitem", [_P | {"values": "l_quantity", "func": "mean"}], _pivot_sql("round(avg(l_quantity){f}, 4)", fill=False))
+add("pivot_max", "lineitem", [_P | {"values": "l_extendedprice", "func": "max"}], _pivot_sql("max(l_extendedprice){f}", fill=False))
+add("pivot_nunique", "lineitem", [_P | {"values": "l_suppkey", "func": "nunique"}], _pivot_sql("count(DISTINCT l_suppkey){f}"))
 add("pivot_calculated", "lineitem", [{"op": "pivot", "rows": ["l_returnflag"], "calculated": {"rate": "[l_tax] / [l_quantity]"}}], "SELECT l_returnflag, round(sum(l_tax) / sum(l_quantity), 6) AS rate FROM lineitem GROUP BY 1 UNION ALL SELECT 'Total', round(sum(l_tax) / sum(l_quantity), 6) FROM lineitem", digits=6)
 
 # --- windows
@@ -216,7 +219,8 @@ add_query("sample_rows", lambda s, d: P.sample(table(s, d, "orders"), 500), "")
 add_query("value_counts", lambda s, d: P.value_counts(table(s, d, "events"), "event_type"), "SELECT event_type AS value, count(*) AS n FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 12")
 _PROFILED = ["c_mktsegment", "c_acctbal", "segment"]
 add_query("profile_columns", lambda s, d: P.profile(DIRTY(table(s, d, "customer")).select(*_PROFILED)), " UNION ALL ".join(f"SELECT '{c}' AS name, count(*) AS n_rows, count(*) FILTER (WHERE {c} IS NULL OR trim({c}::VARCHAR) = '') AS n_blank, count(DISTINCT CASE WHEN trim({c}::VARCHAR) <> '' THEN {c} END) AS n_distinct FROM {DIRTY_SQL}" for c in _PROFILED))
-add_query("findings", lambda s, d: P.findings(DIRTY(table(s, d, "customer")).select("segment")), f"SELECT 'blanks' AS finding, 'segment' AS name, count(*) AS n FROM {DIRTY_SQL} WHERE segment IS NULL OR trim(segment) = '' UNION ALL SELECT 'stray spaces', 'segment', count(*) FROM {DIRTY_SQL} WHERE trim(segment) <> '' AND segment <> trim(regexp_replace(segment, '\\s+', ' ', 'g'))")
+add_query("findings", lambda s, d: P.findings(DIRTY(table(s, d, "customer")).select("segment")), f"SELECT 'blanks' AS finding, 'segment' AS name, count(*) AS n FROM {DIRTY_SQL} WHERE segment IS NULL OR trim(segment) = '' UNION ALL SELECT 'stray spaces', 'segment', count(*) FROM {DIRTY_SQL} WHERE trim(segment) <> '' AND segment <> trim(regexp_replace(segment, '\\s+', ' ', 'g')) UNION ALL SELECT 'empty rows', NULL, count(*) FROM {DIRTY_SQL} WHERE segment IS NULL OR trim(segment) = '' UNION ALL SELECT 'repeated rows', NULL, (sum(n) - count(*))::BIGINT FROM (SELECT count(*) AS n FROM {DIRTY_SQL} GROUP BY segment)")
+add_query("personal_data", lambda s, d: table(s, d, "documents").select(F.explode(personal_data(F.col("text"))).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n")), " UNION ALL ".join(f"SELECT '{k}' AS kind, count(*) AS n FROM documents WHERE regexp_matches(text, '{p}') HAVING count(*) > 0" for k, p in PATTERNS.items()))
 add_query("highlight_duplicates", lambda s, d: _highlighted(table(s, d, "customer")), "SELECT c_custkey, count(*) OVER (PARTITION BY c_nationkey, c_mktsegment) > 1 AS marked FROM customer")
 add_query("chart_data", lambda s, d: _shown(groups.chart_data(sheet_of(table(s, d, "orders"), ["o_orderkey"]), {"x": "o_orderdate", "x_part": "year", "y": "o_totalprice", "func": "sum"}, Context()), 2), "SELECT year(o_orderdate)::BIGINT AS x, round(sum(o_totalprice), 2) AS y FROM orders GROUP BY 1")
 

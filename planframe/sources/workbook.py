@@ -146,6 +146,12 @@ _PACK = "http://schemas.openxmlformats.org/package/2006"
 _SHEET_TYPE = "application/vnd.openxmlformats-officedocument.spreadsheetml"
 FORMATS = {"date": "dd/mm/yyyy", "rupees": "[>=10000000]##\\,##\\,##\\,##0;[>=100000]##\\,##\\,##0;##,##0", "commas": "#,##0", "percent": '0.00"%"', "decimals": "0.00"}
 
+#: Fills of highlights.
+COLORS = {
+    "yellow": "FFF2CC", "red": "F4CCCC", "green": "D9EAD3", "blue": "CFE2F3", "orange": "FCE5CD", "purple": "D9D2E9", "pink": "F8D7E3", "grey": "E7E6E6",
+    "dark yellow": "FFD966", "dark red": "E06666", "dark green": "93C47D", "dark blue": "6FA8DC", "dark orange": "F6B26B", "dark purple": "8E7CC3", "dark pink": "E48FB0", "dark grey": "B7B7B7",
+}
+
 
 def _letters(at: int) -> str:
     out = ""
@@ -154,55 +160,71 @@ def _letters(at: int) -> str:
     return out
 
 
-def _cell(place: str, value, style: int) -> str:
-    mark = f' s="{style}"' if style else ""
+def _cell(place: str, value, style: int, fill: int = 0) -> str:
+    """One cell; ``fill`` is what a highlight adds to the number of its style."""
+    mark = f' s="{style + fill}"' if style + fill else ""
     if value is None or value != value:
-        return ""
+        return f'<c r="{place}"{mark}/>' if fill else ""
     if isinstance(value, bool):
         return f'<c r="{place}"{mark} t="b"><v>{int(value)}</v></c>'
     if isinstance(value, (datetime.date, datetime.datetime)):
         moment = value if isinstance(value, datetime.datetime) else datetime.datetime.combine(value, datetime.time())
-        return f'<c r="{place}" s="{style or 2}"><v>{(moment.replace(tzinfo=None) - datetime.datetime(1899, 12, 30)).total_seconds() / 86400:.10g}</v></c>'
+        return f'<c r="{place}" s="{(style or 2) + fill}"><v>{(moment.replace(tzinfo=None) - datetime.datetime(1899, 12, 30)).total_seconds() / 86400:.10g}</v></c>'
     if isinstance(value, (int, float)):
         return f'<c r="{place}"{mark}><v>{value!r}</v></c>'
     bare = re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f￾￿]", "", str(value))
     return f'<c r="{place}"{mark} t="inlineStr"><is><t xml:space="preserve">{escape(bare)}</t></is></c>'
 
 
-def write_workbook(sheet: Sheet, path: str, name: str = "Sheet1") -> list[str]:
-    """Writes a workbook, a sheet for each value of a split; returns the sheet names. Refused beyond the rows of a sheet.
+def write_workbook(sheets: Sheet | dict[str, Sheet], path: str, name: str = "Sheet1") -> list[str]:
+    """Writes a workbook, a sheet for each name and value of a split; returns the sheet names. Refused beyond the rows of a sheet.
 
-    Rows come to the driver one partition at a time and go straight into the file.
+    Rows come to the driver one partition at a time and go straight into the file. Highlighted rows or cells are filled.
     """
-    marks = sheet.split
-    sizes = sorted(sheet.df.groupBy(*marks).count().limit(257).collect())
-    if len(sizes) > 256 or any(r["count"] > MOST_ROWS for r in sizes):
-        raise PlanError(f"a workbook holds 256 sheets of {MOST_ROWS:,} rows at most: write delimited text instead")
-    styles = list(FORMATS)
-    of_column = [2 + styles.index(style) if (style := sheet.formats.get(c, {}).get("style")) in FORMATS else 0 for c in sheet.columns]
+    sheets = {name: sheets} if isinstance(sheets, Sheet) else sheets
+    planned = []
+    for title, sheet in sheets.items():
+        sizes = sorted(sheet.df.groupBy(*sheet.split).count().limit(257).collect())
+        if any(r["count"] > MOST_ROWS for r in sizes):
+            raise PlanError(f"a sheet holds {MOST_ROWS:,} rows at most: write delimited text instead")
+        planned += [(title, sheet, [row[m] for m in sheet.split]) for row in sizes or [None] if row or not sheet.split]
+    if len(planned) > 256:
+        raise PlanError("a workbook holds 256 sheets at most: write delimited text instead")
+    styles, fills = list(FORMATS), list(dict.fromkeys(f["highlight"] for s in sheets.values() for f in s.formats.values() if "highlight" in f))
+    if unknown := [c for c in fills if c not in COLORS]:
+        raise PlanError(f"there is no colour {unknown[0]!r}; the colours are {', '.join(COLORS)}")
+    each = 2 + len(styles)  # styles without a fill, then as many for each fill
     names, taken = [], set()
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as book:
-        for row in sizes or [None]:
-            values = [row[m] for m in marks] if row else []
+        for title, sheet, values in planned:
             part = sheet.df
-            for m, v in zip(marks, values):
+            for m, v in zip(sheet.split, values):
                 part = part.filter(F.col(m) == F.lit(v))
-            names.append(safe_name("-".join(map(str, values)) or name, taken))
+            names.append(safe_name("-".join(map(str, values)) or title, taken))
+            columns, marks = sheet.columns, [(m, f) for m, f in sheet.formats.items() if "highlight" in f]
+            of_column = [2 + styles.index(style) if (style := sheet.formats.get(c, {}).get("style")) in FORMATS else 0 for c in columns]
+            marked = [(len(columns) + k, (fills.index(f["highlight"]) + 1) * each, [i for i, c in enumerate(columns) if f.get("column") in (None, c)]) for k, (m, f) in enumerate(marks)]
             shown = part.orderBy(*sheet.by_order()) if sheet.order else part
-            shown = shown.select(*[V.col(c) for c in sheet.columns])
-            widths = _widths(shown, sheet.columns)
+            shown = shown.select(*[V.col(c) for c in columns], *[F.col(m) for m, _ in marks])
+            widths = _widths(shown, columns)
             with book.open(f"xl/worksheets/sheet{len(names)}.xml", "w") as raw, io.TextIOWrapper(raw, "utf-8") as f:
                 f.write(f'{_HEAD}<worksheet xmlns="{_MAIN}"><sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" activePane="bottomLeft" state="frozen"/></sheetView></sheetViews>')
                 f.write("<cols>" + "".join(f'<col min="{i + 1}" max="{i + 1}" width="{min(50, w + 2)}" customWidth="1"/>' for i, w in enumerate(widths)) + "</cols><sheetData>" if widths else "<sheetData>")
-                f.write('<row r="1">' + "".join(_cell(f"{_letters(i)}1", c, 1) for i, c in enumerate(sheet.columns)) + "</row>")
+                f.write('<row r="1">' + "".join(_cell(f"{_letters(i)}1", c, 1) for i, c in enumerate(columns)) + "</row>")
                 for n, r in enumerate(shown.toLocalIterator(), 2):
-                    f.write(f'<row r="{n}">' + "".join(_cell(f"{_letters(i)}{n}", v, of_column[i]) for i, v in enumerate(r)) + "</row>")
+                    filled = {i: fill for at, fill, where in marked if r[at] for i in where}
+                    f.write(f'<row r="{n}">' + "".join(_cell(f"{_letters(i)}{n}", r[i], of_column[i], filled.get(i, 0)) for i in range(len(columns))) + "</row>")
                 f.write("</sheetData></worksheet>")
         book.writestr("xl/workbook.xml", f'{_HEAD}<workbook xmlns="{_MAIN}" xmlns:r="{_DOC}"><sheets>' + "".join(f'<sheet name={quoteattr(n)} sheetId="{i}" r:id="rId{i}"/>' for i, n in enumerate(names, 1)) + "</sheets></workbook>")
         book.writestr("xl/_rels/workbook.xml.rels", f'{_HEAD}<Relationships xmlns="{_PACK}/relationships">' + "".join(f'<Relationship Id="rId{i}" Type="{_DOC}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(names) + 1)) + f'<Relationship Id="rId{len(names) + 1}" Type="{_DOC}/styles" Target="styles.xml"/></Relationships>')
         numbers = "".join(f'<numFmt numFmtId="{170 + i}" formatCode={quoteattr(FORMATS[s])}/>' for i, s in enumerate(styles))
-        cells = '<xf numFmtId="0" fontId="0"/><xf numFmtId="0" fontId="1" applyFont="1"/>' + "".join(f'<xf numFmtId="{170 + i}" fontId="0" applyNumberFormat="1"/>' for i in range(len(styles)))
-        book.writestr("xl/styles.xml", f'{_HEAD}<styleSheet xmlns="{_MAIN}"><numFmts count="{len(styles)}">{numbers}</numFmts><fonts count="2"><font/><font><b/></font></fonts><fills count="1"><fill/></fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="{2 + len(styles)}">{cells}</cellXfs></styleSheet>')
+        # fills 0 and 1 are kept by the format for itself
+        colours = '<fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill>' + "".join(f'<fill><patternFill patternType="solid"><fgColor rgb="FF{COLORS[c]}"/></patternFill></fill>' for c in fills)
+        cells = ""
+        for k in range(len(fills) + 1):
+            fill = f' fillId="{k + 1}" applyFill="1"' if k else ""
+            cells += f'<xf numFmtId="0" fontId="0"{fill}/><xf numFmtId="0" fontId="1" applyFont="1"{fill}/>' + "".join(f'<xf numFmtId="{170 + i}" fontId="0" applyNumberFormat="1"{fill}/>' for i in range(len(styles)))
+        book.writestr("xl/styles.xml", f'{_HEAD}<styleSheet xmlns="{_MAIN}"><numFmts count="{len(styles)}">{numbers}</numFmts><fonts count="2"><font/><font><b/></font></fonts><fills count="{2 + len(fills)}">{colours}</fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="{each * (len(fills) + 1)}">{cells}</cellXfs></styleSheet>')
         book.writestr("_rels/.rels", f'{_HEAD}<Relationships xmlns="{_PACK}/relationships"><Relationship Id="rId1" Type="{_DOC}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
         parts = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{_SHEET_TYPE}.worksheet+xml"/>' for i in range(1, len(names) + 1))
         book.writestr("[Content_Types].xml", f'{_HEAD}<Types xmlns="{_PACK}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="{_SHEET_TYPE}.sheet.main+xml"/><Override PartName="/xl/styles.xml" ContentType="{_SHEET_TYPE}.styles+xml"/>{parts}</Types>')
