@@ -9,8 +9,9 @@ c(v, w) / c(v)``, with every c out of the filter.
 
 Scale. Tasks send sorted hashes with counts, packed by segment of the hash space; each segment is merged by one
 task, which sets the bits of its own part of the filter. The filter has a bit for each byte of the
-input up to ``2**max_bits`` bits (64 MB), which is what workers receive: beyond that it becomes denser
-and wrong hits more frequent, but no n-gram is left out. The exact word counts that the baseline asks for are
+training text at any size, so it never becomes denser. Up to ``2**max_bits`` bits (64 MB) workers receive it whole;
+a larger one stays in its segments: the distinct n-grams of each part of the documents are sent to the
+segments, probed there, and their levels sent back to the part. Both ways give the same scores. The exact word counts that the baseline asks for are
 never collected: words with at least ``N / hot_words`` occurrences (``hot_words`` of them at most) are
 broadcast, all others are joined on Spark.
 
@@ -33,6 +34,9 @@ BEGIN = T.mix(np.array([13], T.U64))[0]
 _WORD, _PAIR = T.U64(0x5851F42D4C957F2D), T.U64(0x14057B7EF767814F)
 PROBES = 3
 TOP = 64
+#: Bits of a segment at most, and bytes of text in a part whose n-grams are looked up together.
+SEGMENT_BITS = 1 << 23
+PART_BYTES = 1 << 21
 
 
 def tokens(part: T.Buffers) -> tuple[np.ndarray, np.ndarray]:
@@ -84,8 +88,8 @@ class Filter:
     def __init__(self, bits: np.ndarray, segments: int, segment_bits: int, base: float):
         self.bits, self.segments, self.segment_bits, self.counts = bits, segments, segment_bits, expected(base)
 
-    def count(self, key: np.ndarray) -> np.ndarray:
-        """Expected counts, by probing one level after another."""
+    def level(self, key: np.ndarray) -> np.ndarray:
+        """The last level found, by probing one level after another."""
         level = np.zeros(len(key), np.int64)
         alive = np.arange(len(key))
         for j in range(1, TOP + 1):
@@ -96,7 +100,34 @@ class Filter:
             if not len(alive):
                 break
             level[alive] = j
-        return self.counts[level]
+        return level
+
+    def count(self, key: np.ndarray) -> np.ndarray:
+        """Expected counts."""
+        return self.counts[self.level(key)]
+
+
+def shape(size: int, partitions: int) -> tuple[int, int]:
+    """Segments, and bits of each, for that many bytes of training text."""
+    total = 1 << max(0, size - 1).bit_length()
+    segments = max(64, partitions, total // SEGMENT_BITS)
+    return segments, max(1 << 10, total // segments) & ~7
+
+
+def by_segment(key: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys in order of their segments, and where each segment begins."""
+    home = (key % T.U64(segments)).astype(np.int64)
+    order = np.argsort(home, kind="stable")
+    return order, np.searchsorted(home[order], np.arange(segments + 1))
+
+
+def keys_of(text: pa.Array) -> np.ndarray:
+    """The distinct keys of all words and pairs, sorted."""
+    found = [np.zeros(0, T.U64)]
+    for part in T.buffers(text, 1 << 20):
+        h, row = tokens(part)
+        found += [word_key(np.unique(h)), np.unique(pair_key(previous(h, row), h))]
+    return np.unique(np.concatenate(found))
 
 
 def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -119,9 +150,8 @@ def gather(training: DataFrame, segments: int, flush: int = 2_500_000) -> DataFr
                 if not keys:
                     continue
                 key, number = _merge(keys, counts)
-                home = (key % T.U64(segments)).astype(np.int64)
-                order = np.argsort(home, kind="stable")
-                key, number, cut = key[order], number[order], np.searchsorted(home[order], np.arange(segments + 1))
+                order, cut = by_segment(key, segments)
+                key, number = key[order], number[order]
                 some = [s for s in range(segments) if cut[s] < cut[s + 1]]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(some, pa.int32()), pa.array([kind] * len(some), pa.int32()), pa.array([key[cut[s] : cut[s + 1]].tobytes() for s in some], pa.binary()), pa.array([number[cut[s] : cut[s + 1]].astype(np.uint32).tobytes() for s in some], pa.binary())],
@@ -145,12 +175,11 @@ def gather(training: DataFrame, segments: int, flush: int = 2_500_000) -> DataFr
     return training.select("text").mapInArrow(count, "segment int, kind int, keys binary, counts binary")
 
 
-def train(docs: DataFrame, share_words: int, base: float, max_bits: int) -> tuple[DataFrame, dict, int, int]:
+def train(docs: DataFrame, share_words: int, base: float) -> tuple[DataFrame, dict, int, int]:
     """Per segment: part of the filter, packed word counts, their sum and number. And what is known of the whole."""
     spark = docs.sparkSession
     size, rows = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
-    segments = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    segment_bits = max(1 << 10, min(1 << max_bits, 1 << max(0, int(size) - 1).bit_length()) // segments) & ~7
+    segments, segment_bits = shape(int(size), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def build(batches):
         from .jaccard_join import _groups
@@ -185,15 +214,70 @@ def train(docs: DataFrame, share_words: int, base: float, max_bits: int) -> tupl
     return built, {"N": int(n), "V": int(v), "D": int(rows), "hot": max(1, -(-int(n) // share_words))}, segments, segment_bits
 
 
+def probe_apart(numbered: DataFrame, built: DataFrame, segments: int, segment_bits: int, base: float, score, schema: str) -> DataFrame:
+    """Scores with the filter left in its segments: only keys go there and only levels come back."""
+    spark = numbered.sparkSession
+    size = numbered.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = -(-int(size) // PART_BYTES) or 1
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-parts // 16))
+    dealt = numbered.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts))).repartition(tasks, "part")
+
+    def ask(table: pa.Table) -> pa.Table:
+        key = keys_of(table.column("text").combine_chunks())
+        order, cut = by_segment(key, segments)
+        key = key[order]
+        some = [s for s in range(segments) if cut[s] < cut[s + 1]]
+        part = table.column("part")[0].as_py()
+        return pa.table({"segment": pa.array(some, pa.int32()), "part": pa.array([part] * len(some), pa.int64()), "data": pa.array([key[cut[s] : cut[s + 1]].tobytes() for s in some], pa.binary())})
+
+    def probe(batches):
+        """In each segment its bits come first, then the keys of one part after another."""
+        here, model = None, None
+        for batch in batches:
+            levels = []
+            for segment, part, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if segment != here:
+                    here, model = segment, None
+                if part < 0:
+                    model = Filter(np.frombuffer(data, np.uint8), 1, segment_bits, base)
+                    continue
+                key = np.frombuffer(data, T.U64)
+                level = model.level(key) if model else np.zeros(len(key), np.int64)
+                levels.append((segment, part, level.astype(np.uint8).tobytes()))
+            if levels:
+                kinds = (pa.int32(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*levels), kinds)], ["segment", "part", "levels"])
+
+    def settle(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        docs = docs.sort_by("row")
+        text = docs.column("text").combine_chunks()
+        key = keys_of(text)
+        order, cut = by_segment(key, segments)
+        level = np.zeros(len(key), np.int64)
+        for s, found in zip(answers.column("segment").to_pylist(), answers.column("levels").to_pylist()):
+            level[order[cut[s] : cut[s + 1]]] = np.frombuffer(found, np.uint8)
+        counts = expected(base)
+        row, doc_id, held_out = (docs.column(c).combine_chunks() for c in ("row", "doc_id", "held_out"))
+        return pa.Table.from_batches(list(score(row, doc_id, text, held_out, lambda k: counts[level[np.searchsorted(key, k)]])))
+
+    asked = dealt.groupBy("part").applyInArrow(ask, "segment int, part long, data binary")
+    bits = built.select("segment", F.lit(-1).cast("long").alias("part"), F.col("bits").alias("data"))
+    placed = bits.unionByName(asked).repartition(segments, "segment").sortWithinPartitions("segment", "part")
+    answers = placed.mapInArrow(probe, "segment int, part long, levels binary").repartition(tasks, "part")
+    return dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(settle, schema)
+
+
 def score_documents(docs: DataFrame, held_out: int = 2, folds: int = 7, share: float = 0.5, base: float = 1.5, max_bits: int = 29, hot_words: int = 4_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
     spark = docs.sparkSession
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(folds))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(docs).alias("text"), (fold == held_out).alias("held_out"))
-    built, known, segments, segment_bits = train(rows.filter(~F.col("held_out")), hot_words, base, max_bits)
-    bits = np.zeros(segments * segment_bits // 8, np.uint8)
-    for segment, part in built.select("segment", "bits").toLocalIterator():  # 2**max_bits bits at most
-        bits[segment * segment_bits // 8 : (segment + 1) * segment_bits // 8] = np.frombuffer(part, np.uint8)
+    built, known, segments, segment_bits = train(rows.filter(~F.col("held_out")), hot_words, base)
+    whole = segments * segment_bits <= 1 << max_bits
+    bits = np.zeros(segments * segment_bits // 8 if whole else 0, np.uint8)
+    if whole:
+        for segment, part in built.select("segment", "bits").toLocalIterator():  # 2**max_bits bits at most
+            bits[segment * segment_bits // 8 : (segment + 1) * segment_bits // 8] = np.frombuffer(part, np.uint8)
     hot = known["hot"]
 
     def words_of(only_hot: bool):
@@ -217,44 +301,47 @@ def score_documents(docs: DataFrame, held_out: int = 2, folds: int = 7, share: f
     n, total = known["N"], known["N"] + known["V"] + 1
     starts = max(1, known["D"])
 
-    def score(batches):
-        bits, hot_key, hot_count = shared.value
-        model = Filter(bits, segments, segment_bits, base)
+    def score(rows, doc_id, text, held_out, count_of):
+        _, hot_key, hot_count = shared.value
+        for part in T.buffers(text, 1 << 20):
+            h, row = tokens(part)
+            before = previous(h, row)
+            distinct, back = np.unique(h, return_inverse=True)
+            key = word_key(distinct)
+            guess = count_of(key)
+            # the model
+            pair = count_of(pair_key(before, h))
+            context = np.empty(len(h))
+            context[1:] = guess[back[:-1]]
+            context[before == BEGIN] = starts
+            p = (1 - share) * (guess[back] + 1) / total + share * np.where(pair > 0, np.minimum(1, pair / np.maximum(context, 1)), 0)
+            log_p = np.bincount(row, weights=np.log10(p), minlength=part.rows)
+            # the baseline, as far as frequent words go
+            signed = key.view(np.int64)
+            at = np.searchsorted(hot_key, signed)
+            at[at == len(hot_key)] = 0
+            is_hot = hot_key[at] == signed if len(hot_key) else np.zeros(len(signed), bool)
+            exact = np.where(is_hot, hot_count[at], 0) if len(hot_key) else np.zeros(len(signed))
+            seen = is_hot[back]
+            base_part = np.bincount(row[seen], weights=np.log10((exact[back][seen] + 1) / total), minlength=part.rows).astype(float)  # whole numbers where nothing is seen
+            n_known = np.bincount(row[seen], minlength=part.rows)
+            rest_row, rest_word = row[~seen], back[~seen]
+            rest, times = np.unique(rest_row * len(distinct) + rest_word, return_counts=True)
+            cut = np.searchsorted(rest // max(1, len(distinct)), np.arange(part.rows + 1)).astype(np.int32)
+            cold = pa.StructArray.from_arrays([pa.array(signed[rest % max(1, len(distinct))]), pa.array(times)], ["key", "times"])
+            yield pa.RecordBatch.from_arrays(
+                [rows.slice(part.first, part.rows), doc_id.slice(part.first, part.rows), held_out.slice(part.first, part.rows), pa.array(np.bincount(row, minlength=part.rows)), pa.array(n_known), pa.array(base_part, pa.float64()), pa.array(log_p, pa.float64()), pa.ListArray.from_arrays(pa.array(cut), cold)],
+                ["row", "doc_id", "held_out", "n_tokens", "n_hot", "base_hot", "score", "cold"],
+            )
+
+    def score_whole(batches):
+        model = Filter(shared.value[0], segments, segment_bits, base)
         for batch in batches:
-            for part in T.buffers(batch.column(2), 1 << 20):
-                h, row = tokens(part)
-                before = previous(h, row)
-                distinct, back = np.unique(h, return_inverse=True)
-                key = word_key(distinct)
-                guess = model.count(key)
-                # the model
-                pair = model.count(pair_key(before, h))
-                context = np.empty(len(h))
-                context[1:] = guess[back[:-1]]
-                context[before == BEGIN] = starts
-                p = (1 - share) * (guess[back] + 1) / total + share * np.where(pair > 0, np.minimum(1, pair / np.maximum(context, 1)), 0)
-                log_p = np.bincount(row, weights=np.log10(p), minlength=part.rows)
-                # the baseline, as far as frequent words go
-                signed = key.view(np.int64)
-                at = np.searchsorted(hot_key, signed)
-                at[at == len(hot_key)] = 0
-                is_hot = hot_key[at] == signed if len(hot_key) else np.zeros(len(signed), bool)
-                exact = np.where(is_hot, hot_count[at], 0) if len(hot_key) else np.zeros(len(signed))
-                seen = is_hot[back]
-                base_part = np.bincount(row[seen], weights=np.log10((exact[back][seen] + 1) / total), minlength=part.rows).astype(float)  # whole numbers where nothing is seen
-                n_known = np.bincount(row[seen], minlength=part.rows)
-                rest_row, rest_word = row[~seen], back[~seen]
-                rest, times = np.unique(rest_row * len(distinct) + rest_word, return_counts=True)
-                cut = np.searchsorted(rest // max(1, len(distinct)), np.arange(part.rows + 1)).astype(np.int32)
-                cold = pa.StructArray.from_arrays([pa.array(signed[rest % max(1, len(distinct))]), pa.array(times)], ["key", "times"])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(part.first, part.rows), batch.column(1).slice(part.first, part.rows), batch.column(3).slice(part.first, part.rows), pa.array(np.bincount(row, minlength=part.rows)), pa.array(n_known), pa.array(base_part, pa.float64()), pa.array(log_p, pa.float64()), pa.ListArray.from_arrays(pa.array(cut), cold)],
-                    ["row", "doc_id", "held_out", "n_tokens", "n_hot", "base_hot", "score", "cold"],
-                )
+            yield from score(*batch.columns, model.count)
 
     numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "held_out")
     schema = "row long, doc_id long, held_out boolean, n_tokens long, n_hot long, base_hot double, score double, cold array<struct<key: long, times: long>>"
-    scored = numbered.mapInArrow(score, schema)
+    scored = numbered.mapInArrow(score_whole, schema) if whole else probe_apart(numbered, built, segments, segment_bits, base, score, schema)
     loose = scored.withColumn("w", F.explode_outer("cold")).select("row", "doc_id", "held_out", "n_tokens", "n_hot", "base_hot", "score", F.col("w.key").alias("key"), F.col("w.times").alias("times"))
     counted = loose.join(words_of(False), "key", "left")
     c = F.coalesce("c", F.lit(0))

@@ -360,6 +360,15 @@ def test_filter_counts_are_close(spark):
     assert (model.count(lm_scoring.T.mix(np.arange(10**6, 10**6 + 2000, dtype=np.uint64))) > 0).mean() < 0.2
 
 
+def test_filter_grows_and_probes_in_segments_alike(spark, hard):
+    for size in (10**9, 30 * 10**9):  # a bit a byte at any size, and segments that a task can hold
+        segments, bits = lm_scoring.shape(size, 200)
+        assert segments * bits >= size and bits <= lm_scoring.SEGMENT_BITS
+    docs = catalog.table(spark, DATA, "documents").select("doc_id", "text").unionByName(hard.select("doc_id", "text"))
+    of = lambda bits: Counter((r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in rows_of(lm_scoring.score_documents(docs, max_bits=bits, hot_words=50)))
+    assert of(12) == of(29)
+
+
 # --- pipeline
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
