@@ -36,12 +36,12 @@ from .storage import materialise, text_or_empty
 LEVELS = 4
 
 
-def chance(threshold: float, branches: int, levels: int = 2) -> float:
-    """The chance that one run brings a pair of that similarity together after ``levels`` splits."""
-    p = 1.0
-    for _ in range(levels):
-        p = 1 - (1 - threshold * p) ** branches
-    return p
+def chance(threshold: float, branches: int, levels: int = LEVELS) -> float:
+    """The chance that one run brings a pair of that similarity together after ``levels`` splits.
+
+    All nodes of a level share its orders, so however many nodes a pair has in common it passes a level once.
+    """
+    return (1 - (1 - threshold) ** branches) ** levels
 
 
 def runs_for(recall: float, threshold: float, branches: int) -> int:

@@ -130,6 +130,14 @@ def test_jaccard_keeps_one_of_each(spark, hard, empty):
     assert jaccard_join.runs_for(0.99, 0.8, 2) >= 2
 
 
+def test_jaccard_runs_reach_the_recall_after_all_levels():
+    import numpy as np
+
+    runs, rng = jaccard_join.runs_for(0.99, 0.8, 2), np.random.default_rng(5)
+    agree = rng.random((40_000, runs, jaccard_join.LEVELS, 2)) < 0.8  # the same smallest shingle under each order
+    assert agree.any(3).all(2).any(1).mean() >= 0.99
+
+
 # --- 4
 def test_decontamination_equals_brute_force(spark, hard, empty):
     items = [(1, " ".join(f"W{i}é" for i in range(20, 35))), (10, "One, TWO"), (2, None), (3, ""), (7, "the same line again and again for ever more the"), (7, "the same line again and again for ever more the"), (None, "naïve ☃ 😀 text")]
