@@ -12,8 +12,7 @@ Scale. URLs alone are sorted first, which gives the edges of ranges of some thou
 pages is spread over many ranges. Then pages are parsed once and their packed blocks shuffled once, to their range and, near
 an edge, to the next; a task walks its range with a window of few pages.
 
-Defined results. Null html: empty text. Null url: no host, no neighbours. Repeated rows: a row each. A page without main blocks:
-its open blocks. Empty table: no rows.
+Defined results. Null html: empty text. Null url: no host, no neighbours. Repeated rows: a row each. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -211,8 +210,7 @@ def shared_blocks(pages: list[dict], k: int, reach: int) -> list[bool]:
 
 
 def text_of(blocks: list[tuple[str, str]], shared: list[bool]) -> str:
-    has_main = any(zone == "main" for zone, _ in blocks)
-    return "\n".join(t for (zone, t), s in zip(blocks, shared) if zone == "main" or zone == "open" and not has_main and not s)
+    return "\n".join(t for (zone, t), s in zip(blocks, shared) if zone == "main" or zone == "open" and not s)
 
 
 def _address(url) -> tuple:

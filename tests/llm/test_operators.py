@@ -278,6 +278,14 @@ def test_html_extraction(spark, empty):
     assert html_extraction.extract(pages.limit(0)).count() == 0
 
 
+def test_differencing_decides_open_blocks_beside_an_article(spark):
+    page = lambda i: f"<article><p>Teaser {i}</p></article><div><p>Welcome to our site</p><p>Body number {i} {'y' * 40 * (i + 1)}</p></div>"
+    pages = spark.createDataFrame([(i, f"http://t.example/{i}", page(i)) for i in range(4)], "page_id long, url string, html string")
+    for r in rows_of(html_extraction.extract(pages)):
+        i = r["page_id"]
+        assert r["text"] == f"Teaser {i}\nBody number {i} {'y' * 40 * (i + 1)}"
+
+
 def test_longest_common_subsequence():
     import random
 
