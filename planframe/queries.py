@@ -132,6 +132,9 @@ add("pivot_calculated", "lineitem", [{"op": "pivot", "rows": ["l_returnflag"], "
 # --- windows
 O = select("o_orderkey", "v")
 add("percent_of_total", "orders", [where("o_orderkey", "lte", 2000), {"op": "calculate", "kind": "percent_of_total", "column": "o_totalprice", "per": "o_orderpriority", "name": "v"}, O], "SELECT o_orderkey, round_even(o_totalprice / sum(o_totalprice) OVER (PARTITION BY o_orderpriority) * 100, 2) AS v FROM orders WHERE o_orderkey <= 2000", digits=2)
+_SHARE = {"op": "calculate", "kind": "percent_of_total", "column": "o_totalprice", "per": "o_orderpriority", "name": "v"}
+add("percent_of_total_all", "orders", [_SHARE, O], "SELECT o_orderkey, round_even(o_totalprice / sum(o_totalprice) OVER (PARTITION BY o_orderpriority) * 100, 2) AS v FROM orders", digits=2)
+add("percent_of_total_groups", "orders", [{"op": "group_by", "columns": ["o_orderpriority", "o_orderstatus"], "aggregations": [{"column": "o_totalprice", "func": "sum"}]}, _SHARE | {"column": "sum_o_totalprice"}, select("o_orderpriority", "o_orderstatus", "v")], "SELECT o_orderpriority, o_orderstatus, round_even(sum(o_totalprice) / sum(sum(o_totalprice)) OVER (PARTITION BY o_orderpriority) * 100, 2) AS v FROM orders GROUP BY 1, 2", digits=2)
 add("running_total", "orders", [{"op": "calculate", "kind": "running_total", "column": "o_custkey", "name": "v"}, O], "SELECT o_orderkey, (sum(o_custkey) OVER (ORDER BY o_orderkey))::DOUBLE AS v FROM orders")
 add("running_total_per", "orders", [{"op": "calculate", "kind": "running_total", "column": "o_custkey", "per": "o_orderpriority", "name": "v"}, O], "SELECT o_orderkey, (sum(o_custkey) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey))::DOUBLE AS v FROM orders")
 add("rank", "lineitem", [{"op": "calculate", "kind": "rank", "column": "l_quantity", "name": "v"}, select("l_orderkey", "l_linenumber", "v")], "SELECT l_orderkey, l_linenumber, rank() OVER (ORDER BY l_quantity DESC) AS v FROM lineitem")
@@ -169,6 +172,7 @@ _CMP = lambda keep: [{"op": "compare", "file": "o", "left_on": "c_custkey", "rig
 add("compare_both", "customer", [*_CMP("both"), select("c_custkey")], "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)", {"o": "orders"})
 add("compare_only_here", "customer", [*_CMP("only_here"), select("c_custkey")], "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)", {"o": "orders"})
 add("compare_only_there", "customer", [where("c_custkey", "lte", 500), *_CMP("only_there"), select("o_orderkey")], "SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey <= 500)", {"o": "orders"})
+add("compare_only_there_all", "customer", [where("c_acctbal", "gt", 0), *_CMP("only_there"), select("o_orderkey")], "SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)", {"o": "orders"})
 add("compare_rows", "supplier", [select("s_nationkey"), {"op": "rename", "mapping": {"s_nationkey": "n_nationkey"}}, {"op": "compare", "file": "n", "keep": "both"}], "SELECT s_nationkey AS n_nationkey FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation)", {"n": "nation"})
 
 

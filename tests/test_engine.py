@@ -83,3 +83,16 @@ def test_gate_and_profile(spark, rows):
     assert run_sql(spark, 'SELECT "id" AS n FROM t WHERE id < 3', {"t": rows.output()}).count() == 2
     got = {r["name"]: r for r in profile.profile(rows.output()).collect()}
     assert got["name"]["n_blank"] == 2 and got["x"]["n_blank"] == 2 and got["id"]["n_distinct"] == 5
+
+
+def test_shares_and_comparisons_over_whole_tables(spark):
+    from planframe import queries
+
+    data, made = "/root/testdata/sf0.001", queries.queries()
+    orders = spark.read.parquet(f"{data}/orders.parquet")
+    assert made["percent_of_total_all"](spark, data).count() == orders.count()
+    shares = made["percent_of_total_groups"](spark, data).collect()
+    assert len(shares) == orders.select("o_orderpriority", "o_orderstatus").distinct().count()
+    assert abs(sum(r["v"] for r in shares) - 100 * len({r["o_orderpriority"] for r in shares})) < 0.1
+    rich = spark.read.parquet(f"{data}/customer.parquet").filter("c_acctbal > 0")
+    assert made["compare_only_there_all"](spark, data).count() == orders.join(rich, orders.o_custkey == rich.c_custkey, "left_anti").count() > 0
