@@ -4,7 +4,7 @@ Pages are parsed into text blocks with a zone: ``out`` (menus, headers, footers,
 adverts, forms, reader comments, by element or by the words of class, id and role), ``main`` (inside an article or main element)
 or ``open`` (nothing tells). All pages are ordered by host and URL path; each is aligned with its nearest
 neighbours in this order on the same host by the longest common subsequence of its blocks, and shared
-blocks are marked. A page that shares most of its text with a neighbour is a copy, not a sibling from one template: the
+blocks are marked. A page that shares most of its text (``out`` blocks apart) with a neighbour is a copy, not a sibling from one template: the
 next neighbour is taken instead. ``open`` blocks that are shared are deleted, ``out`` blocks always. Blocks inside an
 article that its author marked as such stay even when shared: two articles may quote one passage.
 
@@ -188,6 +188,11 @@ def _closeness(a: str, b: str) -> int:
     return n
 
 
+def _inside(page: dict) -> int:
+    """The length of a page without what is never part of the article."""
+    return sum(len(t) for zone, t in page["blocks"] if zone != "out")
+
+
 def shared_blocks(pages: list[dict], k: int, reach: int) -> list[bool]:
     """Which blocks of page k are shared with its nearest neighbour that is no copy of it."""
     page = pages[k]
@@ -198,10 +203,9 @@ def shared_blocks(pages: list[dict], k: int, reach: int) -> list[bool]:
     near = [p for p in pages if p["host"] == page["host"] and 0 < abs(p["g"] - page["g"]) <= reach]
     near.sort(key=lambda p: (-_closeness(p["path"], page["path"]), abs(p["g"] - page["g"]), p["g"]))
     for other in near:
-        theirs = [t for _, t in other["blocks"]]
-        pairs = common(mine, theirs)
-        size = sum(len(mine[i]) for i, _ in pairs)
-        if size > COPY_SHARE * max(1, min(sum(map(len, mine)), sum(map(len, theirs)))):
+        pairs = common(mine, [t for _, t in other["blocks"]])
+        size = sum(len(mine[i]) for i, _ in pairs if page["blocks"][i][0] != "out")
+        if size > COPY_SHARE * max(1, min(_inside(page), _inside(other))):
             continue
         for i, _ in pairs:
             flags[i] = True

@@ -286,6 +286,12 @@ def test_differencing_decides_open_blocks_beside_an_article(spark):
         assert r["text"] == f"Teaser {i}\nBody number {i} {'y' * 40 * (i + 1)}"
 
 
+def test_long_menus_do_not_make_pages_copies(spark):
+    page = lambda i: f"<nav>{'menu ' * 200}</nav><div><p>Welcome to our site</p><p>Body number {i} {'y' * 40 * (i + 1)}</p></div>"
+    pages = spark.createDataFrame([(i, f"http://m.example/{i}", page(i)) for i in range(4)], "page_id long, url string, html string")
+    assert all("Welcome" not in r["text"] and "Body" in r["text"] for r in rows_of(html_extraction.extract(pages)))
+
+
 def test_longest_common_subsequence():
     import random
 
