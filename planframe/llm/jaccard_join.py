@@ -23,14 +23,13 @@ Null doc_id: a class_id may then be null. Empty table: no rows. Extra columns ar
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
+from .arrow import runs_of
 from .storage import materialise, text_or_empty
 
 LEVELS = 4
@@ -146,29 +145,6 @@ def leaves(classes: DataFrame, runs: int, branches: int, small: int, alike: floa
     return found
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Runs of rows with equal keys; rows come sorted by them."""
-    held: list[pa.RecordBatch] = []
-    name = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
-        change = np.zeros(batch.num_rows, bool)
-        for c in columns:
-            change[1:] |= c[1:] != c[:-1]
-        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
-        for a, b in zip(cuts, cuts[1:]):
-            now = tuple(c[a] for c in columns)
-            if held and now != name:
-                yield pa.Table.from_batches(held)
-                held = []
-            name = now
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _shared(tokens: list[np.ndarray], chunk: int = 2048) -> np.ndarray:
     """How many tokens each two sets share."""
     n = len(tokens)
@@ -255,7 +231,7 @@ def links(classes: DataFrame, found: DataFrame, docs: DataFrame, n: int, thresho
     )
 
     def join(batches):
-        for table in _groups(batches, ["node", "a", "b"]):
+        for table in runs_of(batches, ["node", "a", "b"]):
             if (got := _join_block(table, threshold)) is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], ["set_key", "linked_sets", "linked_rows", "reach"])
 

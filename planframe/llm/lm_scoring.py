@@ -2,41 +2,49 @@
 
 Counts of words and word pairs in the training documents are quantised on a logarithmic scale: a count c
 gets the level ``1 + floor(log_base c)``, and the filter holds the n-gram with every level up to its own.
-A reader probes level 1, 2, ... until a probe fails; the last level found gives the expected count.
-A count is thus never underestimated by more than its level, and a wrong hit is as rare as the filter is
-sparse. Probabilities are smoothed by interpolation: ``(1 - share) * (c(w) + 1) / (N + V + 1) + share *
-c(v, w) / c(v)``, with every c out of the filter.
-
-Scale. Tasks send sorted hashes with counts, packed by segment of the hash space; each segment is merged by one
-task, which sets the bits of its own part of the filter. The filter has a bit for each byte of the
-training text at any size, so it never becomes denser. Up to ``2**max_bits`` bits (64 MB) workers receive it whole;
-a larger one stays in its segments: the distinct n-grams of each part of the documents are sent to the
-segments, probed there, and their levels sent back to the part. Both ways give the same scores. The exact word counts that the baseline asks for are
-never collected: words with at least ``N / hot_words`` occurrences (``hot_words`` of them at most) are
-broadcast, all others are joined on Spark.
-
-Defined results. Null or blank text: one token (the end). Repeated rows: scored each. Empty table: no
-rows. Empty training part: N = V = 0 and every count 0.
+A reader probes level 1, 2, ... until a probe fails; the last level found gives the expected count, the middle
+of the counts of that level. Probabilities are smoothed by interpolation: ``(1 - share) * (c(w) + 1) / (N + V + 1) +
+share * c(v, w) / c(v)``, with every c out of the filter, each part at most 1; a word after an unknown
+word has the first part alone. So no probability exceeds 1 and no score is positive.
+
+Error. A level is never missed, so a count is never read below its level (a factor of ``base`` at most). It is read
+too high only where all PROBES bits of the next level are set by others. Every segment of the filter is as long as its own
+number of entries (n-grams times levels) demands, ``bits_per_entry`` each, whatever the input: with 8 bits and 3
+probes a third of the bits are set at most, so one n-gram in 30 is read one level too high.
+
+Scale. Tasks send sorted hashes with counts, packed by segment of the hash space; the number of segments follows the
+bytes of training text, so the work of a segment does not grow. A filter of up to ``2**max_bits`` bits (64 MB) is
+broadcast whole; a larger one stays in its segments, and the distinct n-grams of each pack of documents are sent there,
+probed, and their levels sent back to the pack. Both ways give the same scores, at any number of partitions. The exact word counts that the
+baseline asks for are looked up in the same segments in the same round; no vocabulary is ever collected.
+
+Defined results. Null or blank text: one token (the end). Repeated rows: scored each. Very long text: a pack of its
+own. Empty table: no rows. Empty training part: N = V = 0 and every count 0. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
+from .arrow import runs_of
 from .storage import materialise, text_or_empty
 
 END = T.mix(np.array([11], T.U64))[0]
 BEGIN = T.mix(np.array([13], T.U64))[0]
 _WORD, _PAIR = T.U64(0x5851F42D4C957F2D), T.U64(0x14057B7EF767814F)
 PROBES = 3
-TOP = 64
-#: Bits of a segment at most, and bytes of text in a part whose n-grams are looked up together.
-SEGMENT_BITS = 1 << 23
-PART_BYTES = 1 << 21
+TOP = 96
+#: Bytes of training text whose n-grams share a segment, and bytes of text in a pack of documents.
+SEGMENT_BYTES = 8 << 20
+PACK_BYTES = 4 << 20
+MOST_TASKS = 50_000
+_LOW = T.U64((1 << 40) - 1)
 
 
 def tokens(part: T.Buffers) -> tuple[np.ndarray, np.ndarray]:
@@ -66,6 +74,22 @@ def pair_key(before: np.ndarray, h: np.ndarray) -> np.ndarray:
     return T.mix(T.mix(before ^ _PAIR) + h)
 
 
+def home(key: np.ndarray, segments: int) -> np.ndarray:
+    """The segment of each key, from its upper half; inside a segment the lower 40 bits name it."""
+    return ((key >> T.U64(32)) % T.U64(segments)).astype(np.int64)
+
+
+def short(key: np.ndarray) -> bytes:
+    """The lower 40 bits of each key."""
+    return np.ascontiguousarray(key).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def unshort(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // 5, 8), np.uint8)
+    wide[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return wide.reshape(-1).view(T.U64)
+
+
 def level_of(count: np.ndarray, base: float) -> np.ndarray:
     return 1 + np.floor(np.log(count) / np.log(base) + 1e-9).astype(np.int64)
 
@@ -76,25 +100,44 @@ def expected(base: float) -> np.ndarray:
     return np.concatenate([[0.0], (edge[:-1] + np.maximum(edge[1:] - 1, edge[:-1])) / 2])
 
 
-def positions(key: np.ndarray, level: int, segments: int, segment_bits: int) -> list[np.ndarray]:
-    """The bits of a key at a level; all lie in the segment of the key."""
-    h = T.mix(key ^ T.mix(np.array([level], T.U64) * T.U64(0xA0761D6478BD642F)))
-    home = (key % T.U64(segments)) * T.U64(segment_bits)
+def positions(key: np.ndarray, level: int, size) -> list[np.ndarray]:
+    """The bits of a key at a level, in a segment of ``size`` bits (one size, or one a key)."""
+    h = T.mix((key & _LOW) ^ T.mix(np.array([level], T.U64) * T.U64(0xA0761D6478BD642F)))
     step = T.mix(h) | T.U64(1)
-    return [home + (h + T.U64(i) * step) % T.U64(segment_bits) for i in range(PROBES)]
+    return [(h + T.U64(i) * step) % size for i in range(PROBES)]
+
+
+def set_bits(key: np.ndarray, level: np.ndarray, bits_per_entry: int) -> np.ndarray:
+    """The packed bits of one segment."""
+    size = max(64, -(-int(level.sum()) * bits_per_entry // 8) * 8)
+    bits = np.zeros(size, bool)
+    for j in range(1, int(level.max(initial=0)) + 1):
+        for at in positions(key[level >= j], j, T.U64(size)):
+            bits[at] = True
+    return np.packbits(bits, bitorder="little")
 
 
 class Filter:
-    def __init__(self, bits: np.ndarray, segments: int, segment_bits: int, base: float):
-        self.bits, self.segments, self.segment_bits, self.counts = bits, segments, segment_bits, expected(base)
+    """Segments of bits, one behind the other."""
 
-    def level(self, key: np.ndarray) -> np.ndarray:
+    def __init__(self, parts: dict[int, np.ndarray], segments: int):
+        """``parts``: packed bits by segment; a segment without n-grams may lack."""
+        self.sizes = np.array([8 * len(parts.get(s, ())) for s in range(segments)], T.U64)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.bits = np.concatenate([np.zeros(0, np.uint8), *[parts[s] for s in sorted(parts)]])
+        self.segments = segments
+
+    def level(self, key: np.ndarray, segment: np.ndarray | None = None) -> np.ndarray:
         """The last level found, by probing one level after another."""
         level = np.zeros(len(key), np.int64)
-        alive = np.arange(len(key))
+        if segment is None:
+            segment = home(key, self.segments)
+        alive = np.flatnonzero(self.sizes[segment] > 0)
         for j in range(1, TOP + 1):
+            where = segment[alive]
             found = np.ones(len(alive), bool)
-            for at in positions(key[alive], j, self.segments, self.segment_bits):
+            for at in positions(key[alive], j, self.sizes[where]):
+                at = at + self.first[where]
                 found &= ((self.bits[at >> T.U64(3)] >> (at & T.U64(7)).astype(np.uint8)) & 1).astype(bool)
             alive = alive[found]
             if not len(alive):
@@ -102,32 +145,22 @@ class Filter:
             level[alive] = j
         return level
 
-    def count(self, key: np.ndarray) -> np.ndarray:
-        """Expected counts."""
-        return self.counts[self.level(key)]
-
-
-def shape(size: int, partitions: int) -> tuple[int, int]:
-    """Segments, and bits of each, for that many bytes of training text."""
-    total = 1 << max(0, size - 1).bit_length()
-    segments = max(64, partitions, total // SEGMENT_BITS)
-    return segments, max(1 << 10, total // segments) & ~7
 
+def in_segments(key: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order that brings the keys into their segments, and where each segment begins."""
+    at = home(key, segments)
+    order = np.argsort(at, kind="stable")
+    return order, np.searchsorted(at[order], np.arange(segments + 1))
 
-def by_segment(key: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
-    """The keys in order of their segments, and where each segment begins."""
-    home = (key % T.U64(segments)).astype(np.int64)
-    order = np.argsort(home, kind="stable")
-    return order, np.searchsorted(home[order], np.arange(segments + 1))
 
-
-def keys_of(text: pa.Array) -> np.ndarray:
-    """The distinct keys of all words and pairs, sorted."""
-    found = [np.zeros(0, T.U64)]
+def keys_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of all words and of all pairs, sorted."""
+    words, pairs = [np.zeros(0, T.U64)], [np.zeros(0, T.U64)]
     for part in T.buffers(text, 1 << 20):
         h, row = tokens(part)
-        found += [word_key(np.unique(h)), np.unique(pair_key(previous(h, row), h))]
-    return np.unique(np.concatenate(found))
+        words.append(word_key(np.unique(h)))
+        pairs.append(np.unique(pair_key(previous(h, row), h)))
+    return np.unique(np.concatenate(words)), np.unique(np.concatenate(pairs))
 
 
 def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -139,214 +172,208 @@ def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
 
 
 def gather(training: DataFrame, segments: int, flush: int = 2_500_000) -> DataFrame:
-    """segment, kind (0: words, 1: pairs), keys, counts: packed counts of each task, a few rows a segment."""
+    """segment, is_word, keys, counts: packed counts of each task, a few rows a segment."""
 
     def count(batches):
-        held = {0: ([], []), 1: ([], [])}
+        held = {True: ([], []), False: ([], [])}
         size = 0
 
         def out():
-            for kind, (keys, counts) in held.items():
+            for is_word, (keys, counts) in held.items():
                 if not keys:
                     continue
                 key, number = _merge(keys, counts)
-                order, cut = by_segment(key, segments)
-                key, number = key[order], number[order]
-                some = [s for s in range(segments) if cut[s] < cut[s + 1]]
+                order, cut = in_segments(key, segments)
+                key, number = key[order], number[order].astype(np.uint32)
+                some = np.flatnonzero(cut[1:] > cut[:-1])
+                pack = (lambda k: k.tobytes()) if is_word else short
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(some, pa.int32()), pa.array([kind] * len(some), pa.int32()), pa.array([key[cut[s] : cut[s + 1]].tobytes() for s in some], pa.binary()), pa.array([number[cut[s] : cut[s + 1]].astype(np.uint32).tobytes() for s in some], pa.binary())],
-                    ["segment", "kind", "keys", "counts"],
+                    [pa.array(some, pa.int32()), pa.array([is_word] * len(some), pa.bool_()), pa.array([pack(key[cut[s] : cut[s + 1]]) for s in some], pa.binary()), pa.array([zlib.compress(number[cut[s] : cut[s + 1]].tobytes(), 1) for s in some], pa.binary())],
+                    ["segment", "is_word", "keys", "counts"],
                 )
-                held[kind] = ([], [])
+                held[is_word] = ([], [])
 
         for batch in batches:
             for part in T.buffers(batch.column(0), 1 << 20):
                 h, row = tokens(part)
-                for kind, key in ((0, word_key(h)), (1, pair_key(previous(h, row), h))):
+                for is_word, key in ((True, word_key(h)), (False, pair_key(previous(h, row), h))):
                     key, number = np.unique(key, return_counts=True)
-                    held[kind][0].append(key)
-                    held[kind][1].append(number)
+                    held[is_word][0].append(key)
+                    held[is_word][1].append(number)
                     size += len(key)
                 if size > flush:
                     yield from out()
                     size = 0
         yield from out()
 
-    return training.select("text").mapInArrow(count, "segment int, kind int, keys binary, counts binary")
+    return training.select("text").mapInArrow(count, "segment int, is_word boolean, keys binary, counts binary")
 
 
-def train(docs: DataFrame, share_words: int, base: float) -> tuple[DataFrame, dict, int, int]:
-    """Per segment: part of the filter, packed word counts, their sum and number. And what is known of the whole."""
-    spark = docs.sparkSession
+def to_segments(df: DataFrame, segments: int, *order: str) -> DataFrame:
+    """Rows at the task of their segment, a task for each up to MOST_TASKS, in order of segments."""
+    tasks = min(segments, MOST_TASKS)
+    return df.repartitionById(tasks, F.pmod("segment", F.lit(tasks))).sortWithinPartitions("segment", *order)
+
+
+def _packed(table: pa.Table, words: bool) -> tuple[np.ndarray, np.ndarray]:
+    """All counts of the words, or of the pairs, of one segment."""
+    keys, counts = [np.zeros(0, T.U64)], [np.zeros(0, np.int64)]
+    for is_word, k, c in zip(*(table.column(n).to_pylist() for n in ("is_word", "keys", "counts"))):
+        if is_word == words:
+            keys.append(np.frombuffer(k, T.U64) if words else unshort(k))
+            counts.append(np.frombuffer(zlib.decompress(c), np.uint32).astype(np.int64))
+    return _merge(keys, counts)
+
+
+def train(docs: DataFrame, base: float, bits_per_entry: int) -> tuple[DataFrame, dict, int]:
+    """Per segment: its bits, its words and their counts. And what is known of the whole."""
     size, rows = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
-    segments, segment_bits = shape(int(size), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    segments = max(1, -(-int(size) // SEGMENT_BYTES))
 
     def build(batches):
-        from .jaccard_join import _groups
-
-        for table in _groups(batches, ["segment"]):
-            kind = table.column("kind").to_numpy()
-            keys, counts = table.column("keys").to_pylist(), table.column("counts").to_pylist()
-            bits = np.zeros(segment_bits, bool)
-            words = None
-            for k in (0, 1):
-                mine = np.flatnonzero(kind == k)
-                if not len(mine):
-                    continue
-                key, number = _merge([np.frombuffer(keys[i], T.U64) for i in mine], [np.frombuffer(counts[i], np.uint32).astype(np.int64) for i in mine])
-                if k == 0:
-                    words = key, number
-                level = level_of(number, base)
-                home = (key % T.U64(segments)) * T.U64(segment_bits)
-                for j in range(1, int(level.max()) + 1):
-                    some = level >= j
-                    for at in positions(key[some], j, segments, segment_bits):
-                        bits[at - home[some]] = True
-            key, number = words if words else (np.zeros(0, T.U64), np.zeros(0, np.int64))
+        for table in runs_of(batches, ["segment"]):
+            word, number = _packed(table, True)
+            pair, times = _packed(table, False)
+            bits = set_bits(np.concatenate([word, pair]), level_of(np.concatenate([number, times]), base), bits_per_entry)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([table.column("segment")[0].as_py()], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()), pa.array([key.tobytes()], pa.binary()), pa.array([number.tobytes()], pa.binary()), pa.array([int(number.sum())]), pa.array([len(key)])],
-                ["segment", "bits", "keys", "counts", "n", "v"],
+                [pa.array([table.column("segment")[0].as_py()], pa.int32()), pa.array([bits.tobytes()], pa.binary()), pa.array([word.tobytes()], pa.binary()), pa.array([zlib.compress(number.tobytes(), 1)], pa.binary()), pa.array([int(number.sum())]), pa.array([len(word)])],
+                ["segment", "bits", "words", "counts", "n", "v"],
             )
 
-    packed = gather(docs, segments).repartition(segments, "segment").sortWithinPartitions("segment")
-    built = materialise(packed.mapInArrow(build, "segment int, bits binary, keys binary, counts binary, n long, v long"))
-    n, v = built.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    return built, {"N": int(n), "V": int(v), "D": int(rows), "hot": max(1, -(-int(n) // share_words))}, segments, segment_bits
+    packed = to_segments(gather(docs, segments), segments)
+    built = materialise(packed.mapInArrow(build, "segment int, bits binary, words binary, counts binary, n long, v long"))
+    n, v, size = built.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in (F.col("n"), F.col("v"), F.octet_length("bits"))]).first()
+    return built, {"N": int(n), "V": int(v), "D": int(rows), "bytes": int(size)}, segments
 
 
-def probe_apart(numbered: DataFrame, built: DataFrame, segments: int, segment_bits: int, base: float, score, schema: str) -> DataFrame:
-    """Scores with the filter left in its segments: only keys go there and only levels come back."""
-    spark = numbered.sparkSession
-    size = numbered.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = -(-int(size) // PART_BYTES) or 1
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-parts // 16))
-    dealt = numbered.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts))).repartition(tasks, "part")
+def packs(docs: DataFrame) -> DataFrame:
+    """part, data: consecutive rows of about PACK_BYTES of text as one compressed Arrow stream."""
 
-    def ask(table: pa.Table) -> pa.Table:
-        key = keys_of(table.column("text").combine_chunks())
-        order, cut = by_segment(key, segments)
-        key = key[order]
-        some = [s for s in range(segments) if cut[s] < cut[s + 1]]
-        part = table.column("part")[0].as_py()
-        return pa.table({"segment": pa.array(some, pa.int32()), "part": pa.array([part] * len(some), pa.int64()), "data": pa.array([key[cut[s] : cut[s + 1]].tobytes() for s in some], pa.binary())})
+    def pack(batches):
+        from pyspark import TaskContext
+
+        part, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def out():
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                for batch in held:
+                    stream.write_batch(batch)
+            return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["part", "data"])
 
-    def probe(batches):
-        """In each segment its bits come first, then the keys of one part after another."""
-        here, model = None, None
         for batch in batches:
-            levels = []
-            for segment, part, data in zip(*(c.to_pylist() for c in batch.columns)):
-                if segment != here:
-                    here, model = segment, None
-                if part < 0:
-                    model = Filter(np.frombuffer(data, np.uint8), 1, segment_bits, base)
-                    continue
-                key = np.frombuffer(data, T.U64)
-                level = model.level(key) if model else np.zeros(len(key), np.int64)
-                levels.append((segment, part, level.astype(np.uint8).tobytes()))
-            if levels:
-                kinds = (pa.int32(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*levels), kinds)], ["segment", "part", "levels"])
-
-    def settle(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        docs = docs.sort_by("row")
-        text = docs.column("text").combine_chunks()
-        key = keys_of(text)
-        order, cut = by_segment(key, segments)
-        level = np.zeros(len(key), np.int64)
-        for s, found in zip(answers.column("segment").to_pylist(), answers.column("levels").to_pylist()):
-            level[order[cut[s] : cut[s + 1]]] = np.frombuffer(found, np.uint8)
-        counts = expected(base)
-        row, doc_id, held_out = (docs.column(c).combine_chunks() for c in ("row", "doc_id", "held_out"))
-        return pa.Table.from_batches(list(score(row, doc_id, text, held_out, lambda k: counts[level[np.searchsorted(key, k)]])))
+            for some in T.buffers(batch.column(batch.schema.get_field_index("text")), PACK_BYTES // 4):
+                held.append(batch.slice(some.first, some.rows))
+                size += len(some.data)
+                if size >= PACK_BYTES:
+                    yield out()
+                    part, held, size = part + 1, [], 0
+        if held:
+            yield out()
+
+    return docs.mapInArrow(pack, "part long, data binary")
+
+
+def unpack(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all().combine_chunks()
+
+
+def ask(placed: DataFrame, segments: int, pairs_too: bool) -> DataFrame:
+    """segment, part, words, pairs: the distinct keys of each pack, by segment."""
+
+    def keys(batches):
+        for batch in batches:
+            for part, data in zip(*(c.to_pylist() for c in batch.columns)):
+                words, pairs = keys_of(unpack(data).column("text").combine_chunks())
+                pairs = pairs if pairs_too else pairs[:0]
+                (a, cut_a), (b, cut_b) = in_segments(words, segments), in_segments(pairs, segments)
+                words, pairs = words[a], pairs[b]
+                some = np.flatnonzero((cut_a[1:] > cut_a[:-1]) | (cut_b[1:] > cut_b[:-1]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(some, pa.int32()), pa.array([part] * len(some), pa.int64()), pa.array([words[cut_a[s] : cut_a[s + 1]].tobytes() for s in some], pa.binary()), pa.array([short(pairs[cut_b[s] : cut_b[s + 1]]) for s in some], pa.binary())],
+                    ["segment", "part", "words", "pairs"],
+                )
+
+    return placed.mapInArrow(keys, "segment int, part long, words binary, pairs binary")
 
-    asked = dealt.groupBy("part").applyInArrow(ask, "segment int, part long, data binary")
-    bits = built.select("segment", F.lit(-1).cast("long").alias("part"), F.col("bits").alias("data"))
-    placed = bits.unionByName(asked).repartition(segments, "segment").sortWithinPartitions("segment", "part")
-    answers = placed.mapInArrow(probe, "segment int, part long, levels binary").repartition(tasks, "part")
-    return dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(settle, schema)
 
+def answer(asked: DataFrame, built: DataFrame, segments: int, with_filter: bool) -> DataFrame:
+    """part, segment, counts, levels: exact counts of the words, and levels of words and pairs (``with_filter``)."""
+    own = built.select("segment", F.lit(-1).cast("long").alias("part"), "words", F.col("bits").alias("pairs"), "counts")
 
-def score_documents(docs: DataFrame, held_out: int = 2, folds: int = 7, share: float = 0.5, base: float = 1.5, max_bits: int = 29, hot_words: int = 4_000_000) -> DataFrame:
+    def probe(batches):
+        """In each segment its bits and words come first, then the keys of one pack after another."""
+        here, model, known, counts = None, None, None, None
+        for batch in batches:
+            out = []
+            for segment, part, words, pairs, packed in zip(*(c.to_pylist() for c in batch.columns)):
+                if part < 0:
+                    here, model = segment, Filter({0: np.frombuffer(pairs, np.uint8)}, 1) if with_filter else None
+                    known, counts = np.frombuffer(words, T.U64), np.frombuffer(zlib.decompress(packed), np.int64)
+                    continue
+                if segment != here:
+                    here, model, known, counts = segment, None, np.zeros(0, T.U64), np.zeros(0, np.int64)
+                word, pair = np.frombuffer(words, T.U64), unshort(pairs)
+                found = np.zeros(len(word), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, word), len(known) - 1)
+                    found = np.where(known[at] == word, counts[at], 0)
+                key = np.concatenate([word, pair]) if with_filter else pair
+                level = model.level(key, np.zeros(len(key), np.int64)) if model else np.zeros(len(key), np.int64)
+                out.append((part, segment, zlib.compress(found.tobytes(), 1), zlib.compress(level.astype(np.uint8).tobytes(), 1)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["part", "segment", "counts", "levels"])
+
+    placed = to_segments(own.unionByName(asked, allowMissingColumns=True), segments, "part")
+    return placed.mapInArrow(probe, "part long, segment int, counts binary, levels binary")
+
+
+def score_documents(docs: DataFrame, held_out: int = 2, folds: int = 7, share: float = 0.5, base: float = 1.5, bits_per_entry: int = 8, max_bits: int = 29) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
     spark = docs.sparkSession
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(folds))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(docs).alias("text"), (fold == held_out).alias("held_out"))
-    built, known, segments, segment_bits = train(rows.filter(~F.col("held_out")), hot_words, base)
-    whole = segments * segment_bits <= 1 << max_bits
-    bits = np.zeros(segments * segment_bits // 8 if whole else 0, np.uint8)
-    if whole:
-        for segment, part in built.select("segment", "bits").toLocalIterator():  # 2**max_bits bits at most
-            bits[segment * segment_bits // 8 : (segment + 1) * segment_bits // 8] = np.frombuffer(part, np.uint8)
-    hot = known["hot"]
-
-    def words_of(only_hot: bool):
-        def unpack(batches):
-            for batch in batches:
-                for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    key, number = np.frombuffer(k, np.int64), np.frombuffer(c, np.int64)
-                    some = (number >= hot) == only_hot
-                    if only_hot:
-                        yield pa.RecordBatch.from_arrays([pa.array([key[some].tobytes()], pa.binary()), pa.array([number[some].tobytes()], pa.binary())], ["key", "c"])
-                    else:
-                        yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(number[some])], ["key", "c"])
-
-        return built.select("keys", "counts").mapInArrow(unpack, "key binary, c binary" if only_hot else "key long, c long")
-
-    frequent = words_of(True).collect()  # at most hot_words words, by the choice of the least count
-    key = np.concatenate([np.frombuffer(r[0], np.int64) for r in frequent] or [np.zeros(0, np.int64)])
-    number = np.concatenate([np.frombuffer(r[1], np.int64) for r in frequent] or [np.zeros(0, np.int64)])
-    order = np.argsort(key)
-    shared = spark.sparkContext.broadcast((bits, key[order], number[order]))
-    n, total = known["N"], known["N"] + known["V"] + 1
-    starts = max(1, known["D"])
-
-    def score(rows, doc_id, text, held_out, count_of):
-        _, hot_key, hot_count = shared.value
+    built, known, segments = train(rows.filter(~F.col("held_out")), base, bits_per_entry)
+    whole = 8 * known["bytes"] <= 1 << max_bits
+    parts = {s: np.frombuffer(b, np.uint8) for s, b in built.select("segment", "bits").toLocalIterator()} if whole else {}  # 2**max_bits bits at most
+    shared = spark.sparkContext.broadcast(Filter(parts, segments) if whole else None)
+    n, total, starts = known["N"], known["N"] + known["V"] + 1, max(1, known["D"])
+    middle = expected(base)
+
+    def settle(pack: pa.Table, answers: pa.Table) -> pa.Table:
+        docs = unpack(pack.column("data")[0].as_py())
+        text = docs.column("text").combine_chunks()
+        words, pairs = keys_of(text)
+        (a, cut_a), (b, cut_b) = in_segments(words, segments), in_segments(pairs, segments)
+        exact, word_level, pair_level = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), np.zeros(len(pairs), np.int64)
+        for s, counts, levels in zip(*(answers.column(c).to_pylist() for c in ("segment", "counts", "levels"))):
+            exact[a[cut_a[s] : cut_a[s + 1]]] = np.frombuffer(zlib.decompress(counts), np.int64)
+            if not whole:
+                level, many = np.frombuffer(zlib.decompress(levels), np.uint8), cut_a[s + 1] - cut_a[s]
+                word_level[a[cut_a[s] : cut_a[s + 1]]] = level[:many]
+                pair_level[b[cut_b[s] : cut_b[s + 1]]] = level[many:]
+        if whole:
+            word_level, pair_level = shared.value.level(words), shared.value.level(pairs)
+        word_count, pair_count = middle[word_level], middle[pair_level]
+        one = np.log10((exact + 1) / total)
+        out = []
         for part in T.buffers(text, 1 << 20):
             h, row = tokens(part)
             before = previous(h, row)
-            distinct, back = np.unique(h, return_inverse=True)
-            key = word_key(distinct)
-            guess = count_of(key)
-            # the model
-            pair = count_of(pair_key(before, h))
+            at = np.searchsorted(words, word_key(h))
+            pair = pair_count[np.searchsorted(pairs, pair_key(before, h))]
             context = np.empty(len(h))
-            context[1:] = guess[back[:-1]]
+            context[1:] = word_count[at[:-1]]
             context[before == BEGIN] = starts
-            p = (1 - share) * (guess[back] + 1) / total + share * np.where(pair > 0, np.minimum(1, pair / np.maximum(context, 1)), 0)
-            log_p = np.bincount(row, weights=np.log10(p), minlength=part.rows)
-            # the baseline, as far as frequent words go
-            signed = key.view(np.int64)
-            at = np.searchsorted(hot_key, signed)
-            at[at == len(hot_key)] = 0
-            is_hot = hot_key[at] == signed if len(hot_key) else np.zeros(len(signed), bool)
-            exact = np.where(is_hot, hot_count[at], 0) if len(hot_key) else np.zeros(len(signed))
-            seen = is_hot[back]
-            base_part = np.bincount(row[seen], weights=np.log10((exact[back][seen] + 1) / total), minlength=part.rows).astype(float)  # whole numbers where nothing is seen
-            n_known = np.bincount(row[seen], minlength=part.rows)
-            rest_row, rest_word = row[~seen], back[~seen]
-            rest, times = np.unique(rest_row * len(distinct) + rest_word, return_counts=True)
-            cut = np.searchsorted(rest // max(1, len(distinct)), np.arange(part.rows + 1)).astype(np.int32)
-            cold = pa.StructArray.from_arrays([pa.array(signed[rest % max(1, len(distinct))]), pa.array(times)], ["key", "times"])
-            yield pa.RecordBatch.from_arrays(
-                [rows.slice(part.first, part.rows), doc_id.slice(part.first, part.rows), held_out.slice(part.first, part.rows), pa.array(np.bincount(row, minlength=part.rows)), pa.array(n_known), pa.array(base_part, pa.float64()), pa.array(log_p, pa.float64()), pa.ListArray.from_arrays(pa.array(cut), cold)],
-                ["row", "doc_id", "held_out", "n_tokens", "n_hot", "base_hot", "score", "cold"],
-            )
-
-    def score_whole(batches):
-        model = Filter(shared.value[0], segments, segment_bits, base)
-        for batch in batches:
-            yield from score(*batch.columns, model.count)
-
-    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "held_out")
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_hot long, base_hot double, score double, cold array<struct<key: long, times: long>>"
-    scored = numbered.mapInArrow(score_whole, schema) if whole else probe_apart(numbered, built, segments, segment_bits, base, score, schema)
-    loose = scored.withColumn("w", F.explode_outer("cold")).select("row", "doc_id", "held_out", "n_tokens", "n_hot", "base_hot", "score", F.col("w.key").alias("key"), F.col("w.times").alias("times"))
-    counted = loose.join(words_of(False), "key", "left")
-    c = F.coalesce("c", F.lit(0))
-    return (
-        counted.groupBy("row", "doc_id", "held_out", "n_tokens", "n_hot", "base_hot", "score")
-        .agg(F.coalesce(F.sum(F.when(c > 0, F.col("times"))), F.lit(0)).alias("cold_known"), F.coalesce(F.sum(F.col("times") * F.log10((c + 1) / F.lit(float(total)))), F.lit(0.0)).alias("cold_base"))
-        .select("doc_id", "held_out", "n_tokens", (F.col("n_hot") + F.col("cold_known")).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base_hot") + F.col("cold_base")).alias("base_score"), "score")
-    )
+            mixed = np.where(context > 0, share, 0)
+            p = (1 - mixed) * np.minimum(1, (word_count[at] + 1) / total) + mixed * np.minimum(1, pair / np.maximum(context, 1))
+            sums = lambda w: np.bincount(row, weights=w, minlength=part.rows)
+            out.append((np.bincount(row, minlength=part.rows), sums(exact[at] > 0), sums(one[at]), sums(np.log10(p))))
+        tokens_, found, plain, score = (np.concatenate(c) for c in zip(*out))
+        return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": tokens_, "n_known": found.astype(np.int64), "train_tokens": np.full(len(tokens_), n), "base_score": plain, "score": score})
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = packs(rows).repartition(tasks, "part")
+    answers = answer(ask(placed, segments, not whole), built, segments, not whole).repartition(tasks, "part")
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return placed.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(settle, schema)
