@@ -1,18 +1,30 @@
 """HTML extraction by differencing each page with the pages of nearest URL on its host.
 
-Pages are parsed into text blocks with a zone: ``out`` (menus, headers, footers, sidebars, notices,
-adverts, forms, reader comments, by element or by the words of class, id and role), ``main`` (inside an article or main element)
-or ``open`` (nothing tells). All pages are ordered by host and URL path; each is aligned with its nearest
-neighbours in this order on the same host by the longest common subsequence of its blocks, and shared
-blocks are marked. A page that shares most of its text (``out`` blocks apart) with a neighbour is a copy, not a sibling from one template: the
-next neighbour is taken instead. ``open`` blocks that are shared are deleted, ``out`` blocks always. Blocks inside an
-article that its author marked as such stay even when shared: two articles may quote one passage.
+Pages are parsed into text blocks, the lines of the page, each with a prior from its surroundings: ``out`` (menus, headers,
+footers, sidebars, forms, by element), ``soft`` (notices, adverts, comments and so on, by a word of class, id or role alone),
+``main`` (inside an article or main element) or ``open`` (nothing tells). All pages are ordered by host and URL path; each is
+aligned by the longest common subsequence of blocks with up to ``siblings`` pages next to it in this order on the
+same host. A page that shares most of its text (``out`` and ``soft`` blocks apart) with a neighbour is a copy, not a sibling from
+one template: the next one that differs is taken instead, past any number of equal pages in between.
+
+Shared lines are deleted. Prior and differencing decide together:
+
+- ``open``: deleted where the nearest sibling shares the line, or two others do.
+- ``main``: deleted where at least three siblings, and three quarters of those tried, share the line: a line of the
+  template inside the article. A passage that one or two pages quote stays.
+- ``soft``: deleted; but on a page without an article element and without any other text that is kept, the longest
+  run of such blocks in one element that no sibling shares is the article.
+- ``out``: deleted.
+
+``n_decided`` counts the blocks that differencing decided: all ``open`` ones of pages with siblings, deleted ``main`` and kept ``soft`` ones.
 
 Scale. URLs alone are sorted first, which gives the edges of ranges of some thousand pages, so a host with a third of all
 pages is spread over many ranges. Then pages are parsed once and their packed blocks shuffled once, to their range and, near
-an edge, to the next; a task walks its range with a window of few pages.
+an edge, to the next; a task walks its range with a window of few different pages, equal neighbours held as one. Only where more
+than ``reach`` equal pages lie across an edge, siblings beyond that edge are not seen.
 
-Defined results. Null html: empty text. Null url: no host, no neighbours. Repeated rows: a row each. Empty table: no rows.
+Defined results. Null html: empty text. Null url: no host, no neighbours. Repeated rows and equal URLs: a row each, in order of
+page_id. Very long pages: aligned in parts, in memory in proportion to their blocks. Empty table: no rows. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +35,7 @@ import re
 import zlib
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +58,7 @@ MAIN_WORDS = {"article", "main"}
 #: Elements that an opening element ends, for those without an end tag.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 COPY_SHARE = 0.7
+COLUMNS = ["page_id", "url", "text", "n_chars", "n_blocks", "n_shared", "n_decided"]
 
 
 class Blocks(HTMLParser):
@@ -56,22 +70,25 @@ class Blocks(HTMLParser):
         self.blocks: list[tuple[str, str]] = []
         self.held: list[str] = []
         self.silent = 0
+        self.has_main = False
 
     def zone(self) -> str:
-        zone, heading = "open", False
+        zone, soft, heading = "open", "", False
         for tag, opened in self.stack:
             heading |= tag in HEADINGS
             if opened == "out":
                 return "out"
-            if opened == "header":
+            if opened and opened.startswith("soft"):
+                soft = soft or opened
+            elif opened == "header":
                 if zone != "main":
                     return "out"
                 zone = "header"
             elif opened == "main" and zone == "open":
                 zone = "main"
-        if zone == "header":  # of an article header only the headings
-            return "main" if heading else "out"
-        return zone
+        if zone == "header" and not heading:  # of an article header only the headings
+            return "out"
+        return soft or ("main" if zone == "header" else zone)
 
     def flush(self):
         text = " ".join("".join(self.held).split())
@@ -104,10 +121,13 @@ class Blocks(HTMLParser):
             opened = "out"
         elif tag == "header":
             opened = "header"
+        elif tag in MAIN:
+            opened = "main"
         elif tag not in ("html", "body") and words & OUT_WORDS:
-            opened = "header" if words & OUT_WORDS <= {"header", "masthead"} else "out"
-        elif tag in MAIN or words & MAIN_WORDS and tag in ("div", "section", "td"):
+            opened = "header" if words & OUT_WORDS <= {"header", "masthead"} else f"soft{len(self.blocks)}"
+        elif words & MAIN_WORDS and tag in ("div", "section", "td"):
             opened = "main"
+        self.has_main |= opened == "main"
         if opened and tag in INLINE:
             self.flush()
         self.stack.append((tag, opened))
@@ -135,48 +155,75 @@ class Blocks(HTMLParser):
             self.held.append(data)
 
 
-def blocks_of(html: str) -> list[tuple[str, str]]:
+def blocks_of(html: str) -> tuple[list[tuple[str, str]], bool]:
+    """(zone, text) of each block, and whether the page marks its article."""
     parser = Blocks()
     parser.feed(html)
     parser.close()
     parser.flush()
-    return parser.blocks
+    return parser.blocks, parser.has_main
+
+
+#: Bits that one alignment may hold; longer pages are aligned in halves.
+ALIGN_BITS = 1 << 26
+
+
+def _lengths(a: list, b: list) -> np.ndarray:
+    """The length of the longest common subsequence of ``a`` with each prefix of ``b``."""
+    v, full = _steps(a, b)[-1], len(b)
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(full // 8 + 1, "little"), np.uint8), bitorder="little")[:full]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def _steps(a: list, b: list, keep: bool = False) -> list[int]:
+    """Bit-parallel dynamic programming: after each element of ``a`` the zero bits are where the length grows along ``b``."""
+    where: dict = {}
+    for j, x in enumerate(b):
+        where[x] = where.get(x, 0) | (1 << j)
+    full = (1 << len(b)) - 1
+    v, out = full, [full]
+    for x in a:
+        u = v & where.get(x, 0)
+        v = ((v + u) | (v - u)) & full
+        if keep:
+            out.append(v)
+        else:
+            out[0] = v
+    return out
 
 
 def common(a: list, b: list) -> list[tuple[int, int]]:
-    """Index pairs of a longest common subsequence, by bit-parallel dynamic programming."""
+    """Index pairs of a longest common subsequence."""
     start = 0
     while start < min(len(a), len(b)) and a[start] == b[start]:
         start += 1
     end = 0
     while end < min(len(a), len(b)) - start and a[-1 - end] == b[-1 - end]:
         end += 1
-    out = [(i, i) for i in range(start)]
     both = set(a[start : len(a) - end]) & set(b[start : len(b) - end])
     ia = [i for i in range(start, len(a) - end) if a[i] in both]
     ib = [j for j in range(start, len(b) - end) if b[j] in both]
-    if ia:
-        where: dict = {}
-        for j, at in enumerate(ib):
-            where[b[at]] = where.get(b[at], 0) | (1 << j)
-        full = (1 << len(ib)) - 1
-        v, rows = full, []
-        for i in ia:
-            u = v & where[a[i]]
-            v = ((v + u) | (v - u)) & full
-            rows.append(v)
-        row, col, found = len(ia), len(ib), []
+    middle, todo = [], [(ia, ib)]
+    while todo:
+        ia, ib = todo.pop()
+        if not ia or not ib:
+            continue
+        x, y = [a[i] for i in ia], [b[j] for j in ib]
+        if len(x) > 1 and len(x) * len(y) > ALIGN_BITS:  # the best place in b for the middle of a, then each half
+            half = len(x) // 2
+            cut = int(np.argmax(_lengths(x[:half], y) + _lengths(x[half:][::-1], y[::-1])[::-1]))
+            todo += [(ia[:half], ib[:cut]), (ia[half:], ib[cut:])]
+            continue
+        rows, row, col = _steps(x, y, keep=True), len(x), len(y)
         while row and col:
-            if rows[row - 1] >> (col - 1) & 1:
+            if rows[row] >> (col - 1) & 1:
                 col -= 1
             else:
                 row -= 1
-                if not row or rows[row - 1] >> (col - 1) & 1:
-                    found.append((ia[row], ib[col - 1]))
+                if rows[row] >> (col - 1) & 1:
+                    middle.append((ia[row], ib[col - 1]))
                     col -= 1
-        out += reversed(found)
-    out += [(len(a) - k, len(b) - k) for k in range(end, 0, -1)]
-    return out
+    return [(i, i) for i in range(start)] + sorted(middle) + [(len(a) - k, len(b) - k) for k in range(end, 0, -1)]
 
 
 def _closeness(a: str, b: str) -> int:
@@ -188,33 +235,49 @@ def _closeness(a: str, b: str) -> int:
     return n
 
 
-def _inside(page: dict) -> int:
-    """The length of a page without what is never part of the article."""
-    return sum(len(t) for zone, t in page["blocks"] if zone != "out")
-
-
-def shared_blocks(pages: list[dict], k: int, reach: int) -> list[bool]:
-    """Which blocks of page k are shared with its nearest neighbour that is no copy of it."""
-    page = pages[k]
-    mine = [t for _, t in page["blocks"]]
-    flags = [False] * len(mine)
+def shared_lines(entries: list[dict], k: int, look: int, siblings: int) -> tuple[list[bool], list[int], int]:
+    """Which blocks of entry k its nearest sibling shares, how many siblings share each, and how many there are."""
+    page = entries[k]
+    nearest, times, tried = [False] * len(page["texts"]), [0] * len(page["texts"]), 0
     if not page["host"]:
-        return flags
-    near = [p for p in pages if p["host"] == page["host"] and 0 < abs(p["g"] - page["g"]) <= reach]
-    near.sort(key=lambda p: (-_closeness(p["path"], page["path"]), abs(p["g"] - page["g"]), p["g"]))
-    for other in near:
-        pairs = common(mine, [t for _, t in other["blocks"]])
-        size = sum(len(mine[i]) for i, _ in pairs if page["blocks"][i][0] != "out")
-        if size > COPY_SHARE * max(1, min(_inside(page), _inside(other))):
+        return nearest, times, 0
+    near = [j for j in range(max(0, k - look), min(len(entries), k + look + 1)) if j != k and entries[j]["host"] == page["host"]]
+    near.sort(key=lambda j: (-_closeness(entries[j]["path"], page["path"]), abs(j - k), j))
+    for j in near:
+        other = entries[j]
+        pairs = common(page["texts"], other["texts"])
+        size = sum(len(page["texts"][i]) for i, _ in pairs if page["zones"][i] in ("main", "open"))
+        if size > COPY_SHARE * max(1, min(page["inside"], other["inside"])):
             continue
+        tried += 1
         for i, _ in pairs:
-            flags[i] = True
-        break
-    return flags
-
-
-def text_of(blocks: list[tuple[str, str]], shared: list[bool]) -> str:
-    return "\n".join(t for (zone, t), s in zip(blocks, shared) if zone == "main" or zone == "open" and not s)
+            times[i] += 1
+            nearest[i] |= tried == 1
+        if tried == siblings:
+            break
+    return nearest, times, tried
+
+
+def text_of(zones: list[str], texts: list[str], nearest: list[bool], times: list[int], tried: int, has_main: bool) -> tuple[str, int]:
+    """The text of a page, and how many of its blocks differencing decided."""
+    keep, decided = [], 0
+    for zone, near, n in zip(zones, nearest, times):
+        template = n >= 3 and 4 * n >= 3 * tried
+        keep.append(zone == "main" and not template or zone == "open" and not (near or n > 1))
+        decided += zone == "open" and tried > 0 or zone == "main" and template
+    if not has_main and not any(keep):
+        best, run, size = [], [], 0
+        for i, (zone, n) in enumerate(zip([*zones, "out"], [*times, 1])):
+            if run and (n or zone != zones[run[0]]):
+                if (own := sum(len(texts[j]) for j in run)) > size:
+                    best, size = run, own
+                run = []
+            if zone.startswith("soft") and not n:
+                run.append(i)
+        for i in best:
+            keep[i] = True
+        decided += len(best)
+    return "\n".join(t for t, k in zip(texts, keep) if k), decided
 
 
 def _address(url) -> tuple:
@@ -228,7 +291,7 @@ def ranges(keyed: DataFrame, reach: int, per_range: int, most: int) -> tuple[lis
 
     Only ``2 * reach`` keys of each of ``most`` ranges at most come to the driver.
     """
-    n = max(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(most, -(-keyed.count() // per_range)))
+    n = max(1, min(most, -(-keyed.count() // per_range)))
 
     def edges(batches):
         head, tail, at = [], [], None
@@ -256,8 +319,8 @@ def ranges(keyed: DataFrame, reach: int, per_range: int, most: int) -> tuple[lis
     return [h[0] for h in heads], low, high
 
 
-def extract(pages: DataFrame, reach: int = 3, per_range: int = 20_000, most_ranges: int = 50_000) -> DataFrame:
-    """page_id, url, text, n_chars, n_blocks, n_shared for every row."""
+def extract(pages: DataFrame, reach: int = 8, siblings: int = 4, per_range: int = 5_000, most_ranges: int = 50_000) -> DataFrame:
+    """page_id, url, text, n_chars, n_blocks, n_shared (with the nearest sibling), n_decided for every row."""
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     number = F.lpad(F.coalesce(F.col("page_id").cast("string"), F.lit("")), 20, "0")
     keyed = own.withColumn("key", F.concat_ws("\0", *_address(F.col("url")), number, F.coalesce("url", F.lit(""))).cast("binary"))
@@ -281,23 +344,25 @@ def extract(pages: DataFrame, reach: int = 3, per_range: int = 20_000, most_rang
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["page_id", "url", "key", "to", "own", "packed"])
 
     def difference(batches):
-        """Rows of a range in order; a window of few pages is held."""
+        """Rows of a range in order; a window of few different pages is held, each with the rows that equal it."""
         held, done, here = [], 0, None
 
         def settle(last: bool):
             nonlocal done
             end = len(held) if last else max(done, len(held) - reach)
-            mine = [k for k in range(done, end) if held[k]["own"]]
-            shared = [shared_blocks(held[max(0, k - reach) : k + reach + 1], min(k, reach), reach) for k in mine]
-            texts = [text_of(held[k]["blocks"], s) for k, s in zip(mine, shared)]
-            out = pa.RecordBatch.from_arrays(
-                [pa.array([held[k]["page_id"] for k in mine], pa.int64()), pa.array([held[k]["url"] for k in mine], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array([len(held[k]["blocks"]) for k in mine], pa.int64()), pa.array([sum(s) for s in shared], pa.int64())],
-                ["page_id", "url", "text", "n_chars", "n_blocks", "n_shared"],
-            )
+            rows = []
+            for k in range(done, end):
+                entry = held[k]
+                if not entry["rows"]:
+                    continue
+                nearest, times, tried = shared_lines(held, k, reach, siblings)
+                text, decided = text_of(entry["zones"], entry["texts"], nearest, times, tried, entry["has_main"])
+                rows += [(page, url, text, len(text), len(nearest), sum(nearest), decided) for page, url in entry["rows"]]
             kept = max(0, end - reach)
             del held[:kept]
             done = end - kept
-            return out
+            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 7, kinds)], COLUMNS)
 
         for batch in batches:
             for row in batch.to_pylist():
@@ -305,11 +370,16 @@ def extract(pages: DataFrame, reach: int = 3, per_range: int = 20_000, most_rang
                     if held:
                         yield settle(True)
                     held.clear()
-                    done, here, g = 0, row["to"], 0
-                host, path = row["key"].split(b"\0", 2)[:2]
-                row |= {"g": g, "host": host.decode(), "path": path.decode(), "blocks": json.loads(zlib.decompress(row.pop("packed")))}
-                held.append(row)
-                g += 1
+                    done, here = 0, row["to"]
+                host, path = (x.decode() for x in row["key"].split(b"\0", 2)[:2])
+                same = held and held[-1]["host"] == host and held[-1]["packed"] == row["packed"]
+                if not same:
+                    blocks, has_main = json.loads(zlib.decompress(row["packed"]))
+                    zones, texts = [z for z, _ in blocks], [t for _, t in blocks]
+                    inside = sum(len(t) for z, t in blocks if z in ("main", "open"))
+                    held.append({"host": host, "path": path, "packed": row["packed"], "zones": zones, "texts": texts, "inside": inside, "has_main": has_main, "rows": []})
+                if row["own"]:
+                    held[-1]["rows"].append((row["page_id"], row["url"]))
                 if len(held) >= 256:
                     yield settle(False)
         if held:
@@ -317,4 +387,4 @@ def extract(pages: DataFrame, reach: int = 3, per_range: int = 20_000, most_rang
 
     parsed = keyed.mapInArrow(parse, "page_id long, url string, key binary, to int, own boolean, packed binary")
     placed = parsed.repartitionById(max(1, len(first)), F.col("to")).sortWithinPartitions("to", "key", "packed")
-    return placed.mapInArrow(difference, "page_id long, url string, text string, n_chars long, n_blocks long, n_shared long")
+    return placed.mapInArrow(difference, "page_id long, url string, text string, n_chars long, n_blocks long, n_shared long, n_decided long")

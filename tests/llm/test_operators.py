@@ -268,7 +268,7 @@ def test_html_extraction(spark, empty):
     rows += [(10 + i, f"http://b.example/s/{i}?q=1", PAGE.format(main=plain(i))) for i in range(8)]
     rows += [(30, "http://c.example/1", PAGE.format(main=plain(3))), (31, "http://c.example/2", PAGE.format(main=plain(3)))]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
-    got = {r["page_id"]: r for r in rows_of(html_extraction.extract(pages, reach=3, per_range=3))}
+    got = {r["page_id"]: r for r in rows_of(html_extraction.extract(pages, per_range=3))}
     assert len(got) == len(rows)
     assert got[1]["text"] == "Head & line\nOne two three\nFour five\na\nb" and got[1]["n_chars"] == len(got[1]["text"])
     assert got[2]["text"] == "" and got[3]["text"] == ""
@@ -292,11 +292,60 @@ def test_long_menus_do_not_make_pages_copies(spark):
     assert all("Welcome" not in r["text"] and "Body" in r["text"] for r in rows_of(html_extraction.extract(pages)))
 
 
-def test_longest_common_subsequence():
+def test_differencing_deletes_template_lines_inside_articles_and_keeps_quoted_ones(spark):
+    """Without the neighbours the answer is another."""
+    quoted = "We shall fight them on the beaches, said the old man, and nobody at the table answered him for a long while."
+    page = lambda i: f"<article><h1>Story {i}</h1><p>Read this story in our app</p><p>{'body ' * (8 + i)}</p>{f'<p>{quoted}</p>' if i in (3, 4) else ''}</article>"
+    rows = [(i, f"http://n.example/a/{i}", page(i)) for i in range(10)]
+    got = {r["page_id"]: r for r in rows_of(html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")))}
+    alone = rows_of(html_extraction.extract(spark.createDataFrame(rows[:1], "page_id long, url string, html string")))
+    assert alone[0]["text"] == "Story 0\nRead this story in our app\n" + "body " * 7 + "body"
+    for i in range(10):
+        assert got[i]["text"] == f"Story {i}\n" + ("body " * (8 + i)).strip() + (f"\n{quoted}" if i in (3, 4) else "") and got[i]["n_decided"] == 1
+
+
+def test_siblings_are_found_past_many_equal_pages(spark):
+    page = lambda i: f"<div><p>Welcome to our site</p><p>Body number {i} {'y' * 40 * (i + 1)}</p></div>"
+    rows = [(i, f"http://e.example/{i:03d}", page(0 if 5 <= i < 45 else i)) for i in range(50)] + [(100, "http://e.example/000", page(0)), (100, "http://e.example/000", page(0))]
+    got = rows_of(html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string", ).repartition(3)))
+    assert len(got) == 52 and all("Welcome" not in r["text"] and "Body" in r["text"] for r in got)
+
+
+def test_class_words_alone_do_not_decide(spark):
+    rows = [
+        (1, "http://w.example/1", '<article class="related-work-article"><p>All of it</p></article><div class="ad">Buy</div>'),
+        (2, "http://v.example/2", '<div class="widget"><p>The whole text of the page stands here</p><p>and here</p></div><div class="cookie">Ok?</div>'),
+        (3, "http://u.example/3", '<div class="widget">Ad</div><p>Plain text</p>'), (4, "http://u2.example/4", "<p>" * 3000 + "deep"), (5, "http://u3.example/5", "x " * 200_000),
+    ]
+    got = {r["page_id"]: r["text"] for r in rows_of(html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("key", F.lit(1))))}
+    assert got == {1: "All of it", 2: "The whole text of the page stands here\nand here", 3: "Plain text", 4: "deep", 5: ("x " * 200_000).strip()}
+
+
+def article_by_pattern(html):
+    """The article of the generated pages, by patterns instead of a parser."""
+    import html as entities
+
+    body = re.search(r"<article[^>]*>(.*?)</article>", html, re.S)[1]
+    body = re.sub(r"<!--.*?-->|<(script|style|aside|nav|form|footer)\b.*?</\1>", "", body, flags=re.S)
+    body = re.sub(r"<br\s*/?>", " ", body)
+    lines = re.split(r"</?(?:p|div|h\d|ul|ol|li|table|tr|td|th|tbody|thead|blockquote|section|figure|pre|dl|dt|dd)\b[^>]*>", body)
+    lines = [" ".join(entities.unescape(re.sub(r"<[^>]+>", "", x)).split()) for x in lines]
+    return "\n".join(x for x in lines if x)
+
+
+def test_html_extraction_equals_patterns_on_generated_pages(spark):
+    pages = catalog.table(spark, "/root/testdata/sf0.01", "pages")
+    got = {r["page_id"]: r for r in rows_of(html_extraction.extract(pages))}
+    for r in pages.collect():
+        assert got[r["page_id"]]["text"] == article_by_pattern(r["html"]), r["page_id"]
+
+
+def test_longest_common_subsequence(monkeypatch):
     import random
 
     rng = random.Random(3)
-    for _ in range(200):
+    for k in range(300):
+        monkeypatch.setattr(html_extraction, "ALIGN_BITS", 1 << 26 if k % 2 else 8)
         a, b = ([rng.choice("abcde") for _ in range(rng.randrange(12))] for _ in range(2))
         pairs = html_extraction.common(a, b)
         best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
