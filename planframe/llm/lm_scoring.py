@@ -13,8 +13,8 @@ number of entries (n-grams times levels) demands, ``bits_per_entry`` each, whate
 probes a third of the bits are set at most, so one n-gram in 30 is read one level too high.
 
 Scale. Tasks send sorted hashes with counts, packed by segment of the hash space; the number of segments follows the
-bytes of training text, so the work of a segment does not grow. A filter of up to ``2**max_bits`` bits (64 MB) is
-broadcast whole; a larger one stays in its segments, and the distinct n-grams of each pack of documents are sent there,
+bytes of training text, so the work of a segment does not grow. A filter of up to ``2**max_bits`` bits (8 MB, under the
+size that Spark itself broadcasts) is broadcast whole; a larger one stays in its segments, and the distinct n-grams of each pack of documents are sent there,
 probed, and their levels sent back to the pack. Both ways give the same scores, at any number of partitions. The exact word counts that the
 baseline asks for are looked up in the same segments in the same round; no vocabulary is ever collected.
 
@@ -153,11 +153,10 @@ def in_segments(key: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]
     return order, np.searchsorted(at[order], np.arange(segments + 1))
 
 
-def keys_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def keys_of(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys of all words and of all pairs, sorted."""
     words, pairs = [np.zeros(0, T.U64)], [np.zeros(0, T.U64)]
-    for part in T.buffers(text, 1 << 20):
-        h, row = tokens(part)
+    for h, row in found:
         words.append(word_key(np.unique(h)))
         pairs.append(np.unique(pair_key(previous(h, row), h)))
     return np.unique(np.concatenate(words)), np.unique(np.concatenate(pairs))
@@ -284,7 +283,7 @@ def ask(placed: DataFrame, segments: int, pairs_too: bool) -> DataFrame:
     def keys(batches):
         for batch in batches:
             for part, data in zip(*(c.to_pylist() for c in batch.columns)):
-                words, pairs = keys_of(unpack(data).column("text").combine_chunks())
+                words, pairs = keys_of([tokens(x) for x in T.buffers(unpack(data).column("text"), 1 << 20)])
                 pairs = pairs if pairs_too else pairs[:0]
                 (a, cut_a), (b, cut_b) = in_segments(words, segments), in_segments(pairs, segments)
                 words, pairs = words[a], pairs[b]
@@ -328,7 +327,7 @@ def answer(asked: DataFrame, built: DataFrame, segments: int, with_filter: bool)
     return placed.mapInArrow(probe, "part long, segment int, counts binary, levels binary")
 
 
-def score_documents(docs: DataFrame, held_out: int = 2, folds: int = 7, share: float = 0.5, base: float = 1.5, bits_per_entry: int = 8, max_bits: int = 29) -> DataFrame:
+def score_documents(docs: DataFrame, held_out: int = 2, folds: int = 7, share: float = 0.5, base: float = 1.5, bits_per_entry: int = 8, max_bits: int = 26) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
     spark = docs.sparkSession
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(folds))
@@ -342,8 +341,8 @@ def score_documents(docs: DataFrame, held_out: int = 2, folds: int = 7, share: f
 
     def settle(pack: pa.Table, answers: pa.Table) -> pa.Table:
         docs = unpack(pack.column("data")[0].as_py())
-        text = docs.column("text").combine_chunks()
-        words, pairs = keys_of(text)
+        parts = [(x.rows, *tokens(x)) for x in T.buffers(docs.column("text"), 1 << 20)]
+        words, pairs = keys_of([(h, row) for _, h, row in parts])
         (a, cut_a), (b, cut_b) = in_segments(words, segments), in_segments(pairs, segments)
         exact, word_level, pair_level = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), np.zeros(len(pairs), np.int64)
         for s, counts, levels in zip(*(answers.column(c).to_pylist() for c in ("segment", "counts", "levels"))):
@@ -357,8 +356,7 @@ def score_documents(docs: DataFrame, held_out: int = 2, folds: int = 7, share: f
         word_count, pair_count = middle[word_level], middle[pair_level]
         one = np.log10((exact + 1) / total)
         out = []
-        for part in T.buffers(text, 1 << 20):
-            h, row = tokens(part)
+        for rows, h, row in parts:
             before = previous(h, row)
             at = np.searchsorted(words, word_key(h))
             pair = pair_count[np.searchsorted(pairs, pair_key(before, h))]
@@ -367,8 +365,8 @@ def score_documents(docs: DataFrame, held_out: int = 2, folds: int = 7, share: f
             context[before == BEGIN] = starts
             mixed = np.where(context > 0, share, 0)
             p = (1 - mixed) * np.minimum(1, (word_count[at] + 1) / total) + mixed * np.minimum(1, pair / np.maximum(context, 1))
-            sums = lambda w: np.bincount(row, weights=w, minlength=part.rows)
-            out.append((np.bincount(row, minlength=part.rows), sums(exact[at] > 0), sums(one[at]), sums(np.log10(p))))
+            sums = lambda w: np.bincount(row, weights=w, minlength=rows)
+            out.append((np.bincount(row, minlength=rows), sums(exact[at] > 0), sums(one[at]), sums(np.log10(p))))
         tokens_, found, plain, score = (np.concatenate(c) for c in zip(*out))
         return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": tokens_, "n_known": found.astype(np.int64), "train_tokens": np.full(len(tokens_), n), "base_score": plain, "score": score})
 
