@@ -11,7 +11,9 @@ Scale. Rendering works turn by turn; digests stream over turns sorted inside par
 a time, so a long conversation needs no more memory than its longest turn.
 
 Defined results. Null text: empty. Null role: empty role. Equal turn numbers: ordered by role, then text.
-Repeated rows: turns each. A layout without mapping: no turns, and it is listed by ``unmapped``. Empty table: no rows.
+Repeated rows: turns each. A layout without mapping: no turns, and it is listed by ``unmapped`` with its fingerprint; a record that is no JSON object,
+is nested too deeply to be read, or holds half a surrogate pair (no Unicode text): likewise, with an empty fingerprint. Very long texts: whole.
+Empty table: no rows. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assi
 _TAILS = "|".join(re.escape(c[1:]) for c in CONTROL)
 _ESCAPE = re.compile(rf"([<\[])(\\*)(?={_TAILS})")
 _UNESCAPE = re.compile(rf"([<\[])\\(\\*)(?={_TAILS})")
+_SURROGATE = re.compile(r"\\u[dD][89a-fA-F]")
 _SEGMENT = re.compile(r"<\|im_start\|>((?:[^\n\\]|\\.)*)\n(.*)<\|im_end\|>\n", re.S)
 
 #: Declarative mappings: field paths of the layout, and where turns are. ``each``: a list of messages;
@@ -49,13 +52,19 @@ MAPPINGS = [
 ]
 
 
-def paths(value, prefix: str = "") -> set[str]:
-    """Nested field paths; list elements are ``[]``."""
-    if isinstance(value, dict):
-        return set().union(*[paths(v, f"{prefix}.{k}" if prefix else k) for k, v in value.items()]) if value else {prefix}
-    if isinstance(value, list):
-        return set().union(*[paths(v, f"{prefix}[]") for v in value]) if value else {f"{prefix}[]"}
-    return {prefix}
+def paths(value) -> set[str]:
+    """Nested field paths; list elements are ``[]``. Dots, brackets and backslashes inside names are escaped."""
+    out, todo = set(), [("", value)]
+    while todo:
+        prefix, v = todo.pop()
+        if isinstance(v, dict) and v:
+            todo += [(f"{prefix}.{name}" if prefix else name, x) for k, x in v.items() for name in [re.sub(r"([.\[\]\\])", r"\\\1", k) or "\\"]]
+        elif isinstance(v, list):
+            todo += [(f"{prefix}[]", x) for x in v]
+            out |= set() if v else {f"{prefix}[]"}
+        else:
+            out.add(prefix)
+    return out
 
 
 def fingerprint(of: set[str]) -> str:
@@ -78,11 +87,13 @@ def canonical(record: str | None) -> tuple[str, list[tuple[str, str]] | None]:
     """Fingerprint and turns of a record; None where no mapping fits."""
     try:
         value = json.loads(record) if record else None
-    except ValueError:
-        value = None
-    if not isinstance(value, dict):
+        if not isinstance(value, dict):
+            return "", None
+        mark = fingerprint(paths(value))
+        if _SURROGATE.search(record):
+            json.dumps(value, ensure_ascii=False).encode()  # fails on half a pair
+    except (ValueError, RecursionError):
         return "", None
-    mark = fingerprint(paths(value))
     if (m := KNOWN.get(mark)) is None:
         return mark, None
     text = lambda x: "" if x is None else x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)

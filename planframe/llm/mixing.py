@@ -8,13 +8,14 @@ is repeated more than ``max_repeats`` times. The budget defaults to the least nu
 Realisation. Documents of a source fall into blocks by hash. An epoch is a permutation of the blocks, and
 of the documents in each block, keyed by epoch and seed. A source with quota q and T tokens gives
 ``floor(q / T)`` whole epochs; the last one stops at its budget: whole blocks in order of the
-permutation, then documents of one block in order while they fit. Running sums go over blocks (``blocks`` rows a source);
-only the one block of each source where the budget ends is looked at row by row.
+permutation, then documents of one block in order while they fit. Running sums go over blocks (``blocks`` rows a source), then over
+1,024 parts of the one block where the budget ends, and only one such part, a millionth of a source, is looked at row by row.
 
 DataFrame operations only; the driver sees one row an exponent.
 
 Defined results. Null source: a source of its own. Null or blank text: no tokens; such a row is used with
-its block. A source without tokens is used once. Repeated rows: each mixed. Empty table: no rows.
+its block. A source without tokens is used once. Repeated rows: each mixed, all or none of them in the last epoch. Very long texts: counted whole. Ties of
+hashes: used together or not at all. Empty table: no rows. Other columns, whatever their names, are kept.
 """
 
 from __future__ import annotations
@@ -24,10 +25,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import materialise, text_or_empty
+from .storage import fresh, materialise, text_or_empty
 
 WORD = r"[^\x20\x09-\x0D]+"
-_HELPERS = ["_source", "_tokens", "_block", "_key", "_whole", "_share", "_cut", "_epoch", "_rank"]
+#: An ending block is cut into this power of two of parts, of which one is looked at row by row.
+PART_BITS = 10
 
 
 def _curves(shares: DataFrame, exponents: list[float]) -> list:
@@ -60,24 +62,14 @@ def find_exponent(shares: DataFrame, total: float, target_entropy: float | None,
     return round(low if target_entropy is not None else high, 6)
 
 
-def unsigned(h: Column) -> Column:
-    return F.shiftrightunsigned(h, 1)
-
-
-def plan(docs: DataFrame, target_entropy: float | None = None, max_repeats: float | None = 2.0, budget: float | None = None, blocks: int = 1024, seed: int = 0, broadcast_rows: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
-    """``docs`` with helper columns, and per (source, block): whole epochs, share of the last one, cut inside the block."""
+def plan(docs: DataFrame, target_entropy: float | None = None, max_repeats: float | None = 2.0, budget: float | None = None, blocks: int = 1024, seed: int = 0, broadcast_rows: int = 1_000_000) -> tuple[Column, Column, Column, DataFrame]:
+    """Columns of ``docs`` for the source, block and key of a row, and per (source, block): whole epochs, share of the last one, cut inside the block."""
     text = text_or_empty(docs)
-    ident = F.xxhash64(F.lit(seed), F.col("doc_id"), F.xxhash64(text))
-    keyed = (
-        docs.withColumn("_source", F.coalesce(F.col("source").cast("string"), F.lit("")))
-        .withColumn("_null", F.col("source").isNull())
-        .withColumn("_source", F.concat(F.when(F.col("_null"), "-").otherwise("+"), "_source"))
-        .drop("_null")
-        .withColumn("_tokens", F.regexp_count(text, F.lit(WORD)).cast("long"))
-        .withColumn("_block", F.pmod(ident, F.lit(blocks)).cast("int"))
-        .withColumn("_key", ident)
-    )
-    narrow = keyed.select("_source", "_block", "_tokens", "_key")
+    key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.xxhash64(text))
+    block = F.pmod(key, F.lit(blocks)).cast("int")
+    source = F.concat(F.when(F.col("source").isNull(), "-").otherwise("+"), F.coalesce(F.col("source").cast("string"), F.lit("")))
+    # words are counted once a document
+    narrow = materialise(docs.select(source.alias("_source"), block.alias("_block"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("_tokens"), key.alias("_key")))
     by_block = materialise(narrow.groupBy("_source", "_block").agg(F.sum("_tokens").alias("t")))
     by_source = by_block.groupBy("_source").agg(F.sum("t").alias("total"))
     total = by_source.agg(F.sum("total")).first()[0] or 0
@@ -94,33 +86,46 @@ def plan(docs: DataFrame, target_entropy: float | None = None, max_repeats: floa
     quota = shares.withColumn("repeats", repeats).select("_source", F.floor("repeats").alias("_whole"), F.floor((F.col("repeats") - F.floor("repeats")) * F.col("total")).alias("rest"))
     # a source without tokens is used once
     state = by_block.join(quota, "_source", "left").withColumn("_whole", F.coalesce("_whole", F.lit(1))).withColumn("rest", F.coalesce("rest", F.lit(0)))
-    last = F.xxhash64(F.lit(seed), F.col("_whole"), F.col("_block"))
-    order = Window.partitionBy("_source").orderBy(last, "_block").rowsBetween(Window.unboundedPreceding, 0)
-    summed = state.withColumn("upto", F.sum("t").over(order))
-    placed = materialise(
-        summed.withColumn("_share", F.when(F.col("rest") <= 0, 0).when(F.col("upto") <= F.col("rest"), 2).when(F.col("upto") - F.col("t") < F.col("rest"), 1).otherwise(0)).withColumn("left", F.col("rest") - F.col("upto") + F.col("t"))
-    )
-    ending = placed.filter("_share = 1").select("_source", "_block", "_whole", "left")  # a block a source
-    inside = narrow.join(F.broadcast(ending) if ending.count() <= broadcast_rows else ending, ["_source", "_block"]).withColumn("_order", F.xxhash64(F.col("_whole"), F.col("_key")))
+    placed = materialise(_ends(state.withColumn("at", F.xxhash64(F.lit(seed), F.col("_whole"), F.col("_block"))).withColumn("tie", F.col("_block"))))
+    bounded = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
+    ending = placed.filter("_share = 1").select("_source", "_block", "_whole", "rest")  # a block a source
+    # inside that block again: parts of its order first, then the rows of the part where the budget ends
+    order = F.xxhash64(F.col("_whole"), F.col("_key"))
+    inside = narrow.join(bounded(ending), ["_source", "_block"]).withColumn("_order", order).withColumn("part", F.shiftright("_order", 64 - PART_BITS))
+    parts = materialise(_ends(inside.groupBy("_source", "_block", "_whole", "rest", "part").agg(F.sum("_tokens").alias("t")).withColumn("at", F.col("part")).withColumn("tie", F.col("part"))))
+    last = parts.filter("_share = 1").select("_source", "part", F.col("rest").alias("_left"))
+    rows = inside.drop("rest").join(bounded(last), ["_source", "part"])
     running = F.sum("_tokens").over(Window.partitionBy("_source").orderBy("_order").rangeBetween(Window.unboundedPreceding, 0))
-    cuts = inside.withColumn("upto", running).filter("upto <= left").groupBy("_source").agg(F.max("_order").alias("_cut"))
-    return keyed, placed.join(cuts, "_source", "left").select("_source", "_block", F.col("_whole").cast("int").alias("_whole"), "_share", F.when(F.col("_share") == 1, F.col("_cut")).alias("_cut"))
+    fits = rows.withColumn("upto", running).filter("upto <= _left").groupBy("_source").agg(F.max("_order").alias("_cut"))
+    # where no row of that part fits, the cut is behind the last part that is taken whole
+    full = parts.filter("_share = 2").groupBy("_source").agg((F.shiftleft(F.max("part"), 64 - PART_BITS) + F.lit((1 << 64 - PART_BITS) - 1)).alias("_full"))
+    cuts = ending.select("_source").join(full, "_source", "left").join(fits, "_source", "left").select("_source", F.coalesce("_cut", "_full").alias("_cut"))
+    known = placed.join(cuts, "_source", "left").select("_source", "_block", F.col("_whole").cast("int").alias("_whole"), "_share", F.when(F.col("_share") == 1, F.coalesce("_cut", F.lit(-(2**63)))).alias("_cut"))
+    return source, block, key, known
+
+
+def _ends(pieces: DataFrame) -> DataFrame:
+    """Pieces (t tokens each) of a source in order: _share 2 where the budget ``rest`` takes the piece whole, 1 where it ends inside
+    (``rest`` is then what is left for the piece), 0 behind."""
+    order = Window.partitionBy("_source").orderBy("at", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    summed = pieces.withColumn("upto", F.sum("t").over(order))
+    left = F.col("rest") - F.col("upto") + F.col("t")
+    share = F.when(F.col("rest") <= 0, 0).when(F.col("upto") <= F.col("rest"), 2).when(left > 0, 1).otherwise(0)
+    return summed.withColumn("_share", share).withColumn("rest", left).drop("at", "tie", "upto")
 
 
 def mix(docs: DataFrame, seed: int = 0, blocks: int = 1024, broadcast_rows: int = 1_000_000, **parameters) -> DataFrame:
-    """Rows of ``docs`` as often as the mixture uses them, with columns ``epoch``, ``block_rank`` and ``in_block``:
-    ordering by these three within a source gives its permutations."""
-    keyed, known = plan(docs, seed=seed, blocks=blocks, broadcast_rows=broadcast_rows, **parameters)
+    """Rows of ``docs`` as often as the mixture uses them, with columns ``n_tokens``, ``epoch``, ``block_rank`` and ``in_block``:
+    ordering by the last three within a source gives its permutations. Where ``docs`` has such a column, ours gets underscores in front."""
+    source, block, key, known = plan(docs, seed=seed, blocks=blocks, broadcast_rows=broadcast_rows, **parameters)
     known = materialise(known)
-    table = F.broadcast(known) if known.count() <= broadcast_rows else known
-    joined = keyed.join(table, ["_source", "_block"])
-    partial = (F.col("_share") == 2) | ((F.col("_share") == 1) & F.coalesce(F.xxhash64(F.col("_whole").cast("long"), F.col("_key")) <= F.col("_cut"), F.lit(False)))
-    times = F.col("_whole") + F.when(partial, 1).otherwise(0)
-    used = joined.filter(times > 0).withColumn("_epoch", F.explode(F.sequence(F.lit(0), times - 1)))
-    return used.select(
-        *[docs_column for docs_column in (F.col(f"`{c}`") for c in docs.columns)],
-        F.col("_tokens").alias("n_tokens") if "n_tokens" not in docs.columns else F.col("_tokens").alias("mixed_tokens"),
-        F.col("_epoch").cast("int").alias("epoch"),
-        F.xxhash64(F.lit(seed), F.col("_epoch").cast("long"), F.col("_block")).alias("block_rank"),
-        F.xxhash64(F.col("_epoch").cast("long"), F.col("_key")).alias("in_block"),
-    )
+    names = fresh(docs.columns, "mix_source", "mix_block", "mix_key", "mix_whole", "mix_share", "mix_cut", "mix_epoch")
+    s, b, k, whole, share, cut, e = names
+    table = known.select(*[F.col(a).alias(n) for a, n in zip(("_source", "_block", "_whole", "_share", "_cut"), (s, b, whole, share, cut))])
+    joined = docs.select("*", source.alias(s), block.alias(b), key.alias(k)).join(F.broadcast(table) if known.count() <= broadcast_rows else table, [s, b])
+    partial = (F.col(share) == 2) | ((F.col(share) == 1) & (F.xxhash64(F.col(whole).cast("long"), F.col(k)) <= F.col(cut)))
+    times = F.col(whole) + F.when(partial, 1).otherwise(0)
+    used = joined.filter(times > 0).withColumn(e, F.explode(F.sequence(F.lit(0), times - 1)))
+    made = [F.regexp_count(text_or_empty(docs), F.lit(WORD)).cast("long"), F.col(e).cast("int"), F.xxhash64(F.lit(seed), F.col(e).cast("long"), F.col(b)), F.xxhash64(F.col(e).cast("long"), F.col(k))]
+    own = fresh(docs.columns, "n_tokens", "epoch", "block_rank", "in_block")
+    return used.select(*[F.col(f"`{c}`") for c in docs.columns], *[c.alias(n) for c, n in zip(made, own)])

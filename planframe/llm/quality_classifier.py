@@ -11,7 +11,9 @@ is a bitmap of ``2**bits`` bits, so the driver holds at most ``sample_rows * 2**
 covers every document in one scan, with the weights (``8 * 2**bits`` bytes) broadcast.
 
 Defined results. Null or blank text: only the shape tokens decide. No ratings: expected
-grade and tail probability null, everything kept. Repeated rows: a row each. Empty table: no rows.
+grade and tail probability null, everything kept. One grade: it is expected everywhere. A selection above all rated grades: tail
+probability 0, nothing kept; at or below the lowest: 1, everything kept. Several ratings of one document: the lowest. A rated doc_id that repeats with several
+texts: one of them is used. Very long texts: read whole. Repeated rows: a row each. Empty table: no rows. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -148,15 +150,15 @@ def grade_documents(docs: DataFrame, model: Ordinal, bits: int = 16, select_grad
 
     def score(batches):
         model = shared.value
-        at = np.searchsorted(model.grades[1:], select_grade) if len(model.thresholds) else 0
+        at = int(np.searchsorted(model.grades, select_grade))  # the first grade that is high enough
         gaps = np.diff(model.grades)
         for batch in batches:
             raw = [np.bincount(row, weights=model.weights[bucket], minlength=part.rows) for part in T.buffers(batch.column(1)) for row, bucket in [features(part, bits)]]
             raw = np.concatenate(raw) if raw else np.zeros(0)
-            if len(model.thresholds):
+            if len(model.grades):
                 tails = model.tails(raw)
                 expected = pa.array(model.grades[0] + (gaps[:, None] * tails).sum(axis=0))
-                chosen = tails[min(at, len(tails) - 1)]
+                chosen = np.ones(len(raw)) if at == 0 else tails[at - 1] if at <= len(tails) else np.zeros(len(raw))
                 tail, kept = pa.array(chosen), pa.array(chosen >= select_probability)
             else:
                 expected = tail = pa.nulls(len(raw), pa.float64())

@@ -8,10 +8,10 @@ verdict for the same score, for every document.
 
 Scale. Two scans of the texts; tasks exchange only (bucket, counts), at most ``2**bits`` rows each, and
 the driver receives one bounded table of ``2**bits`` buckets. Trusted rows are a bounded sample
-(``trusted_rows``, those of smallest hash); the raw multinomial counts every document.
+(``trusted_rows`` labelled rows at most, those of smallest hash, whose ids are broadcast: 1.6 MB); the raw multinomial counts every document.
 
 Defined results. Null or blank text: no words, all counts 0, base_failed. Repeated rows: a row each.
-Empty table: no rows. No trusted rows: all scores 0, so the base rules decide. Other columns are
+Very long texts: read whole. Empty table: no rows. No trusted rows: all scores 0, so the base rules decide. Other columns, whatever their names, are
 ignored by the query and kept by ``filter_documents``.
 """
 
@@ -49,7 +49,7 @@ def _buckets(found: T.Words, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([found.hash, pair]) >> shift, np.concatenate([found.row, row])
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, bits: int = 16, trusted_rows: int = 20_000, smoothing: float = 1.0) -> np.ndarray:
+def log_ratios(docs: DataFrame, labels: DataFrame, bits: int = 16, trusted_rows: int = 200_000, smoothing: float = 1.0) -> np.ndarray:
     """``log2 p_trusted - log2 p_raw`` of every bucket."""
     spark = docs.sparkSession
     ids = np.sort(np.array([r[0] for r in trusted_ids(labels, trusted_rows).collect()], np.int64))
@@ -120,7 +120,7 @@ def measure(column: pa.Array, ratios: np.ndarray | None) -> list[pa.Array]:
     return [pa.array(np.concatenate(x).astype(kind) if x else np.zeros(0, kind)) for x, kind in zip(out, kinds)]
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = -0.75, bits: int = 16, trusted_rows: int = 20_000) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = -0.75, bits: int = 16, trusted_rows: int = 200_000) -> DataFrame:
     """``docs`` without their texts, with the measures, ``score``, ``base_failed`` and ``kept``."""
     ratios = docs.sparkSession.sparkContext.broadcast(log_ratios(docs, labels, bits, trusted_rows))
 
@@ -137,7 +137,7 @@ def verdict(measured: DataFrame, threshold: float) -> DataFrame:
     return measured.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold))
 
 
-def filter_documents(docs: DataFrame, labels: DataFrame, threshold: float = -0.75, bits: int = 16, trusted_rows: int = 20_000) -> DataFrame:
+def filter_documents(docs: DataFrame, labels: DataFrame, threshold: float = -0.75, bits: int = 16, trusted_rows: int = 200_000) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns, in one pass after the counts."""
     ratios = docs.sparkSession.sparkContext.broadcast(log_ratios(docs, labels, bits, trusted_rows))
     at = docs.columns.index("text")

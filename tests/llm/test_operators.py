@@ -203,6 +203,61 @@ def test_mixing_to_entropy_and_budget(spark, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def mixing_brute(rows, blocks, max_repeats, seed_hashes):
+    """How often each row is used: shares, the least exponent within the repetition limit, quotas, permutations; by plain Python.
+
+    ``rows``: (source, tokens, block, hash of the block in the last epoch by number of whole epochs, hash of the row likewise).
+    """
+    totals = Counter()
+    for source, tokens, *_ in rows:
+        totals[source] += tokens
+    total = sum(totals.values())
+    p = {s: t / total for s, t in totals.items() if t}
+    spread = max(math.log(x) for x in p.values()) - min(math.log(x) for x in p.values())
+    a = 0.0 if spread <= math.log(max_repeats) else round(1 - math.log(max_repeats) / spread, 6)
+    largest = max(p.values())
+    out = Counter()
+    for s in totals:
+        mine = [(i, r) for i, r in enumerate(rows) if r[0] == s]
+        repeats = round((p[s] / largest) ** (a - 1), 6) if s in p else 1.0
+        whole, rest = int(repeats + 1e-9), int((repeats - int(repeats + 1e-9)) * totals[s] + 1e-6)
+        for i, _ in mine:
+            out[i] += whole
+        order = sorted({(seed_hashes(whole, r[2]), r[2]) for _, r in mine})
+        for _, block in order:
+            inside = sorted((r[3](whole), r[1], i) for i, r in mine if r[2] == block)
+            size = sum(t for _, t, _ in inside)
+            if rest <= 0:
+                break
+            if size > rest:
+                for k, (h, t, i) in enumerate(inside):
+                    same = sum(t2 for h2, t2, _ in inside if h2 == h)
+                    if sum(t2 for h2, t2, _ in inside if h2 <= h) > rest:
+                        break
+                    out[i] += 1
+                break
+            for _, _, i in inside:
+                out[i] += 1
+            rest -= size
+    return out
+
+
+def test_mixing_equals_brute_force(spark, hard):
+    """The hashes come from Spark, everything else from plain Python; repeated rows, ties, nulls and a long text included."""
+    extra = [(1000 + i, " ".join(["w"] * (1 + i % 5)), "en", f"s{int(i**0.5) // 6}", 1, 0.0, "") for i in range(700)]
+    docs = hard.unionByName(spark.createDataFrame(extra + extra[:9], hard.schema)).withColumn("n_tokens", F.lit("mine")).withColumn("mix_key", F.lit("too"))
+    for blocks in (4, 16):
+        source, block, key, _ = mixing.plan(docs, blocks=blocks)
+        hashed = docs.select("doc_id", "text", source.alias("s"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(mixing.WORD)).alias("t"), block.alias("b"), *[F.xxhash64(F.lit(w).cast("long"), key).alias(f"h{w}") for w in range(4)]).collect()
+        heads = {(r["w"], r["b"]): r["h"] for r in spark.range(4).select(F.col("id").alias("w")).crossJoin(spark.range(blocks).select(F.col("id").cast("int").alias("b"))).select("w", "b", F.xxhash64(F.lit(0), "w", "b").alias("h")).collect()}
+        want = Counter()
+        for i, n in mixing_brute([(r["s"], r["t"], r["b"], lambda w, r=r: r[f"h{w}"]) for r in hashed], blocks, 2.0, lambda w, b: heads[w, b]).items():
+            want[hashed[i]["doc_id"], hashed[i]["text"]] += n
+        got = mixing.mix(docs, blocks=blocks)
+        assert got.columns == [*docs.columns, "_n_tokens", "epoch", "block_rank", "in_block"]
+        assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == want
+
+
 # --- 7
 def test_sharding_is_balanced_gapless_and_stable(spark, hard, empty):
     text = lambda i: "copy" if i < 3000 else f"text {i} " + "x" * (i % 90)
