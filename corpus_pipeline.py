@@ -7,24 +7,22 @@ from pyspark.sql import DataFrame, SparkSession
 from planframe.llm import catalog, decontamination, jaccard_join, mixing, quality_rules
 from planframe.llm.storage import materialise
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_rules.filter_documents(docs.select(*COLUMNS), catalog.table(spark, sf_dir, "labels"))
+    return quality_rules.filter_documents(docs, catalog.table(spark, sf_dir, "labels"))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard_join.one_of_each(docs.select(*COLUMNS))
+    return jaccard_join.one_of_each(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontamination.drop_contaminated(docs.select(*COLUMNS), catalog.table(spark, sf_dir, "benchmark"))
+    return decontamination.drop_contaminated(docs, catalog.table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document at least once, small sources up to twice."""
-    return mixing.mix(docs.select(*COLUMNS)).select(*COLUMNS)
+    return mixing.mix(docs).select(*docs.columns)
 
 
 def to_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
