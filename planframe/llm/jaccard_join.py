@@ -17,7 +17,8 @@ stars by passing on the smallest label, with pointer jumping.
 
 Defined results. Texts without a word form no links: each is its own class (class_id is its doc_id,
 n_links 0). Fewer than n words: all its words are one n-gram. Repeated rows are copies of each other.
-Null doc_id: a class_id may then be null. Empty table: no rows. Extra columns are ignored.
+Null doc_id: a class_id may then be null. Ties of the smallest id: any row with it is first. Very long texts: whole sets. Empty table: no rows. Other
+columns, whatever their names, are ignored by ``similar_documents`` and kept by ``one_of_each``.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import text as T
 from .arrow import runs_of
-from .storage import materialise, text_or_empty
+from .storage import fresh, materialise, text_or_empty
 
 LEVELS = 4
 
@@ -74,8 +75,8 @@ def _by_row(part: T.Buffers, n: int):
     return gram, rows, first, key
 
 
-def signatures(docs: DataFrame, n: int, orders: int, id_column: str = "doc_id") -> DataFrame:
-    """doc_id, set_key (null: no words), n_set, and the smallest n-gram under each of ``orders`` orders."""
+def signatures(docs: DataFrame, n: int, orders: int, id_column: str = "doc_id", text_key: bool = False) -> DataFrame:
+    """doc_id, text_key (null unless asked for), set_key (null: no words), n_set, and the smallest n-gram under each of ``orders`` orders."""
     seeds = T.mix(np.arange(1, orders + 1, dtype=np.uint64) * T.U64(0xD1B54A32D192ED03))
 
     def sign(batches):
@@ -90,20 +91,21 @@ def signatures(docs: DataFrame, n: int, orders: int, id_column: str = "doc_id")
                     for j, seed in enumerate(seeds):
                         mins[rows, j] = np.minimum.reduceat(T.mix(gram ^ seed), first).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(part.rows + 1, dtype=np.int32) * orders), pa.array(mins.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, part.rows), pa.array(keys, mask=none), pa.array(sizes), lists], ["doc_id", "set_key", "n_set", "mins"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(part.first, part.rows) for c in (0, 2)), pa.array(keys, mask=none), pa.array(sizes), lists], ["doc_id", "text_key", "set_key", "n_set", "mins"])
 
-    pairs = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_or_empty(docs).alias("text"))
-    return pairs.mapInArrow(sign, "doc_id long, set_key long, n_set long, mins array<long>")
+    text = text_or_empty(docs)
+    named = docs.select(F.col(id_column).cast("long").alias("doc_id"), text.alias("text"), (F.xxhash64(text) if text_key else F.lit(None).cast("long")).alias("text_key"))
+    return named.mapInArrow(sign, "doc_id long, text_key long, set_key long, n_set long, mins array<long>")
 
 
 def token_sets(docs: DataFrame, n: int, id_column: str = "doc_id") -> DataFrame:
-    """doc_id, set_key, and the set as 32-bit hashes, packed."""
+    """doc_id, set_key, and the set as 48-bit hashes, packed."""
 
     def pack(batches):
         for batch in batches:
             for part in T.buffers(batch.column(1)):
                 gram, rows, first, key = _by_row(part, n)
-                small = (gram >> T.U64(32)).astype(np.uint32)
+                small = np.ascontiguousarray(gram).view(np.uint8).reshape(-1, 8)[:, 2:]
                 ends = np.append(first, len(gram))
                 packed = [small[ends[i] : ends[i + 1]].tobytes() for i in range(len(rows))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, part.rows).take(pa.array(rows)), pa.array(key), pa.array(packed, pa.binary())], ["doc_id", "set_key", "tokens"])
@@ -168,6 +170,12 @@ def _shared(tokens: list[np.ndarray], chunk: int = 2048) -> np.ndarray:
     return out
 
 
+def _unpack(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // 6, 8), np.uint8)
+    wide[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return wide.reshape(-1).view(T.U64)
+
+
 def _join_block(table: pa.Table, threshold: float) -> tuple[np.ndarray, ...] | None:
     """Links inside one pair of blocks that belong to its node: keys, linked sets, linked rows, smallest key reached."""
     key = table.column("set_key").to_numpy()
@@ -175,7 +183,7 @@ def _join_block(table: pa.Table, threshold: float) -> tuple[np.ndarray, ...] | N
     if len(key) < 2:
         return None
     table = table.take(pa.array(where))
-    tokens = [np.frombuffer(x, np.uint32) for x in table.column("tokens").to_pylist()]
+    tokens = [_unpack(x) for x in table.column("tokens").to_pylist()]
     size = np.array([len(t) for t in tokens], np.float32)
     weight = table.column("n_rows").to_numpy().astype(np.float64)
     node = table.column("node")[0].as_py()
@@ -253,18 +261,26 @@ def components(edges: DataFrame, a: str = "set_key", b: str = "reach") -> DataFr
         labels = new.select("u", F.col("next").alias("label"))
 
 
-def similar_documents(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.99, branches: int = 2, small: int = 1024, block: int = 1024, alike: float = 0.5, id_column: str = "doc_id") -> DataFrame:
-    """One row a document: doc_id, class_id (smallest doc_id connected by links), n_links (other rows of
-    similarity at least ``threshold``, copies among them), n_linked_texts (other sets so linked),
-    n_copies (rows with the same set), is_first (the row whose doc_id is class_id)."""
+def _labelled(docs: DataFrame, text_key: bool, n: int = 5, threshold: float = 0.8, recall: float = 0.99, branches: int = 2, small: int = 1024, block: int = 1024, alike: float = 0.5, id_column: str = "doc_id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with their set_key; sets with their label (equal for all sets that links connect), first_id and n_rows; links of sets."""
     runs = runs_for(recall, threshold, branches)
-    signed = materialise(signatures(docs, n, runs * LEVELS * branches, id_column))
+    signed = materialise(signatures(docs, n, runs * LEVELS * branches, id_column, text_key))
     classes = materialise(signed.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_rows"), F.any_value("mins").alias("mins")))
     found = materialise(leaves(classes, runs, branches, small, alike))
     edges = materialise(links(classes, found, docs, n, threshold, block, id_column))
-    label = components(edges)
+    label = components(edges).withColumnRenamed("key", "set_key")
+    named = classes.select("set_key", "first_id", "n_rows").join(label, "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
+    return signed, named, edges
+
+
+def similar_documents(docs: DataFrame, **parameters) -> DataFrame:
+    """One row a document: doc_id, class_id (smallest doc_id connected by links), n_links (other rows of
+    similarity at least ``threshold``, copies among them), n_linked_texts (other sets so linked),
+    n_copies (rows with the same set), is_first (the row whose doc_id is class_id).
+
+    ``parameters``: n, threshold, recall, branches, small, block, alike, id_column, as in the module's description."""
+    signed, named, edges = _labelled(docs, False, **parameters)
     counts = edges.groupBy("set_key").agg(F.sum("linked_sets").alias("linked_sets"), F.sum("linked_rows").alias("linked_rows"))
-    named = classes.select("set_key", "first_id", "n_rows").join(label.withColumnRenamed("key", "set_key"), "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
     lowest = named.groupBy("label").agg(F.min("first_id").alias("class_id"))
     named = named.join(lowest, "label").join(counts, "set_key", "left").select(
         F.col("set_key"), "class_id", (F.coalesce("linked_rows", F.lit(0)) + F.col("n_rows") - 1).cast("long").alias("n_links"), F.coalesce("linked_sets", F.lit(0)).cast("long").alias("n_linked_texts"), F.col("n_rows").alias("n_copies")
@@ -280,15 +296,23 @@ def similar_documents(docs: DataFrame, n: int = 5, threshold: float = 0.8, recal
 
 
 def one_of_each(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is that of their class; of rows that share this doc_id, one.
+    """One row of each class: that of the smallest doc_id (null last), of equal ids that of the smallest hash of its text.
 
+    A row is its (doc_id, text): rows that share a doc_id but belong to different classes are judged each. Of equal rows one stays.
     A row without a word stays as it is.
     """
-    classes = similar_documents(docs, **parameters)
-    extra = classes.filter("class_id is not null and (class_id <> doc_id)").select("doc_id").distinct()
-    kept = docs.join(extra, "doc_id", "left_anti")
-    twice = classes.filter("n_copies > 1 and class_id = doc_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    signed, named, _ = _labelled(docs, True, **parameters)
+    rows = signed.filter("set_key is not null").groupBy("doc_id", "text_key", "set_key").agg(F.count("*").alias("times"))
+    placed = rows.join(named.select("set_key", "label"), "set_key").withColumn("place", F.struct(F.col("doc_id").isNull(), "doc_id", "text_key"))
+    best = placed.groupBy("label").agg(F.min("place").alias("best"))
+    judged = materialise(placed.join(best, "label").select("doc_id", "text_key", "times", (F.col("place") == F.col("best")).alias("stays")))
+    row_id, row_key = fresh(docs.columns, "row_id", "row_key")
+    match = F.col("doc_id").eqNullSafe(F.col(row_id)) & (F.xxhash64(text_or_empty(docs)) == F.col(row_key))
+    of = lambda which: judged.filter(which).select(F.col("doc_id").alias(row_id), F.col("text_key").alias(row_key))
+    # classes of equal rows: all but one of them go
+    twice = of("stays and times > 1")
     if twice.isEmpty():
-        return kept.select(*docs.columns)
-    again = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(again.select(*docs.columns))
+        return docs.join(of("not stays"), match, "left_anti")
+    kept = docs.join(of("not stays or times > 1"), match, "left_anti")
+    again = docs.join(twice, match, "left_semi").withColumns({row_id: F.col("doc_id"), row_key: F.xxhash64(text_or_empty(docs))}).dropDuplicates([row_id, row_key])
+    return kept.unionByName(again.drop(row_id, row_key))

@@ -126,6 +126,15 @@ def test_jaccard_keeps_one_of_each(spark, hard, empty):
     kept = rows_of(jaccard_join.one_of_each(hard))
     ids = Counter(r["doc_id"] for r in kept)
     assert ids[0] == 1 and ids[1] == 0 and ids[2] == 0 and ids[3] == 1 and ids[4] == 1 and ids[6] == 1 and ids[7] == 0 and ids[None] == 2
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    near = a.replace("a39", "a40")
+    rows = [(3, a), (5, a), (5, b), (7, near), (7, near), (None, c), (None, c), (3, near), (8, None), (8, None)]
+    clash = hard.sparkSession.createDataFrame(rows, "doc_id long, text string").withColumn("row_id", F.lit(1)).withColumn("label", F.lit(2))
+    kept = jaccard_join.one_of_each(clash)
+    assert kept.columns == clash.columns
+    got = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    first = [x for x in got if x[0] == 3]
+    assert len(first) == 1 and got == Counter([first[0], (5, b), (None, c), (8, None), (8, None)])
     assert jaccard_join.similar_documents(empty).count() == 0
     assert jaccard_join.runs_for(0.99, 0.8, 2) >= 2
 
@@ -273,11 +282,54 @@ def test_sharding_is_balanced_gapless_and_stable(spark, hard, empty):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     again = {r["doc_id"]: (r["shard"], r["slot"]) for r in rows_of(catalog.shard_rows(docs.repartition(2)))}
     assert again == {r["doc_id"]: (r["shard"], r["slot"]) for r in got}
+    few = rows_of(sharding.assign(docs, bucket_rows=20))  # many salts
+    assert len(few) == 9000 and Counter(r["doc_id"] for r in few) == Counter(range(9000))
     odd = rows_of(catalog.shard_rows(hard))
     assert len(odd) == hard.count() and len({(r["shard"], r["slot"]) for r in odd}) == len(odd)
     assert catalog.shard_rows(empty).count() == 0
 
 
+def ring_brute(rows, shards, virtual_nodes, slots, salts, slack, place_of, salt_of):
+    """Where each row goes, byte by byte round the ring. ``rows``: (doc_id, size, text hash), in any order."""
+    h = lambda x: int.from_bytes(hashlib.sha256(x.encode()).digest()[:8], "big")
+    points = sorted((h(f"shard {s} point {v}") % slots, h(f"{v} of {s}"), s) for s in range(shards) for v in range(virtual_nodes))
+    room = [math.ceil((1 + slack) * sum(r[1] for r in rows) / shards)] * shards
+    out = []
+    for slot in range(slots):
+        mine = sorted((r for r in rows if place_of(r) == slot), key=lambda r: (salt_of(r), r[0] is not None, r[0] or 0, r[2]))
+        at = next((k for k, p in enumerate(points) if p[0] >= slot), 0)
+        clockwise = list(dict.fromkeys(points[(at + k) % len(points)][2] for k in range(len(points))))
+        owner, todo = [], sum(r[1] for r in mine)
+        for s in clockwise:
+            take = min(room[s], todo)
+            owner += [s] * take
+            room[s] -= take
+            todo -= take
+        offset = 0
+        for r in mine:
+            out.append((*r, owner[offset]))
+            offset += r[1]
+    return Counter(out)
+
+
+def test_sharding_equals_brute_force(spark, hard):
+    """The hashes come from Spark; repeated rows, null ids, ties and a text of a third of all rows included."""
+    more = [(200 + i, "copy" if i % 3 else f"text {i}", "en", "s", 1, 0.0, "") for i in range(600)] + [(None, "copy", "en", "s", 1, 0.0, "")] * 40
+    docs = hard.unionByName(spark.createDataFrame(more, hard.schema)).withColumn("shard", F.lit("clash")).withColumn("place", F.lit(1))
+    text = F.coalesce("text", F.lit(""))
+    facts = docs.select("doc_id", (F.octet_length(text) + 1).alias("size"), F.xxhash64(text).alias("k"), F.pmod(F.xxhash64(text), F.lit(16)).alias("p"), F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(64)).alias("s")).collect()
+    where = {(r["doc_id"], r["size"], r["k"]): (r["p"], r["s"]) for r in facts}
+    want = ring_brute([tuple(r[:3]) for r in facts], 5, 8, 16, 64, 0.01, lambda r: where[r][0], lambda r: where[r][1])
+    got = rows_of(sharding.assign(docs, 5, 8, 16, slack=0.01))
+    mine = Counter()
+    for (i, size, _, shard), n in want.items():
+        mine[i, size, shard] += n
+    assert Counter((r["doc_id"], r["size"], r["shard"]) for r in got) == mine
+    for shard in range(5):
+        slots = sorted(r["slot"] for r in got if r["shard"] == shard)
+        assert slots == list(range(len(slots)))
+
+
 def test_walk_moves_little_when_a_shard_is_added():
     loads = [100] * 1024
     before = sharding.walk(loads, sharding.owners(8, 64, 1024), 8, 0.05)
