@@ -63,8 +63,10 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = secret_scan.train(secret_scan.labelled_findings(spark))
-    found = secret_scan.scan(table(spark, sf_dir, "documents"), model)
+    docs = table(spark, sf_dir, "documents")
+    words = secret_scan.dictionary(docs)
+    model = secret_scan.train(secret_scan.labelled_findings(spark, words), words)
+    found = secret_scan.scan(docs, model)
     return found.select("doc_id", "path", F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256"), F.length("value").cast("long").alias("length"), "start", "occurrences", "probability", "is_secret")
 
 
