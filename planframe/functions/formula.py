@@ -200,18 +200,19 @@ class Compiler:
             blank = V.is_blank(c.value)
             return F.when(blank, F.lit(0.0)).otherwise(n), F.coalesce(c.error, F.when(~blank & n.isNull(), VALUE))
         if c.kind == "date":
-            return F.datediff(c.value, F.lit("1899-12-30").cast("date")).cast("double"), c.error
+            moment = c.value.cast("timestamp")
+            return F.datediff(c.value, F.lit("1899-12-30").cast("date")) + (F.hour(moment) * 3600 + F.minute(moment) * 60 + F.second(moment)) / 86400, c.error
         return F.coalesce(c.value.cast("double"), F.lit(0.0)), c.error
 
     def text(self, c: Cell) -> tuple[Column, Column]:
-        shown = {"num": lambda: V.text_of(c.value, "number"), "bool": lambda: F.upper(c.value.cast("string")), "date": lambda: F.date_format(c.value, "yyyy-MM-dd")}.get(c.kind, lambda: c.value.cast("string"))()
+        shown = {"num": lambda: V.text_of(c.value, "number"), "bool": lambda: F.upper(c.value.cast("string")), "date": lambda: F.regexp_replace(F.date_format(c.value.cast("timestamp"), "yyyy-MM-dd HH:mm:ss"), " 00:00:00$", "")}.get(c.kind, lambda: c.value.cast("string"))()
         return F.coalesce(shown, F.lit("")), c.error
 
     def bool(self, c: Cell) -> tuple[Column, Column]:
         if c.kind == "bool":
             return F.coalesce(c.value, F.lit(False)), c.error
         if c.kind == "text":
-            low = F.lower(F.trim(c.value))
+            low = F.lower(V.strip(c.value))
             ok = low.isin("true", "false") | V.is_blank(c.value)
             return F.coalesce(low == "true", F.lit(False)), F.coalesce(c.error, F.when(~ok, VALUE))
         n, e = self.num(c)
@@ -517,7 +518,7 @@ class Compiler:
 
     def f_trim(self, a):
         s, e = self._texts(a)
-        return self.cell("text", F.trim(F.regexp_replace(s, r"\s+", " ")), *e)
+        return self.cell("text", V.strip(F.regexp_replace(s, V.SPACE_RUN, " ")), *e)
 
     def f_clean(self, a):
         s, e = self._texts(a)
@@ -609,7 +610,9 @@ class Compiler:
     def f_today(self):
         return self.cell("date", self._today())
 
-    f_now = f_today
+    def f_now(self):
+        """The moment; at the beginning of the day where a day is given for today."""
+        return self.cell("date", self.today.cast("timestamp") if self.today is not None else F.current_timestamp())
 
     def f_date(self, y, m, d):
         a, b, c, e = self.nums(y, m, d)
@@ -646,8 +649,15 @@ class Compiler:
     def f_datedif(self, start, end, unit):
         (a, ea), (b, eb) = self.date(self.compile(start)), self.date(self.compile(end))
         months = V.months_between(a, b)
-        year_back = F.when(F.make_date(F.year(b), F.month(a), F.least(F.dayofmonth(a), F.lit(28))) <= b, F.year(b)).otherwise(F.year(b) - 1)
-        made = {"D": F.datediff(b, a), "M": months, "Y": F.floor(months / 12), "YM": months % 12, "MD": F.datediff(b, F.add_months(a, months)), "YD": F.datediff(b, F.add_months(a, (year_back - F.year(a)) * 12))}[unit[1].upper()]
+        # the same day in another year: 29 February becomes 1 March where there is none
+        in_year = lambda y: F.date_add(F.make_date(y, F.month(a), F.lit(1)), F.dayofmonth(a) - 1)
+        last = F.when(in_year(F.year(b)) <= b, in_year(F.year(b))).otherwise(in_year(F.year(b) - 1))
+        # days beyond whole months; below zero they are counted from the month before, by its length
+        days = F.dayofmonth(b) - F.dayofmonth(a)
+        days = days + F.when(days < 0, F.dayofmonth(F.last_day(F.add_months(b, -1)))).otherwise(0)
+        made = {"D": F.datediff(b, a), "M": months, "Y": F.floor(months / 12), "YM": months % 12, "MD": days, "YD": F.datediff(b, last)}.get(unit[1].upper())
+        if made is None:
+            return self.cell("num", F.lit(None).cast("double"), F.lit(NUM))
         return self.cell("num", made.cast("double"), ea, eb, F.when(b < a, NUM))
 
     def f_networkdays(self, start, end):

@@ -13,6 +13,11 @@ NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 DATES = ["yyyy-M-d", "d/M/yyyy", "d/M/yy", "d MMM yyyy", "MMM d, yyyy", "MMM d yyyy"]
 
 
+#: The white space of Unicode, ends of lines and no-break spaces included.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+SPACE_RUN = "[" + SPACES + "]+"
+
+
 def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
@@ -27,10 +32,15 @@ def kind_of(df: DataFrame, name: str) -> str:
     return "bool" if isinstance(t, T.BooleanType) else "text"
 
 
+def strip(c: Column) -> Column:
+    """Without white space at both ends."""
+    return F.btrim(c, F.lit(SPACES))
+
+
 def is_blank(c: Column, kind: str = "text") -> Column:
     """NULL, empty and white space are one thing; so is NaN."""
     if kind == "text":
-        return F.coalesce(c.rlike(r"^\s*$"), F.lit(True))
+        return F.coalesce(strip(c) == "", F.lit(True))
     return c.isNull() | F.coalesce(F.isnan(c.cast("double")), F.lit(False)) if kind == "number" else c.isNull()
 
 
@@ -44,7 +54,7 @@ def text_of(c: Column, kind: str = "text") -> Column:
 
 def norm(c: Column, kind: str = "text") -> Column:
     """Key for comparing text: trimmed, lower case."""
-    return F.lower(F.trim(text_of(c, kind)))
+    return F.lower(strip(text_of(c, kind)))
 
 
 def match_key(c: Column, kind: str = "text") -> Column:
@@ -62,7 +72,7 @@ def read_date(c: Column, kind: str = "text") -> Column:
     """Date in a text by DATES, or NULL; dates as they are."""
     if kind == "date":
         return c.cast("date")
-    t = F.regexp_replace(F.trim(c.cast("string")), r"[T ][0-9]{1,2}:.*$", "")
+    t = F.regexp_replace(strip(c.cast("string")), r"[T ][0-9]{1,2}:.*$", "")
     t = F.when(t.rlike(r"^[0-9]{1,2}[./-]"), F.regexp_replace(t, "[.-]", "/")).otherwise(t)
     month = F.try_to_timestamp(F.concat(F.lit("1 "), t), F.lit("d MMM yyyy")).cast("date")
     return F.coalesce(*[F.try_to_timestamp(t, F.lit(p)).cast("date") for p in DATES], month)

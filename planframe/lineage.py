@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the cluster's shared checkpoint folder (a temporary one only where none is set)."""
+    """``df`` computed once into the cluster's shared checkpoint folder; a temporary one only in local mode, where none is set."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="planframe-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="planframe-"))
     return df.checkpoint(eager=True)
 
 
@@ -28,8 +31,8 @@ def fits_window(df: DataFrame, keys: list[str]) -> bool:
     return (largest or 0) <= WINDOW_ROWS
 
 
-def scan(df: DataFrame, keys: list[str], order: list[Column], value: str, how: str, name: str) -> DataFrame:
-    """Adds column ``name``: the running sum of ``value`` per key in order, or its last value so far (``how``: sum, last).
+def scan(df: DataFrame, keys: list[str], order: list[Column], values: list[str], how: str, names: list[str]) -> DataFrame:
+    """Adds columns ``names``: the running sums of ``values`` per key in order, or their last values so far (``how``: sum, last).
 
     Where every group fits one task, this is a plain window. Otherwise rows are range-partitioned by key and order,
     so a key with many rows spans partitions; each partition is scanned alone, and what the earlier partitions of a
@@ -38,22 +41,24 @@ def scan(df: DataFrame, keys: list[str], order: list[Column], value: str, how: s
     by = [F.col(k) for k in keys]
     if fits_window(df, keys):
         whole = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn(name, F.coalesce(F.sum(value).over(whole), F.lit(0.0)) if how == "sum" else F.last(value, ignorenulls=True).over(whole))
+        return df.withColumns({n: F.coalesce(F.sum(v).over(whole), F.lit(0.0)) if how == "sum" else F.last(v, ignorenulls=True).over(whole) for n, v in zip(names, values)})
     placed = checkpointed(df.repartitionByRange(*by, *order).withColumn("__pid", F.spark_partition_id()))
     inside = Window.partitionBy("__pid", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*by).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    some = range(len(values))
     if how == "sum":
-        ends = placed.groupBy("__pid", *by).agg(F.sum(value).alias("__end"))
-        local, carried = F.sum(value).over(inside), F.sum("__end").over(before)
-        join = F.coalesce(F.col("__local"), F.lit(0.0)) + F.coalesce(F.col("__carried"), F.lit(0.0))
+        ends = placed.groupBy("__pid", *by).agg(*[F.sum(v).alias(f"__end{i}") for i, v in enumerate(values)])
+        local, carried = [F.sum(v).over(inside) for v in values], [F.sum(f"__end{i}").over(before) for i in some]
+        join = [F.coalesce(F.col(f"__local{i}"), F.lit(0.0)) + F.coalesce(F.col(f"__carried{i}"), F.lit(0.0)) for i in some]
     else:
-        place = F.struct(*[F.row_number().over(Window.partitionBy("__pid", *by).orderBy(*order)).alias("at")])
-        ends = placed.withColumn("__at", place).groupBy("__pid", *by).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col("__at"))).alias("__end"))
-        local, carried = F.last(value, ignorenulls=True).over(inside), F.last("__end", ignorenulls=True).over(before)
-        join = F.coalesce("__local", "__carried")
-    offsets = ends.withColumn("__carried", carried).select("__pid", *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__carried")
-    here = placed.withColumn("__local", local)
-    on = here["__pid"] == offsets["__pid"]
+        place = F.row_number().over(Window.partitionBy("__pid", *by).orderBy(*order))
+        ends = placed.withColumn("__at", place).groupBy("__pid", *by).agg(*[F.max_by(v, F.when(F.col(v).isNotNull(), F.col("__at"))).alias(f"__end{i}") for i, v in enumerate(values)])
+        local, carried = [F.last(v, ignorenulls=True).over(inside) for v in values], [F.last(f"__end{i}", ignorenulls=True).over(before) for i in some]
+        join = [F.coalesce(f"__local{i}", f"__carried{i}") for i in some]
+    offsets = ends.withColumns({f"__carried{i}": c for i, c in enumerate(carried)}).select(F.col("__pid").alias("__from"), *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *[f"__carried{i}" for i in some])
+    here = placed.withColumns({f"__local{i}": c for i, c in enumerate(local)})
+    on = F.col("__pid") == F.col("__from")
     for i, k in enumerate(keys):
         on &= F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    return here.join(offsets, on, "left").withColumn(name, join).drop("__pid", "__local", "__carried", *[f"__k{i}" for i in range(len(keys))])
+    out = here.join(offsets, on, "left").withColumns(dict(zip(names, join)))
+    return out.drop("__pid", "__from", *[f"__local{i}" for i in some], *[f"__carried{i}" for i in some], *[f"__k{i}" for i in range(len(keys))])

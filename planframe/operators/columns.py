@@ -82,7 +82,7 @@ def date_part(sheet: Sheet, step: dict, ctx) -> Sheet:
 
 def clean_text(sheet: Sheet, step: dict, ctx) -> Sheet:
     action = {
-        "trim": lambda c: F.nullif(F.trim(F.regexp_replace(c, r"\s+", " ")), F.lit("")),
+        "trim": lambda c: F.nullif(V.strip(F.regexp_replace(c, V.SPACE_RUN, " ")), F.lit("")),
         "upper": F.upper,
         "lower": F.lower,
         "title": V.title,
@@ -125,13 +125,13 @@ def split_column(sheet: Sheet, step: dict, ctx) -> Sheet:
     sheet.need(name)
     quoted = r"\Q" + step["delimiter"].replace("\\E", "\\E\\\\E\\Q") + r"\E"
     parts = F.split(V.text_of(V.col(name), sheet.kind(name)), quoted, len(names))
-    return _after(sheet, name, {n: F.nullif(F.trim(F.get(parts, F.lit(i))), F.lit("")) for i, n in enumerate(names)})
+    return _after(sheet, name, {n: F.nullif(V.strip(F.get(parts, F.lit(i))), F.lit("")) for i, n in enumerate(names)})
 
 
 def merge_columns(sheet: Sheet, step: dict, ctx) -> Sheet:
     names = step["columns"]
     sheet.need(*names)
-    parts = [F.nullif(F.trim(V.text_of(V.col(c), sheet.kind(c))), F.lit("")) for c in names]
+    parts = [F.nullif(V.strip(V.text_of(V.col(c), sheet.kind(c))), F.lit("")) for c in names]
     return _after(sheet, names[-1], {step["name"]: F.nullif(F.concat_ws(step.get("separator", " "), *parts), F.lit(""))})
 
 

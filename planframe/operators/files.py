@@ -6,12 +6,14 @@ import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import values as V
 from ..sheet import PlanError, Sheet, sheet_of
 
-#: A side is broadcast only below this number of rows.
+#: A side is broadcast only up to this number of rows and bytes.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
 def _other(ctx, name: str) -> Sheet:
@@ -25,8 +27,11 @@ def _fold(name: str) -> str:
     return re.sub(r"[^a-z0-9]", "", name.lower())
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def _bounded(df: DataFrame, source: DataFrame, columns: list[str]) -> DataFrame:
+    """``df``, made from these columns of ``source``, broadcast if they are small: a look at the first rows of the source, never at ``df`` itself."""
+    size = sum((F.coalesce(F.octet_length(V.col(c).cast("string")), F.lit(0)) for c in columns), F.lit(16 * len(columns)))
+    n, held = source.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if n <= BROADCAST_ROWS and held <= BROADCAST_BYTES else df
 
 
 def lookup(sheet: Sheet, step: dict, ctx) -> Sheet:
@@ -42,10 +47,19 @@ def lookup(sheet: Sheet, step: dict, ctx) -> Sheet:
     place = F.struct(*[F.col(c) for c, _ in other.order])
     first = other.df.withColumn("__rk", key).filter("__rk is not null").groupBy("__rk").agg(F.min_by(F.struct(*[V.col(c).alias(f"c{i}") for i, c in enumerate(wanted)]), place).alias("__row"))
     table = first.select("__rk", *[F.col(f"__row.c{i}").alias(n) for i, n in enumerate(names.values())])
-    joined = sheet.df.withColumn("__lk", V.match_key(V.col(left), sheet.kind(left))).join(_bounded(table), F.col("__lk") == F.col("__rk"), "left")
+    joined = sheet.df.withColumn("__lk", V.match_key(V.col(left), sheet.kind(left))).join(_bounded(table, other.df, [right, *wanted]), F.col("__lk") == F.col("__rk"), "left")
     return sheet.with_df(joined.drop("__lk", "__rk"))
 
 
+def _common(a: Sheet, x: str, b: Sheet, y: str) -> T.DataType:
+    """The type that holds the numbers of both columns: whole numbers stay whole."""
+    one, two = a.df.schema[x].dataType, b.df.schema[y].dataType
+    if one == two:
+        return one
+    whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+    return T.LongType() if isinstance(one, whole) and isinstance(two, whole) else T.DoubleType()
+
+
 def append(sheet: Sheet, step: dict, ctx) -> Sheet:
     """Rows of the other table after these; columns meet by name, ignoring case and punctuation."""
     other = _other(ctx, step["file"])
@@ -63,7 +77,7 @@ def append(sheet: Sheet, step: dict, ctx) -> Sheet:
                 cols.append(F.lit(None).alias(n))
                 continue
             c, k = V.col(source[n]), s.kind(source[n])
-            cols.append((V.text_of(c, k) if a and b and a != b else c.cast("double") if a == b == "number" else c).alias(n))
+            cols.append((V.text_of(c, k) if a and b and a != b else c.cast(_common(sheet, n, other, theirs[n])) if a == b == "number" else c).alias(n))
         return s.df.select(*cols, F.lit(number).alias("__src"), *[F.col(c).alias(f"__{number}_{i}") for i, (c, _) in enumerate(s.order)])
 
     a, b = side(sheet, {c: c for c in sheet.columns}, 0), side(other, theirs, 1)
@@ -89,11 +103,11 @@ def compare(sheet: Sheet, step: dict, ctx) -> Sheet:
         mine = [F.coalesce(V.match_key(V.col(a), sheet.kind(a)), F.lit("")) for a, _ in shared]
         theirs = [F.coalesce(V.match_key(V.col(b), other.kind(b)), F.lit("")) for _, b in shared]
     here, other_keys = (sheet, theirs) if keep != "only_there" else (other, mine)
-    own, far = (mine, other.df) if keep != "only_there" else (theirs, sheet.df)
+    own, far, used = (mine, other.df, [right or left] if left else [b for _, b in shared]) if keep != "only_there" else (theirs, sheet.df, [left] if left else [a for a, _ in shared])
     keys = far.select(*[k.alias(f"__f{i}") for i, k in enumerate(other_keys)]).distinct()
     base = here.df.withColumns({f"__m{i}": k for i, k in enumerate(own)})
     on = F.lit(True)
     for i in range(len(own)):
         on = (F.col(f"__m{i}") == F.col(f"__f{i}")) & on if i else F.col("__m0") == F.col("__f0")
-    out = base.join(_bounded(keys), on, "left_semi" if keep == "both" else "left_anti")
+    out = base.join(_bounded(keys, far, used), on, "left_semi" if keep == "both" else "left_anti")
     return here.with_df(out.drop(*[f"__m{i}" for i in range(len(own))]), notes=sheet.notes)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..functions.formula import arithmetic, formula, parse
+from ..lineage import checkpointed
 from ..sheet import PlanError, Sheet
 from .filters import all_of
 
@@ -112,7 +113,7 @@ def pivot(sheet: Sheet, step: dict, ctx) -> Sheet:
     rows, across = ([rows] if isinstance(rows, str) else rows), ([across] if isinstance(across, str) else across)
     sheet.need(*rows, *across)
     func, value, totals = step.get("func", "count"), step.get("values"), step.get("totals", True)
-    shown = lambda c: F.coalesce(F.nullif(F.trim(V.text_of(V.col(c), sheet.kind(c))), F.lit("")), F.lit("(blank)"))
+    shown = lambda c: F.coalesce(F.nullif(V.strip(V.text_of(V.col(c), sheet.kind(c))), F.lit("")), F.lit("(blank)"))
     head = F.concat_ws(" / ", *[shown(c) for c in across]) if across else None
     base = sheet.df.withColumns({f"__r{i}": shown(r) if totals or sheet.kind(r) == "text" else V.col(r) for i, r in enumerate(rows)})
     r = [F.col(f"__r{i}") for i in range(len(rows))]
@@ -127,9 +128,6 @@ def pivot(sheet: Sheet, step: dict, ctx) -> Sheet:
     name = value or rows[0]
     sheet.need(name)
     base = base.withColumn("__c", head)
-    heads = [x[0] for x in base.select("__c").distinct().orderBy("__c").limit(WIDEST + 1).collect()]
-    if len(heads) > WIDEST:
-        raise PlanError(f"that would make more than {WIDEST} columns; which values matter?")
     c = F.col("__c")
     sets = [[*r, c], r, [c], []] if totals else [[*r, c]]
     # each cell once, then totals from the few cells' states: grouping sets copy every row they read
@@ -139,6 +137,10 @@ def pivot(sheet: Sheet, step: dict, ctx) -> Sheet:
     else:
         parts, total = mergeable(sheet, name, func, value is None)
         states = base.groupBy(*r, c).agg(*parts)
+    states = checkpointed(states)  # read for the headings and for the totals
+    heads = [x[0] for x in states.select("__c").distinct().orderBy("__c").limit(WIDEST + 1).collect()]
+    if len(heads) > WIDEST:
+        raise PlanError(f"that would make more than {WIDEST} columns; which values matter?")
     cells = states.groupingSets(sets, *r, c).agg(F.grouping_id().alias("__gid"), F.grouping("__c").alias("__gc"), total.alias("__x"))
     wide = cells.withColumn("__g", F.shiftright("__gid", 1)).groupBy("__g", *r).agg(
         *[F.max(F.when((F.col("__gc") == 0) & (c == F.lit(h)), F.col("__x"))).alias(h) for h in heads], *([F.max(F.when(F.col("__gc") == 1, F.col("__x"))).alias("Total")] if totals else [])

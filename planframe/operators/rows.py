@@ -66,7 +66,7 @@ def split_by(sheet: Sheet, step: dict, ctx) -> Sheet:
     """A sheet for each value: a key beside the rows, written apart at the sink."""
     sheet.need(step["column"])
     mark = sheet.fresh("sheet")
-    value = F.coalesce(F.nullif(F.trim(V.text_of(V.col(step["column"]), sheet.kind(step["column"]))), F.lit("")), F.lit("(blank)"))
+    value = F.coalesce(F.nullif(V.strip(V.text_of(V.col(step["column"]), sheet.kind(step["column"]))), F.lit("")), F.lit("(blank)"))
     return sheet.with_df(sheet.df.withColumn(mark, value), split=[*sheet.split, mark])
 
 
@@ -92,12 +92,9 @@ def fill_blanks(sheet: Sheet, step: dict, ctx) -> Sheet:
                 x = F.when(V.is_blank(V.col(c), kind), new).otherwise(x)
             out[c] = x
         return sheet.project(out)
-    df = sheet.df
-    for c in names:
-        kept = F.when(~V.is_blank(V.col(c), sheet.kind(c)), V.col(c))
-        df = scan(df.withColumn("__v", kept), [], sheet.by_order(reverse=method == "up"), "__v", "last", "__filled")
-        df = df.withColumn(c, F.col("__filled")).drop("__v", "__filled")
-    return sheet.with_df(df)
+    kept = {f"__v{i}": F.when(~V.is_blank(V.col(c), sheet.kind(c)), V.col(c)) for i, c in enumerate(names)}
+    df = scan(sheet.df.withColumns(kept), [], sheet.by_order(reverse=method == "up"), list(kept), "last", [f"__filled{i}" for i in range(len(names))])
+    return sheet.with_df(df.withColumns({c: F.col(f"__filled{i}") for i, c in enumerate(names)}).drop(*kept, *[f"__filled{i}" for i in range(len(names))]))
 
 
 def calculate(sheet: Sheet, step: dict, ctx) -> Sheet:
@@ -110,9 +107,9 @@ def calculate(sheet: Sheet, step: dict, ctx) -> Sheet:
     if kind == "running_total":
         df = sheet.df.withColumn("__v", x)
         if per:
-            df = scan(df.withColumn("__g", keys[0]), ["__g"], sheet.by_order(), "__v", "sum", "__run").drop("__g")
+            df = scan(df.withColumn("__g", keys[0]), ["__g"], sheet.by_order(), ["__v"], "sum", ["__run"]).drop("__g")
         else:
-            df = scan(df, [], sheet.by_order(), "__v", "sum", "__run")
+            df = scan(df, [], sheet.by_order(), ["__v"], "sum", ["__run"])
         return sheet.with_df(df.withColumn(out, F.when(F.col("__v").isNotNull(), F.col("__run"))).drop("__v", "__run"))
     if kind == "percent_of_total":
         if per:
@@ -133,7 +130,7 @@ def calculate(sheet: Sheet, step: dict, ctx) -> Sheet:
         counted = sheet.df.filter(key.isNotNull()).groupBy(*[k.alias("__g") for k in keys], key.alias("__v")).agg(F.count("*").cast("double").alias("__c"))
         # rows before each distinct value, by running counts over distinct values
         order = [F.col("__v").desc() if down else F.col("__v").asc()]
-        ran = scan(counted, ["__g"] if per else [], order, "__c", "sum", "__upto")
+        ran = scan(counted, ["__g"] if per else [], order, ["__c"], "sum", ["__upto"])
         ranks = ran.select(*(["__g"] if per else []), "__v", (F.col("__upto") - F.col("__c") + 1).cast("bigint").alias("__rank"))
         on = F.col("__key") == F.col("__v")
         if per:

@@ -38,7 +38,7 @@ def secrets(df: DataFrame, columns: list[str], allowed: list[str] | None = None)
         if V.kind_of(df, c) == "number":
             parts.append(F.when((x == F.floor(x)) & (F.abs(x) >= 1000), F.array(V.text_of(x, "number"))))
         else:
-            low = F.lower(F.trim(V.text_of(x, V.kind_of(df, c))))
+            low = F.lower(V.strip(V.text_of(x, V.kind_of(df, c))))
             parts.append(F.when(F.length(low) >= 3, F.concat(F.array(low), F.filter(tokens(low), lambda t: F.length(t) >= 4))))
     held = df.select(F.explode(F.array_distinct(F.flatten(F.array_compact(F.array(*parts))))).alias("secret")).distinct()
     names = df.sparkSession.createDataFrame([(c.lower(),) for c in [*df.columns, *(allowed or [])]], "name string")
@@ -48,7 +48,7 @@ def secrets(df: DataFrame, columns: list[str], allowed: list[str] | None = None)
 
 def leaks(texts: DataFrame, key: str, text: str, secret: DataFrame) -> DataFrame:
     """key, found: texts with personal data or with a secret value or word, and what was found; a join on words."""
-    low = F.lower(F.trim(V.col(text)))
+    low = F.lower(V.strip(V.col(text)))
     words = texts.select(V.col(key), F.explode(F.array_distinct(F.concat(F.array(low), tokens(low)))).alias("secret")).filter("secret <> ''")
     told = words.join(secret, "secret", "left_semi").select(V.col(key), F.lit("a value from your file").alias("found")).distinct()
     kinds = texts.select(V.col(key), F.explode(personal_data(V.col(text))).alias("found"))

@@ -30,7 +30,7 @@ def profile(df: DataFrame) -> DataFrame:
 
 def value_counts(df: DataFrame, name: str, n: int = 12) -> DataFrame:
     """The n most frequent values; a blank is (blank)."""
-    c = F.coalesce(F.nullif(F.trim(V.text_of(V.col(name), V.kind_of(df, name))), F.lit("")), F.lit("(blank)"))
+    c = F.coalesce(F.nullif(V.strip(V.text_of(V.col(name), V.kind_of(df, name))), F.lit("")), F.lit("(blank)"))
     return df.groupBy(c.alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value").limit(n)
 
 
@@ -54,7 +54,7 @@ def findings(df: DataFrame) -> DataFrame:
         blank = V.is_blank(x, kind)
         tests = {"blanks": blank}
         if kind == "text":
-            tests["stray spaces"] = ~blank & (x != F.trim(F.regexp_replace(x, r"\s+", " ")))
+            tests["stray spaces"] = ~blank & (x != V.strip(F.regexp_replace(x, V.SPACE_RUN, " ")))
             tests["amounts as text"] = ~blank & V.read_number(x).isNotNull()
             tests["dates as text"] = ~blank & V.read_number(x).isNull() & V.read_date(x).isNotNull()
         for k, t in tests.items():
@@ -69,7 +69,7 @@ def findings(df: DataFrame) -> DataFrame:
 
 def spellings(df: DataFrame, name: str) -> DataFrame:
     """Values that differ in case and spaces only: key, spellings."""
-    key = F.lower(F.regexp_replace(V.col(name), r"\s+", ""))
+    key = F.lower(F.regexp_replace(V.col(name), V.SPACE_RUN, ""))
     return df.filter(~V.is_blank(V.col(name))).groupBy(key.alias("key")).agg(F.count_distinct(V.col(name)).alias("spellings")).filter("spellings > 1")
 
 

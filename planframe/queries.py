@@ -34,12 +34,15 @@ def _shown(df: DataFrame, digits: int) -> DataFrame:
     return df.select(*out)
 
 
-def add(name: str, source: str, plan: list[dict], sql: str, files: dict[str, str] | None = None, before: Callable | None = None, digits: int = 4) -> None:
+def add(name: str, source: str, plan: list[dict], sql: str, files: dict[str, str] | None = None, before: Callable | None = None, digits: int = 4, after: Callable | None = None) -> None:
+    """A query: ``before`` changes the table first; ``after`` makes rows of the resulting sheet (else its visible columns)."""
+
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = table(spark, sf_dir, source)
         df = before(df) if before else df
         others = {k: sheet_of(table(spark, sf_dir, t), KEYS[t]) for k, t in (files or {}).items()}
-        return _shown(run_plan(sheet_of(df, KEYS[source]), plan, others, TODAY).output(ordered=False), digits)
+        out = run_plan(sheet_of(df, KEYS[source]), plan, others, TODAY)
+        return _shown(after(out) if after else out.output(ordered=False), digits)
 
     CATALOGUE[name] = (query, sql)
 
@@ -78,6 +81,21 @@ add("filter_within_last", "orders", [where("o_orderdate", "within_last_days", 90
 add("filter_formula", "lineitem", [{"op": "filter_formula", "formula": "=AND([l_quantity]>40, OR([l_returnflag]=\"a\", [l_discount]>=9%))"}, LINE], f"SELECT {L} FROM lineitem WHERE l_quantity > 40 AND (lower(l_returnflag) = 'a' OR l_discount >= 0.09::DOUBLE)")
 add("filter_two_columns", "lineitem", [{"op": "filter_formula", "formula": "=[l_tax]<=[l_discount]"}, LINE], f"SELECT {L} FROM lineitem WHERE l_tax <= l_discount")
 
+#: Numbers with NaN and NULL, whole numbers beyond the doubles, text amid tabs and no-break spaces.
+ODD = lambda df: df.withColumns({"v": F.when(F.col("c_custkey") % 4 == 0, F.lit(float("nan"))).when(F.col("c_custkey") % 5 == 0, None).otherwise(F.col("c_acctbal")), "big": F.col("c_custkey") + 9007199254740000, "wide": F.concat(F.lit("\t"), F.col("c_mktsegment"), F.lit("\xa0"))})
+ODD_SQL = "(SELECT *, CASE WHEN c_custkey % 4 = 0 THEN 'NaN'::DOUBLE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_acctbal END AS v, c_custkey + 9007199254740000 AS big, c_mktsegment AS wide FROM customer)"
+for _name, _where, _sql in [
+    ("gt_odd", where("v", "gt", 0), "v > 0 AND NOT isnan(v)"), ("lte_odd", where("v", "lte", 1000), "v <= 1000 AND NOT isnan(v)"), ("in_odd", where("v", "in", values=["0", "nan"]), "v = 0"),
+    ("is_empty_odd", where("v", "is_empty"), "v IS NULL OR isnan(v)"), ("not_empty_odd", where("v", "not_empty"), "v IS NOT NULL AND NOT isnan(v)"),
+    ("gt_opposite", where("v", "gt", 0, negate=True), "v <= 0 AND NOT isnan(v)"), ("contains_opposite", where("wide", "contains", "build", negate=True), "NOT contains(wide, 'BUILD')"),
+    ("equals_big", where("big", "equals", 9007199254740993), "big = 9007199254740993"), ("not_equals_big", where("big", "not_equals", "9,007,199,254,740,993"), "big <> 9007199254740993"), ("gte_fraction", where("c_nationkey", "gte", 3.5), "c_nationkey >= 4"),
+    ("equals_number", where("c_nationkey", "equals", "7.0"), "c_nationkey = 7"), ("equals_fraction", where("c_nationkey", "equals", 7.5), "false"), ("equals_wide", where("wide", "equals", "building"), "wide = 'BUILDING'"),
+    ("in_text", where("c_mktsegment", "in", values=[" building", "Machinery "]), "c_mktsegment IN ('BUILDING', 'MACHINERY')"), ("lt_text_number", where("c_name", "lt", 5), "false"),
+]:
+    add(f"filter_{_name}", "customer", [_where, CUST], f"SELECT {C} FROM {ODD_SQL} WHERE {_sql}", before=ODD)
+add("filter_equals_day", "orders", [where("o_orderdate", "equals", "2/3/1995"), select("o_orderkey")], "SELECT o_orderkey FROM orders WHERE o_orderdate::DATE = DATE '1995-03-02'")
+add("filter_gt_day", "orders", [where("o_orderdate", "gt", "1998-07-01"), select("o_orderkey")], "SELECT o_orderkey FROM orders WHERE o_orderdate::DATE > DATE '1998-07-01'")
+
 # --- columns
 add("select_columns", "lineitem", [LINE], f"SELECT {L} FROM lineitem")
 add("drop_columns", "nation", [{"op": "drop_columns", "columns": ["n_regionkey"]}], "SELECT n_nationkey, n_name FROM nation")
@@ -92,6 +110,8 @@ for _part, _sql in {"year": "year(o_orderdate)::BIGINT", "quarter": "year(o_orde
 
 # --- order
 add("sort_multi", "supplier", [{"op": "sort", "columns": ["s_nationkey", "s_acctbal"], "ascending": False}, {"op": "top_n", "n": 40}, select("s_suppkey", "s_nationkey")], "SELECT s_suppkey, s_nationkey FROM supplier ORDER BY s_nationkey DESC NULLS LAST, s_acctbal DESC NULLS LAST, s_suppkey LIMIT 40")
+add("sort_all", "supplier", [{"op": "sort", "columns": ["s_nationkey", "s_acctbal"], "ascending": False}, {"op": "compute", "name": "one", "expr": "1"}, {"op": "calculate", "kind": "running_total", "column": "one", "name": "place"}, select("s_suppkey", "place")], "SELECT s_suppkey, (row_number() OVER (ORDER BY s_nationkey DESC, s_acctbal DESC, s_suppkey))::DOUBLE AS place FROM supplier")
+add("sort_blanks_last", "customer", [{"op": "sort", "columns": ["segment"]}, {"op": "compute", "name": "one", "expr": "1"}, {"op": "calculate", "kind": "running_total", "column": "one", "name": "place"}, select("c_custkey", "place")], f"SELECT c_custkey, (row_number() OVER (ORDER BY CASE WHEN trim(segment) <> '' THEN segment END NULLS LAST, c_custkey))::DOUBLE AS place FROM {DIRTY_SQL}", before=DIRTY)
 add("top_n", "lineitem", [{"op": "top_n", "n": 25, "column": "l_extendedprice"}, LINE], f"SELECT {L} FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 25")
 add("bottom_n", "lineitem", [{"op": "top_n", "n": 25, "column": "l_extendedprice", "largest": False}, LINE], f"SELECT {L} FROM lineitem ORDER BY l_extendedprice, l_orderkey, l_linenumber LIMIT 25")
 add("top_n_per_group", "lineitem", [{"op": "top_n", "n": 3, "column": "l_extendedprice", "per": "l_returnflag"}, LINE], f"SELECT {L} FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) <= 3")
@@ -101,7 +121,7 @@ _E = select("event_id", "user_id", "event_type")
 add("dedupe_first", "events", [{"op": "dedupe", "columns": ["user_id", "event_type"]}, _E], "SELECT event_id, user_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1")
 add("dedupe_last", "events", [{"op": "dedupe", "columns": ["user_id", "event_type"], "keep": "last"}, _E], "SELECT event_id, user_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1")
 add("dedupe_rows", "customer", [select("c_nationkey", "c_mktsegment"), {"op": "dedupe"}], "SELECT DISTINCT c_nationkey, c_mktsegment FROM customer")
-add("split_by", "customer", [{"op": "split_by", "column": "c_mktsegment"}, {"op": "group_by", "columns": ["c_mktsegment"], "aggregations": [{"column": "c_custkey", "func": "count"}]}], "SELECT c_mktsegment, count(*) AS count_c_custkey FROM customer GROUP BY 1")
+add("split_by", "customer", [{"op": "split_by", "column": "segment"}], f"SELECT c_custkey, coalesce(nullif(trim(segment), ''), '(blank)') AS sheet FROM {DIRTY_SQL}", before=DIRTY, after=lambda sheet: sheet.df.select("c_custkey", F.col(sheet.split[0]).alias("sheet")))
 
 # --- groups
 add("group_sum", "lineitem", [where("l_quantity", "gt", 25), {"op": "group_by", "columns": ["l_returnflag"], "aggregations": [{"column": "l_extendedprice", "func": "sum"}, {"column": "l_returnflag", "func": "count"}]}, {"op": "sort", "columns": ["sum_l_extendedprice"], "ascending": False}], "SELECT l_returnflag, round(sum(l_extendedprice), 2) AS sum_l_extendedprice, count(*) AS count_l_returnflag FROM lineitem WHERE l_quantity > 25 GROUP BY 1", digits=2)
@@ -129,9 +149,11 @@ add("pivot_max", "lineitem", [_P | {"values": "l_extendedprice", "func": "max"}]
 add("pivot_nunique", "lineitem", [_P | {"values": "l_suppkey", "func": "nunique"}], _pivot_sql("count(DISTINCT l_suppkey){f}"))
 add("pivot_calculated", "lineitem", [{"op": "pivot", "rows": ["l_returnflag"], "calculated": {"rate": "[l_tax] / [l_quantity]"}}], "SELECT l_returnflag, round(sum(l_tax) / sum(l_quantity), 6) AS rate FROM lineitem GROUP BY 1 UNION ALL SELECT 'Total', round(sum(l_tax) / sum(l_quantity), 6) FROM lineitem", digits=6)
 
+add("pivot_blank", "customer", [{"op": "pivot", "rows": ["segment"], "columns": ["flag"], "totals": False}], f"SELECT coalesce(nullif(trim(segment), ''), '(blank)') AS segment, count(*) FILTER (WHERE c_custkey % 2 = 0) AS \"(blank)\", count(*) FILTER (WHERE c_custkey % 2 = 1) AS \"odd\" FROM {DIRTY_SQL} GROUP BY 1", before=lambda df: DIRTY(df).withColumn("flag", F.when(F.col("c_custkey") % 2 == 1, "odd")))
+
 # --- windows
 O = select("o_orderkey", "v")
-add("percent_of_total", "orders", [where("o_orderkey", "lte", 2000), {"op": "calculate", "kind": "percent_of_total", "column": "o_totalprice", "per": "o_orderpriority", "name": "v"}, O], "SELECT o_orderkey, round_even(o_totalprice / sum(o_totalprice) OVER (PARTITION BY o_orderpriority) * 100, 2) AS v FROM orders WHERE o_orderkey <= 2000", digits=2)
+add("percent_of_total", "orders", [{"op": "calculate", "kind": "percent_of_total", "column": "o_totalprice", "name": "v"}, O], "SELECT o_orderkey, round_even(o_totalprice / sum(o_totalprice) OVER () * 100, 2) AS v FROM orders", digits=2)
 _SHARE = {"op": "calculate", "kind": "percent_of_total", "column": "o_totalprice", "per": "o_orderpriority", "name": "v"}
 add("percent_of_total_all", "orders", [_SHARE, O], "SELECT o_orderkey, round_even(o_totalprice / sum(o_totalprice) OVER (PARTITION BY o_orderpriority) * 100, 2) AS v FROM orders", digits=2)
 add("percent_of_total_groups", "orders", [{"op": "group_by", "columns": ["o_orderpriority", "o_orderstatus"], "aggregations": [{"column": "o_totalprice", "func": "sum"}]}, _SHARE | {"column": "sum_o_totalprice"}, select("o_orderpriority", "o_orderstatus", "v")], "SELECT o_orderpriority, o_orderstatus, round_even(sum(o_totalprice) / sum(sum(o_totalprice)) OVER (PARTITION BY o_orderpriority) * 100, 2) AS v FROM orders GROUP BY 1, 2", digits=2)
@@ -152,6 +174,7 @@ _KEPT = "CASE WHEN trim(segment) <> '' THEN segment END"
 add("fill_down", "customer", [{"op": "fill_blanks", "columns": ["segment"], "method": "down"}, S], f"SELECT c_custkey, last_value({_KEPT} IGNORE NULLS) OVER (ORDER BY c_custkey) AS segment FROM {DIRTY_SQL}", before=DIRTY)
 add("fill_up", "customer", [{"op": "fill_blanks", "columns": ["segment"], "method": "up"}, S], f"SELECT c_custkey, last_value({_KEPT} IGNORE NULLS) OVER (ORDER BY c_custkey DESC) AS segment FROM {DIRTY_SQL}", before=DIRTY)
 add("drop_blank_any", "customer", [{"op": "drop_blank_rows", "how": "any"}, S], f"SELECT c_custkey, segment FROM {DIRTY_SQL} WHERE trim(segment) <> ''", before=DIRTY)
+add("drop_blank_all", "customer", [select("segment", "empty"), {"op": "drop_blank_rows"}, select("segment")], f"SELECT segment FROM {DIRTY_SQL} WHERE trim(segment) <> ''", before=lambda df: DIRTY(df).withColumn("empty", F.lit(" ")))
 add("replace_text", "part", [{"op": "replace", "columns": ["p_type"], "find": "steel", "replace": "$1 iron"}, select("p_partkey", "p_type")], "SELECT p_partkey, nullif(regexp_replace(p_type, 'steel', '$1 iron', 'gi'), '') AS p_type FROM part")
 add("replace_number", "part", [{"op": "replace", "columns": ["p_size"], "find": "7", "replace": "70"}, select("p_partkey", "p_size")], "SELECT p_partkey, CASE WHEN p_size = 7 THEN 70 ELSE p_size END AS p_size FROM part")
 add("split_column", "part", [{"op": "split_column", "column": "p_type", "delimiter": " ", "names": ["a", "b"]}, select("p_partkey", "a", "b")], "SELECT p_partkey, nullif(trim(split_part(p_type, ' ', 1)), '') AS a, nullif(trim(p_type[length(split_part(p_type, ' ', 1)) + 2:]), '') AS b FROM part")
@@ -167,19 +190,22 @@ add("label_replace", "part", [{"op": "label", "name": "p_size", "cases": [_case(
 add("lookup_first", "orders", [{"op": "lookup", "file": "c", "left_on": "o_custkey", "right_on": "c_custkey", "columns": ["c_name", "c_acctbal"]}, select("o_orderkey", "c_name", "c_acctbal")], "SELECT o_orderkey, c_name, c_acctbal FROM orders LEFT JOIN customer ON o_custkey = c_custkey", {"c": "customer"})
 add("lookup_repeated_keys", "nation", [{"op": "lookup", "file": "s", "left_on": "n_nationkey", "right_on": "s_nationkey", "columns": ["s_name"]}], "SELECT n.*, s_name FROM nation n LEFT JOIN (SELECT s_nationkey, arg_min(s_name, s_suppkey) AS s_name FROM supplier GROUP BY 1) ON n_nationkey = s_nationkey", {"s": "supplier"})
 add("lookup_clash", "nation", [{"op": "rename", "mapping": {"n_name": "r_name"}}, {"op": "lookup", "file": "r", "left_on": "n_regionkey", "right_on": "r_regionkey"}], "SELECT n_nationkey, n_name AS r_name, n_regionkey, r.r_name AS \"r_name (r)\" FROM nation LEFT JOIN region r ON n_regionkey = r_regionkey", {"r": "region"})
-add("append_union", "nation", [{"op": "rename", "mapping": {"n_nationkey": "R RegionKey", "n_name": "R_Name"}}, {"op": "append", "file": "r"}], "SELECT n_nationkey::DOUBLE AS \"R RegionKey\", n_name AS \"R_Name\", n_regionkey FROM nation UNION ALL SELECT r_regionkey::DOUBLE, r_name, NULL FROM region", {"r": "region"})
+add("append_union", "nation", [{"op": "rename", "mapping": {"n_nationkey": "R RegionKey", "n_name": "R_Name"}}, {"op": "append", "file": "r"}], "SELECT n_nationkey AS \"R RegionKey\", n_name AS \"R_Name\", n_regionkey FROM nation UNION ALL SELECT r_regionkey, r_name, NULL FROM region", {"r": "region"})
 _CMP = lambda keep: [{"op": "compare", "file": "o", "left_on": "c_custkey", "right_on": "o_custkey", "keep": keep}]
 add("compare_both", "customer", [*_CMP("both"), select("c_custkey")], "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)", {"o": "orders"})
 add("compare_only_here", "customer", [*_CMP("only_here"), select("c_custkey")], "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)", {"o": "orders"})
-add("compare_only_there", "customer", [where("c_custkey", "lte", 500), *_CMP("only_there"), select("o_orderkey")], "SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey <= 500)", {"o": "orders"})
+add("compare_only_there", "customer", [where("c_mktsegment", "equals", "BUILDING"), *_CMP("only_there"), select("o_orderkey")], "SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')", {"o": "orders"})
 add("compare_only_there_all", "customer", [where("c_acctbal", "gt", 0), *_CMP("only_there"), select("o_orderkey")], "SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)", {"o": "orders"})
+add("compare_blank_keys", "customer", [{"op": "compare", "file": "r", "left_on": "segment", "right_on": "r_name", "keep": "only_here"}, CUST], f"SELECT {C} FROM {DIRTY_SQL}", {"r": "region"}, before=DIRTY)
+add("compare_blank_keys_both", "customer", [{"op": "compare", "file": "n", "left_on": "key", "right_on": "n_nationkey", "keep": "both"}, select("c_custkey")], "SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0", {"n": "nation"}, before=lambda df: df.withColumn("key", F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit(" "), F.col("c_nationkey").cast("string"), F.lit(".0"))).when(F.col("c_custkey") % 3 == 1, " ")))
+add("append_big", "customer", [select("big"), {"op": "append", "file": "o"}, select("big")], f"SELECT big FROM {ODD_SQL} UNION ALL SELECT NULL FROM nation", {"o": "nation"}, before=ODD)
 add("compare_rows", "supplier", [select("s_nationkey"), {"op": "rename", "mapping": {"s_nationkey": "n_nationkey"}}, {"op": "compare", "file": "n", "keep": "both"}], "SELECT s_nationkey AS n_nationkey FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation)", {"n": "nation"})
 
 
 # --- spreadsheet formulas
-def add_formula(name: str, source: str, text: str, sql: str, digits: int = 4) -> None:
+def add_formula(name: str, source: str, text: str, sql: str, digits: int = 4, before: Callable | None = None, rows: str = "") -> None:
     keys = KEYS[source]
-    add(f"formula_{name}", source, [{"op": "formula", "name": "v", "formula": text}, select(*keys, "v")], f"SELECT {', '.join(keys)}, {sql} AS v FROM {source}", digits=digits)
+    add(f"formula_{name}", source, [{"op": "formula", "name": "v", "formula": text}, select(*keys, "v")], f"SELECT {', '.join(keys)}, {sql} AS v FROM {rows or source}", digits=digits, before=before)
 
 
 add_formula("if", "lineitem", "=IF([l_quantity]>25,\"big\",\"small\")", "CASE WHEN l_quantity > 25 THEN 'big' ELSE 'small' END")
@@ -205,6 +231,32 @@ add_formula("sumifs", "lineitem", "=SUMIFS([l_quantity],[l_returnflag],\"R\",[l_
 add_formula("averageif", "part", "=AVERAGEIF([p_brand],[p_brand],[p_retailprice])", "round(avg(p_retailprice) OVER (PARTITION BY p_brand), 3)", digits=3)
 
 
+_FILLED = "CASE WHEN trim(segment) <> '' THEN segment END"
+for _name, _text, _sql in [
+    ("ifna", '=IFNA(SWITCH([c_mktsegment],"BUILDING",1),0)', "CASE WHEN c_mktsegment = 'BUILDING' THEN 1.0 ELSE 0.0 END::DOUBLE"), ("not", "=NOT([c_acctbal]>0)", "NOT c_acctbal > 0"),
+    ("xor", "=XOR([c_acctbal]>0,[c_nationkey]>10,[c_custkey]>100)", "((c_acctbal > 0)::INT + (c_nationkey > 10)::INT + (c_custkey > 100)::INT) % 2 = 1"),
+    ("isblank", "=ISBLANK([segment])", f"{_FILLED} IS NULL"), ("istext", "=ISTEXT([segment])", f"{_FILLED} IS NOT NULL"), ("isnumber", "=ISNUMBER([c_acctbal]/[c_nationkey])", "c_nationkey <> 0"),
+    ("iserror", "=ISERROR(1/[c_nationkey])", "c_nationkey = 0"), ("isna", "=ISNA(IFS([c_nationkey]>5,1))", "c_nationkey <= 5"),
+    ("abs", "=ABS([c_acctbal])", "round(abs(c_acctbal), 4)"), ("int", "=INT([c_acctbal])", "floor(c_acctbal)"), ("sign", "=SIGN([c_acctbal])", "sign(c_acctbal)::DOUBLE"), ("sqrt", "=IFERROR(SQRT([c_acctbal]),-1)", "CASE WHEN c_acctbal < 0 THEN -1 ELSE round(sqrt(abs(c_acctbal)), 4) END"),
+    ("power", "=POWER([c_nationkey],2)+[c_nationkey]^0.5", "round(c_nationkey ** 2 + sqrt(c_nationkey), 4)"), ("ceiling", "=CEILING([c_acctbal],5)", "ceil(c_acctbal / 5) * 5"), ("floor", "=FLOOR([c_acctbal],5)", "floor(c_acctbal / 5) * 5"), ("trunc", "=TRUNC([c_acctbal],1)", "trunc(round(c_acctbal * 10, 6)) / 10"),
+    ("mid", "=MID([c_name],3,5)", "substr(c_name, 3, 5)"), ("lower", "=LOWER([c_mktsegment])", "lower(c_mktsegment)"), ("proper", "=PROPER([c_mktsegment])", "left(c_mktsegment, 1) || lower(substr(c_mktsegment, 2))"), ("trim", "=TRIM([segment])", f"coalesce(trim(regexp_replace({_FILLED}, '\\s+', ' ', 'g')), '')"),
+    ("clean", "=CLEAN([control])", "c_name || 'x'"), ("concat", '=CONCAT([c_name],"-",[c_nationkey])', "c_name || '-' || c_nationkey"), ("concatenate", '=CONCATENATE([segment],"/",[c_nationkey])', f"coalesce({_FILLED}, '') || '/' || c_nationkey"), ("textjoin", '=TEXTJOIN("/",TRUE,[segment],[c_name],"")', f"concat_ws('/', {_FILLED}, c_name)"),
+    ("replace", '=REPLACE([c_name],1,3,"X")', "'X' || substr(c_name, 4)"), ("search", '=IFERROR(SEARCH("b",[c_mktsegment]),0)', "instr(lower(c_mktsegment), 'b')::DOUBLE"), ("exact", '=EXACT([c_mktsegment],"BUILDING")', "c_mktsegment = 'BUILDING'"), ("rept", '=REPT("ab",[c_nationkey])', "repeat('ab', c_nationkey)"), ("value", "=VALUE([money])", "round(abs(c_acctbal), 2)"),
+    ("average", "=ROUND([c_acctbal]-AVERAGE([c_acctbal]),2)", "floor(abs(c_acctbal - (SELECT avg(c_acctbal) FROM customer)) * 100 + 0.5) / 100 * sign(c_acctbal - (SELECT avg(c_acctbal) FROM customer))"), ("max_min", "=MAX([c_acctbal])-MIN([c_acctbal])", "(SELECT round(max(c_acctbal) - min(c_acctbal), 4) FROM customer)"),
+    ("counts", "=COUNT([c_acctbal])*1000+COUNTA([segment])", f"(SELECT count(c_acctbal) * 1000.0 + count({_FILLED}) FROM {DIRTY_SQL})::DOUBLE"), ("averageif_text", '=AVERAGEIF([c_mktsegment],"m*",[c_acctbal])', "(SELECT round(avg(c_acctbal), 4) FROM customer WHERE c_mktsegment LIKE 'M%')"),
+]:
+    add_formula(_name, "customer", _text, _sql, before=lambda df: DIRTY(df).withColumn("control", F.concat(F.col("c_name"), F.lit("\t"), F.lit("x\x07"))), rows=DIRTY_SQL)
+_DAY = "o_orderdate::DATE"
+_SAME = f"(make_date(1998, month({_DAY}), 1) + day({_DAY})::INT - 1)"
+for _name, _text, _sql in [
+    ("today", "=TODAY()-[o_orderdate]", f"(DATE '{TODAY}' - {_DAY})::DOUBLE"), ("now", "=YEAR(NOW())*100+MONTH(NOW())", "199808.0::DOUBLE"), ("year_month_day", "=YEAR([o_orderdate])*10000+MONTH([o_orderdate])*100+DAY([o_orderdate])", "strftime(o_orderdate, '%Y%m%d')::DOUBLE"),
+    ("weekday", "=WEEKDAY([o_orderdate])*100+WEEKDAY([o_orderdate],2)*10+WEEKDAY([o_orderdate],3)", f"((dayofweek({_DAY}) + 1) * 100 + isodow({_DAY}) * 10 + isodow({_DAY}) - 1)::DOUBLE"), ("edate", "=EDATE([o_orderdate],1)", f"strftime({_DAY} + INTERVAL 1 MONTH, '%Y-%m-%d')"),
+    ("days", "=DAYS(DATE(1998,8,2),[o_orderdate])", f"(DATE '{TODAY}' - {_DAY})::DOUBLE"), ("datedif_yd", '=DATEDIF([o_orderdate],DATE(1998,8,2),"YD")', f"CASE WHEN {_DAY} <= DATE '{TODAY}' THEN (DATE '{TODAY}' - CASE WHEN {_SAME} <= DATE '{TODAY}' THEN {_SAME} ELSE make_date(1997, month({_DAY}), 1) + day({_DAY})::INT - 1 END)::DOUBLE END"),
+    ("datedif_md", '=DATEDIF([o_orderdate],DATE(1998,3,2),"MD")', f"CASE WHEN {_DAY} <= DATE '1998-03-02' THEN (2 - day({_DAY}) + CASE WHEN day({_DAY}) > 2 THEN 28 ELSE 0 END)::DOUBLE END"), ("datedif_ym", '=DATEDIF([o_orderdate],DATE(1998,8,2),"YM")', f"CASE WHEN {_DAY} <= DATE '{TODAY}' THEN (({_M}) % 12)::DOUBLE END"),
+]:
+    add_formula(_name, "orders", _text, _sql)
+
+
 # --- sql, profile, formats
 def add_sql(name: str, sql: str, names: list[str]) -> None:
     CATALOGUE[name] = (lambda spark, sf_dir: run_sql(spark, sql, {n: table(spark, sf_dir, n) for n in names}), sql)

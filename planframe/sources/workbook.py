@@ -144,7 +144,21 @@ _MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 _DOC = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 _PACK = "http://schemas.openxmlformats.org/package/2006"
 _SHEET_TYPE = "application/vnd.openxmlformats-officedocument.spreadsheetml"
-FORMATS = {"date": "dd/mm/yyyy", "rupees": "[>=10000000]##\\,##\\,##\\,##0;[>=100000]##\\,##\\,##0;##,##0", "commas": "#,##0", "percent": '0.00"%"', "decimals": "0.00"}
+FORMATS = {"rupees": '[>=10000000]"₹"##\\,##\\,##\\,##0.00;[>=100000]"₹"##\\,##\\,##0.00;"₹"#,##0.00', "commas": "#,##0.00", "percent": '0.00"%"'}
+DATE_FORMAT = "dd/mm/yyyy"
+
+
+def format_code(given: dict) -> str | None:
+    """The number format of a column: its style with its decimals or date pattern."""
+    style = given.get("style")
+    if style == "date":
+        return given.get("date_pattern") or DATE_FORMAT
+    if style == "decimals":
+        places = 2 if given.get("decimals") is None else int(given["decimals"])
+        return "#,##0" + ("." + "0" * places if places else "")
+    return FORMATS.get(style)
+
+
 
 #: Fills of highlights.
 COLORS = {
@@ -190,7 +204,8 @@ def write_workbook(sheets: Sheet | dict[str, Sheet], path: str, name: str = "She
         planned += [(title, sheet, [row[m] for m in sheet.split]) for row in sizes or [None] if row or not sheet.split]
     if len(planned) > 256:
         raise PlanError("a workbook holds 256 sheets at most: write delimited text instead")
-    styles, fills = list(FORMATS), list(dict.fromkeys(f["highlight"] for s in sheets.values() for f in s.formats.values() if "highlight" in f))
+    styles = [DATE_FORMAT, *dict.fromkeys(code for s in sheets.values() for f in s.formats.values() if (code := format_code(f)) and code != DATE_FORMAT)]
+    fills = list(dict.fromkeys(f["highlight"] for s in sheets.values() for f in s.formats.values() if "highlight" in f))
     if unknown := [c for c in fills if c not in COLORS]:
         raise PlanError(f"there is no colour {unknown[0]!r}; the colours are {', '.join(COLORS)}")
     each = 2 + len(styles)  # styles without a fill, then as many for each fill
@@ -202,7 +217,7 @@ def write_workbook(sheets: Sheet | dict[str, Sheet], path: str, name: str = "She
                 part = part.filter(F.col(m) == F.lit(v))
             names.append(safe_name("-".join(map(str, values)) or title, taken))
             columns, marks = sheet.columns, [(m, f) for m, f in sheet.formats.items() if "highlight" in f]
-            of_column = [2 + styles.index(style) if (style := sheet.formats.get(c, {}).get("style")) in FORMATS else 0 for c in columns]
+            of_column = [2 + styles.index(code) if (code := format_code(sheet.formats.get(c, {}))) else 0 for c in columns]
             marked = [(len(columns) + k, (fills.index(f["highlight"]) + 1) * each, [i for i, c in enumerate(columns) if f.get("column") in (None, c)]) for k, (m, f) in enumerate(marks)]
             shown = part.orderBy(*sheet.by_order()) if sheet.order else part
             shown = shown.select(*[V.col(c) for c in columns], *[F.col(m) for m, _ in marks])
@@ -217,7 +232,7 @@ def write_workbook(sheets: Sheet | dict[str, Sheet], path: str, name: str = "She
                 f.write("</sheetData></worksheet>")
         book.writestr("xl/workbook.xml", f'{_HEAD}<workbook xmlns="{_MAIN}" xmlns:r="{_DOC}"><sheets>' + "".join(f'<sheet name={quoteattr(n)} sheetId="{i}" r:id="rId{i}"/>' for i, n in enumerate(names, 1)) + "</sheets></workbook>")
         book.writestr("xl/_rels/workbook.xml.rels", f'{_HEAD}<Relationships xmlns="{_PACK}/relationships">' + "".join(f'<Relationship Id="rId{i}" Type="{_DOC}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(names) + 1)) + f'<Relationship Id="rId{len(names) + 1}" Type="{_DOC}/styles" Target="styles.xml"/></Relationships>')
-        numbers = "".join(f'<numFmt numFmtId="{170 + i}" formatCode={quoteattr(FORMATS[s])}/>' for i, s in enumerate(styles))
+        numbers = "".join(f'<numFmt numFmtId="{170 + i}" formatCode={quoteattr(s)}/>' for i, s in enumerate(styles))
         # fills 0 and 1 are kept by the format for itself
         colours = '<fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill>' + "".join(f'<fill><patternFill patternType="solid"><fgColor rgb="FF{COLORS[c]}"/></patternFill></fill>' for c in fills)
         cells = ""
