@@ -53,11 +53,21 @@ def compute(sheet: Sheet, step: dict, ctx) -> Sheet:
     return sheet.with_df(sheet.df.withColumn(step["name"], arithmetic(sheet.df, step["expr"], ctx.today)))
 
 
+def error_note(df, cell, name: str):
+    """Counts the errors of a formula by their kinds."""
+
+    def count() -> str:
+        found = df.select(cell.error.alias("e")).filter("e is not null").groupBy("e").count().orderBy("e").collect()
+        return f"{name}: " + ", ".join(f"{r['count']:,} x {r['e']}" for r in found) if found else ""
+
+    return count
+
+
 def add_formula(sheet: Sheet, step: dict, ctx) -> Sheet:
     if step["name"] in sheet.columns and not step.get("replace"):
         raise PlanError(f"there is a column {step['name']!r} already")
     df, cell = formula(sheet.df, step["formula"], ctx.today)
-    return sheet.with_df(df.withColumn(step["name"], cell.value).drop(*[c for c in df.columns if c.startswith("__agg")]))
+    return sheet.noting(error_note(df, cell, step["name"])).with_df(df.withColumn(step["name"], cell.value).drop(*[c for c in df.columns if c.startswith("__agg")]))
 
 
 PARTS = {

@@ -48,7 +48,17 @@ def lookup(sheet: Sheet, step: dict, ctx) -> Sheet:
     first = other.df.withColumn("__rk", key).filter("__rk is not null").groupBy("__rk").agg(F.min_by(F.struct(*[V.col(c).alias(f"c{i}") for i, c in enumerate(wanted)]), place).alias("__row"))
     table = first.select("__rk", *[F.col(f"__row.c{i}").alias(n) for i, n in enumerate(names.values())])
     joined = sheet.df.withColumn("__lk", V.match_key(V.col(left), sheet.kind(left))).join(_bounded(table, other.df, [right, *wanted]), F.col("__lk") == F.col("__rk"), "left")
-    return sheet.with_df(joined.drop("__lk", "__rk"))
+    name, keys = step["file"], other.df.select(key.alias("k"))
+
+    def matches() -> str:
+        all_rows, found = joined.agg(F.count(F.lit(1)), F.count("__rk")).first()
+        return f"{found:,} of {all_rows:,} rows found a match in {name}" + (f"; {all_rows - found:,} had none" if found < all_rows else "")
+
+    def repeats() -> str:
+        n = keys.filter("k is not null").groupBy("k").count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0))).first()[0]
+        return f"{name} repeats {n:,} keys of {right}; the first row counts" if n else ""
+
+    return sheet.with_df(joined.drop("__lk", "__rk")).noting(repeats, matches)
 
 
 def _common(a: Sheet, x: str, b: Sheet, y: str) -> T.DataType:
@@ -83,7 +93,10 @@ def append(sheet: Sheet, step: dict, ctx) -> Sheet:
     a, b = side(sheet, {c: c for c in sheet.columns}, 0), side(other, theirs, 1)
     df = a.unionByName(b, allowMissingColumns=True)
     order = [("__src", True), *[(f"__0_{i}", up) for i, (_, up) in enumerate(sheet.order)], *[(f"__1_{i}", up) for i, (_, up) in enumerate(other.order)]]
-    return sheet.with_df(df, order=order)
+    name, new = step["file"], [n for n in theirs if n not in sheet.columns]
+    lost = [n for n in sheet.columns if n not in theirs]
+    told = [f"only {name} has: {', '.join(new)}"] * bool(new) + [f"{name} lacks: {', '.join(lost)}"] * bool(lost)
+    return sheet.with_df(df, order=order).noting(*told, lambda: f"{other.df.count():,} rows of {name} added")
 
 
 def compare(sheet: Sheet, step: dict, ctx) -> Sheet:
@@ -110,4 +123,7 @@ def compare(sheet: Sheet, step: dict, ctx) -> Sheet:
     for i in range(len(own)):
         on = (F.col(f"__m{i}") == F.col(f"__f{i}")) & on if i else F.col("__m0") == F.col("__f0")
     out = base.join(_bounded(keys, far, used), on, "left_semi" if keep == "both" else "left_anti")
-    return here.with_df(out.drop(*[f"__m{i}" for i in range(len(own))]), notes=sheet.notes)
+    made, name = out.drop(*[f"__m{i}" for i in range(len(own))]), step["file"]
+    blank = lambda: f"{n:,} rows have a blank {left} and match nothing" if left and (n := sheet.df.filter(mine[0].isNull()).count()) else ""
+    where_ = {"both": f"also in {name}", "only_here": f"not in {name}", "only_there": "not in this data"}[keep]
+    return here.with_df(made, notes=sheet.notes).noting(blank, lambda: f"{made.count():,} rows of {name if keep == 'only_there' else 'this data'} are {where_}")

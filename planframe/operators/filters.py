@@ -130,7 +130,9 @@ def filter_formula(sheet: Sheet, step: dict, ctx) -> Sheet:
     df, cell = formula(sheet.df, step["formula"], ctx.today)
     truth = {"bool": lambda: cell.value, "num": lambda: cell.value != 0}.get(cell.kind, lambda: F.lower(cell.value) == "true")()
     keep = truth & cell.error.isNull()
-    return sheet.with_df(df.filter(keep if step.get("keep", True) else ~F.coalesce(keep, F.lit(False))).drop(*[c for c in df.columns if c.startswith("__agg")]))
+    from .columns import error_note
+
+    return sheet.noting(error_note(df, cell, "filter")).with_df(df.filter(keep if step.get("keep", True) else ~F.coalesce(keep, F.lit(False))).drop(*[c for c in df.columns if c.startswith("__agg")]))
 
 
 def label(sheet: Sheet, step: dict, ctx) -> Sheet:

@@ -21,7 +21,7 @@ def highlight(sheet: Sheet, step: dict, ctx) -> Sheet:
         df = df.withColumn(mark, F.coalesce(mark, F.lit(False)))
     else:
         df = sheet.df.withColumn(mark, all_of(sheet, step["when"], ctx.today))
-    return sheet.with_df(df, formats=sheet.formats | {mark: {"highlight": step.get("color", "yellow"), "column": step.get("column")}})
+    return sheet.noting(lambda: f"{df.filter(mark).count():,} rows highlighted").with_df(df, formats=sheet.formats | {mark: {"highlight": step.get("color", "yellow"), "column": step.get("column")}})
 
 
 def number_format(sheet: Sheet, step: dict, ctx) -> Sheet:

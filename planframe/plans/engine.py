@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -54,11 +55,67 @@ def read_plan(plan: str | list) -> list[dict]:
     return steps
 
 
+def check_columns(columns: list[str], steps: list[dict], files: dict[str, list[str]]) -> None:
+    """Follows the columns through all steps and refuses a missing one before anything runs.
+
+    After a pivot the headings depend on the data: from there on nothing is checked.
+    """
+    have = list(columns)
+
+    def need(where: list[str], *names) -> None:
+        for n in names:
+            if n and n not in where:
+                raise PlanError(f"step {step['op']!r}: there is no column {n!r}; the columns are {', '.join(where)}")
+
+    listed = lambda x: [x] if isinstance(x, str) else list(x or [])
+    for step in steps:
+        op, names = step["op"], listed(step.get("columns"))
+        conditions = [c["column"] for w in [step, step.get("when") or {}, *[c["when"] for c in step.get("cases") or []]] for c in w.get("conditions") or []]
+        if op == "lookup" or op == "append" or op == "compare":
+            if step["file"] not in files:
+                raise PlanError(f"there is no table {step['file']!r}; there are {', '.join(files) or 'none'}")
+            there = files[step["file"]]
+        if op == "lookup":
+            need(have, step["left_on"])
+            need(there, step["right_on"], *names)
+            have += [c if c not in have else f"{c} ({step['file']})" for c in names or [c for c in there if c != step["right_on"]]]
+        elif op == "append":
+            known = {re.sub(r"[^a-z0-9]", "", c.lower()) for c in have}
+            have += [c for c in there if re.sub(r"[^a-z0-9]", "", c.lower()) not in known]
+        elif op == "compare":
+            if step.get("left_on"):
+                need(have, step["left_on"])
+                need(there, step.get("right_on") or step["left_on"])
+            have = list(there) if step["keep"] == "only_there" else have
+        elif op == "pivot":
+            need(have, *listed(step["rows"]), *names, step.get("values"))
+            return
+        else:
+            need(have, *names, *conditions, *step.get("mapping", {}), step.get("column"), step.get("duplicates_in"), *listed(step.get("per")), *[a["column"] for a in step.get("aggregations") or []])
+            if op == "select_columns":
+                have = names
+            elif op == "drop_columns":
+                have = [c for c in have if c not in names]
+            elif op == "rename":
+                have = [step["mapping"].get(c, c) for c in have]
+            elif op == "group_by":
+                have = names + [f"{a['func']}_{a['column']}" for a in step.get("aggregations") or []] + list(step.get("calculated") or {})
+            elif op == "rate":
+                have = names + ["rows", "matching rows", "% matching"]
+            elif op == "split_column":
+                have += [n for n in step["names"] if n not in have]
+            elif op in ("compute", "formula", "label", "merge_columns", "date_part", "calculate"):
+                new = step.get("name") or (f"{step['column']}_{step['part']}" if op == "date_part" else f"{step['kind']}_{step['column']}")
+                have += [new] if new not in have else []
+
+
 def run_plan(sheet: Sheet | DataFrame, plan: str | list, files: dict | None = None, today: str | None = None) -> Sheet:
     """The sheet after all steps; lazy but for checks (conversions, widths, sizes of lookup tables)."""
     sheet = sheet if isinstance(sheet, Sheet) else sheet_of(sheet)
     ctx = Context(files or {}, F.lit(today).cast("date") if today else F.current_date())
-    for step in read_plan(plan):
+    steps = read_plan(plan)
+    check_columns(sheet.columns, steps, {n: list(f.columns) for n, f in ctx.files.items()})
+    for step in steps:
         sheet = OPS[step["op"]](sheet, step, ctx)
     return sheet
 

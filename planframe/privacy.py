@@ -9,12 +9,14 @@ from .functions import values as V
 
 #: What counts as personal data, and how it is called.
 PATTERNS = {
-    "a PAN number": r"\b[A-Z]{5}[0-9]{4}[A-Z]\b",
-    "an Aadhaar number": r"\b[0-9]{4}[\s-]?[0-9]{4}[\s-]?[0-9]{4}\b",
-    "a phone number": r"(\+?91[\s-]?)?\b[6-9][0-9]{9}\b",
+    "a PAN number": r"\b[A-Z]{5}\d{4}[A-Z]\b",
+    "an Aadhaar number": r"\b\d{4}[\s-]?\d{4}[\s-]?\d{4}\b",
+    "a phone number": r"(?:\+?91[\s-]?)?\b[6-9]\d{9}\b",
     "an e-mail address": r"\b[\w.+-]+@[\w-]+\.[\w.-]+\b",
-    "a card or account number": r"\b[0-9]{11,19}\b",
+    "a card or account number": r"\b\d{11,19}\b",
 }
+#: Characters of a secret value and of a secret word at least, and the least secret whole number.
+VALUE_CHARACTERS, WORD_CHARACTERS, LEAST_NUMBER = 3, 4, 1000
 
 
 def personal_data(text: Column) -> Column:
@@ -36,10 +38,10 @@ def secrets(df: DataFrame, columns: list[str], allowed: list[str] | None = None)
     for c in columns:
         x = V.col(c)
         if V.kind_of(df, c) == "number":
-            parts.append(F.when((x == F.floor(x)) & (F.abs(x) >= 1000), F.array(V.text_of(x, "number"))))
+            parts.append(F.when((x == F.floor(x)) & (F.abs(x) >= LEAST_NUMBER), F.array(V.text_of(x, "number"))))
         else:
             low = F.lower(V.strip(V.text_of(x, V.kind_of(df, c))))
-            parts.append(F.when(F.length(low) >= 3, F.concat(F.array(low), F.filter(tokens(low), lambda t: F.length(t) >= 4))))
+            parts.append(F.when(F.length(low) >= VALUE_CHARACTERS, F.concat(F.array(low), F.filter(tokens(low), lambda t: F.length(t) >= WORD_CHARACTERS))))
     held = df.select(F.explode(F.array_distinct(F.flatten(F.array_compact(F.array(*parts))))).alias("secret")).distinct()
     names = df.sparkSession.createDataFrame([(c.lower(),) for c in [*df.columns, *(allowed or [])]], "name string")
     shown = names.select(F.explode(F.concat(F.array("name"), tokens(F.col("name")))).alias("secret"))

@@ -22,6 +22,7 @@ class Sheet:
     """``df`` with hidden columns (names begin with two underscores); ``order``: hidden columns and directions.
 
     ``split`` names the columns that divide it into sheets; ``formats`` and ``notes`` never change data.
+    A note is a text, or a function that counts and gives one when ``told`` asks.
     """
 
     df: DataFrame
@@ -30,7 +31,7 @@ class Sheet:
     formats: dict[str, dict] = field(default_factory=dict)
     orders: dict[str, list] = field(default_factory=dict)
     charts: list = field(default_factory=list)
-    notes: list[str] = field(default_factory=list)
+    notes: list = field(default_factory=list)
 
     @property
     def columns(self) -> list[str]:
@@ -43,6 +44,13 @@ class Sheet:
     def with_df(self, df: DataFrame, **changes) -> Sheet:
         return replace(self, df=df, **changes)
 
+    def noting(self, *notes) -> Sheet:
+        return replace(self, notes=[*self.notes, *notes])
+
+    def told(self) -> list[str]:
+        """What the steps found; runs the counts that this takes."""
+        return [text for n in self.notes if (text := n() if callable(n) else n)]
+
     def kind(self, name: str) -> str:
         return V.kind_of(self.df, name)
 
@@ -82,6 +90,11 @@ def sheet_of(df: DataFrame, order: list[str] | None = None) -> Sheet:
     return Sheet(placed, [("__o0", True), ("__o1", True)])
 
 
+def main_sheet(sheets: dict[str, Sheet]) -> str:
+    """The sheet that plans work on: that with the most rows, of equal ones the first."""
+    return max(sheets, key=lambda n: sheets[n].df.count())
+
+
 def safe_name(name: str, taken: set[str]) -> str:
     """A sheet name without []:*?/\\, of at most 31 characters, unique ignoring case."""
     base = re.sub(r"[\[\]:*?/\\]", " ", name).strip()[:31] or "Sheet"

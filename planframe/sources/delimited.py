@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..sheet import HIDDEN, Sheet
+from ..sqlgate import MOST_ROWS, run_sql
 
 #: Delimiters that are tried.
 DELIMITERS = ",;\t|"
@@ -37,14 +38,14 @@ def typed(df: DataFrame) -> DataFrame:
         return df
     marks = []
     for i, c in enumerate(names):
-        x = F.when(~V.is_blank(V.col(c)), F.trim(V.col(c)))
+        x = F.when(~V.is_blank(V.col(c)), V.strip(V.col(c)))
         marks += [F.bool_and(x.rlike(PLAIN) & (F.length(x) <= LONGEST)).alias(f"n{i}"), F.bool_or(x.contains(".")).alias(f"f{i}")]
     seen = df.agg(*marks).first()
     out = []
     for i, c in enumerate(names):
         x = F.nullif(V.col(c), F.lit(""))
         if seen[f"n{i}"]:
-            x = F.trim(x).try_cast("double" if seen[f"f{i}"] else "bigint")
+            x = V.strip(x).try_cast("double" if seen[f"f{i}"] else "bigint")
         out.append(x.alias(c))
     return df.select(*out, *[c for c in df.columns if c.startswith(HIDDEN)])
 
@@ -60,7 +61,7 @@ def read_delimited(spark: SparkSession, path: str, columns: list[str] | None = N
 
     An empty file: no columns, no rows. Short rows: NULL. Only ``columns`` are parsed where given.
     """
-    first = spark.read.text(path).filter(F.length(F.trim("value")) > 0).first()
+    first = spark.read.text(path).filter(F.length(V.strip(F.col("value"))) > 0).first()
     if first is None:
         return Sheet(spark.range(0).select(F.lit("").alias("__o0"), F.lit(0).alias("__o1"), F.lit(0).alias("__o2")), [("__o0", True), ("__o1", True), ("__o2", True)])
     line = first[0].lstrip("﻿")
@@ -73,6 +74,25 @@ def read_delimited(spark: SparkSession, path: str, columns: list[str] | None = N
     return Sheet(typed(rows), [("__o0", True), ("__o1", True), ("__o2", True)])
 
 
+def head_of(spark: SparkSession, path: str, lines: int = 200) -> dict:
+    """Headers, delimiter and about how many rows: the bytes of the files over the mean length of the first ``lines`` lines. Only the first lines are read."""
+    some = [r[0] for r in spark.read.text(path).filter(F.length(V.strip(F.col("value"))) > 0).limit(lines + 1).collect()]
+    if not some:
+        return {"headers": [], "delimiter": ",", "rows": 0}
+    line = some[0].lstrip("\ufeff")
+    delimiter = sniff(line)
+    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0]
+    mean = sum(len(x.encode()) + 1 for x in some[1:]) / max(1, len(some) - 1)
+    rows = len(some) - 1 if len(some) <= lines else max(0, round((size - len(line.encode()) - 1) / mean))
+    return {"headers": clean_header(next(csv.reader([line], delimiter=delimiter))), "delimiter": delimiter, "rows": rows}
+
+
+def run_sql_on_files(spark: SparkSession, sql: str, paths: dict[str, str], most: int | None = MOST_ROWS) -> DataFrame:
+    """One checked SELECT over delimited and Parquet files by name; nothing is loaded beforehand."""
+    tables = {n: spark.read.parquet(p) if p.rstrip("/").endswith(".parquet") else read_delimited(spark, p).output(ordered=False) for n, p in paths.items()}
+    return run_sql(spark, sql, tables, most)
+
+
 def write_delimited(sheet: Sheet, path: str, delimiter: str = ",") -> None:
     """Part files in row order; a sheet that is split gets a folder for each value."""
     out = sheet.df.repartitionByRange(*[F.col(s) for s in sheet.split], *sheet.by_order()) if sheet.split or sheet.order else sheet.df

@@ -204,7 +204,8 @@ def write_workbook(sheets: Sheet | dict[str, Sheet], path: str, name: str = "She
         planned += [(title, sheet, [row[m] for m in sheet.split]) for row in sizes or [None] if row or not sheet.split]
     if len(planned) > 256:
         raise PlanError("a workbook holds 256 sheets at most: write delimited text instead")
-    styles = [DATE_FORMAT, *dict.fromkeys(code for s in sheets.values() for f in s.formats.values() if (code := format_code(f)) and code != DATE_FORMAT)]
+    used = [code for s in sheets.values() for f in s.formats.values() if (code := format_code(f))]
+    styles = list(dict.fromkeys([DATE_FORMAT, *FORMATS.values(), "#,##0", *used]))
     fills = list(dict.fromkeys(f["highlight"] for s in sheets.values() for f in s.formats.values() if "highlight" in f))
     if unknown := [c for c in fills if c not in COLORS]:
         raise PlanError(f"there is no colour {unknown[0]!r}; the colours are {', '.join(COLORS)}")

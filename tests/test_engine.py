@@ -1,6 +1,7 @@
 """Plans on small dirty tables, and refusals."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from planframe import profile
 from planframe.plans.engine import Session, run_plan
@@ -96,3 +97,39 @@ def test_shares_and_comparisons_over_whole_tables(spark):
     assert abs(sum(r["v"] for r in shares) - 100 * len({r["o_orderpriority"] for r in shares})) < 0.1
     rich = spark.read.parquet(f"{data}/customer.parquet").filter("c_acctbal > 0")
     assert made["compare_only_there_all"](spark, data).count() == orders.join(rich, orders.o_custkey == rich.c_custkey, "left_anti").count() > 0
+
+
+def test_notes_tell_what_steps_found(spark, rows):
+    there = sheet_of(spark.createDataFrame([(1, "a", "u"), (2, "a", "v"), (3, "zz", "w")], "n int, key string, extra string"), ["n"])
+    here = sheet_of(spark.createDataFrame([(1, "A "), (2, None), (3, "b")], "i int, key string"), ["i"])
+    out = run_plan(here, [{"op": "lookup", "file": "t", "left_on": "key", "right_on": "key", "columns": ["extra"]}, {"op": "formula", "name": "f", "formula": "=1/([i]-1)"}, {"op": "highlight", "when": {"conditions": [{"column": "i", "operator": "gt", "value": 1}]}}], {"t": there})
+    assert out.told() == ["t repeats 1 keys of key; the first row counts", "1 of 3 rows found a match in t; 2 had none", "f: 1 x #DIV/0!", "2 rows highlighted"]
+    assert run_plan(here, [{"op": "append", "file": "t"}], {"t": there}).told() == ["only t has: n, extra", "t lacks: i", "3 rows of t added"]
+    assert run_plan(here, [{"op": "compare", "file": "t", "left_on": "key", "right_on": "key", "keep": "only_here"}], {"t": there}).told() == ["1 rows have a blank key and match nothing", "2 rows of this data are not in t"]
+
+
+def test_missing_columns_are_refused_before_anything_runs(spark, rows):
+    steps = [{"op": "convert", "columns": ["name"], "to": "number"}, {"op": "rename", "mapping": {"x": "y"}}, {"op": "sort", "columns": ["x"]}]
+    with pytest.raises(ValueError, match="'sort'.*'x'"):  # the conversion, which would fail first, has not run
+        run_plan(rows, steps)
+    with pytest.raises(ValueError, match="no table 'f'"):
+        run_plan(rows, [{"op": "convert", "columns": ["name"], "to": "number"}, {"op": "append", "file": "f"}])
+
+
+def test_descriptions_and_what_may_be_shared(spark):
+    df = spark.createDataFrame([(i, f"p{i}", "x" if i % 3 else " y ", i % 2, float(i), None if i % 4 else "d", f"2024-01-{i % 28 + 1:02d}") for i in range(100)], "order_id int, phone string, state string, active int, amt double, note string, day string").withColumn("day", F.col("day").cast("date"))
+    got = {c["name"]: c for c in profile.describe_columns(df)}
+    assert [got[c]["role"] for c in ("order_id", "phone", "state", "active", "amt", "note", "day")] == ["id", "text", "category", "flag", "amount", "category", "date"]
+    assert got["order_id"]["withheld"] == "an identifier" and got["phone"]["withheld"] == "looks like personal data" and "low" not in got["order_id"]
+    assert got["state"]["values"] == [("x", 0.66), ("y", 0.34)] and got["active"]["values"] == [("0", 0.5), ("1", 0.5)] and (got["amt"]["low"], got["amt"]["high"], got["amt"]["mean"]) == (0, 99, 49.5)
+    assert got["note"]["blank"] == 0.75 and str(got["day"]["low"]) == "2024-01-01" and "values" not in got["amt"]
+    assert profile.not_shared(df) == "it has more than 60 rows" and "phone" in profile.not_shared(df.limit(5).select("phone", "amt")) and profile.not_shared(df.groupBy("state").sum("amt")) is None
+
+
+def test_findings_come_with_the_step_that_mends_them(spark):
+    df = spark.createDataFrame([("2024-01-05", "Rs. 1,000", "New  York", 1), ("5/1/2024", "20", "new york", 2), ("6/1/2024", "30", "Pune", None), ("6/1/2024", "30", "Pune", None), (None, None, " ", None)], "d string, amt string, city string, n int")
+    got = {(r["finding"], r["name"]): r for r in profile.mends(df)}
+    assert {("mixed dates", "d"), ("dates as text", "d"), ("amounts as text", "amt"), ("spellings apart", "city"), ("stray spaces", "city"), ("empty rows", None), ("repeated rows", None), ("blanks", "n")} <= set(got)
+    plan = "[" + ",".join(got[k]["step"] for k in [("empty rows", None), ("repeated rows", None), ("stray spaces", "city"), ("spellings apart", "city"), ("amounts as text", "amt"), ("mixed dates", "d"), ("blanks", "n")]) + "]"
+    out = run_plan(sheet_of(df, ["d"]), plan).output(ordered=False)
+    assert sorted(tuple(map(str, r)) for r in out.collect()) == [("2024-01-05", "1000.0", "New York", "1"), ("2024-01-05", "20.0", "New York", "2"), ("2024-01-06", "30.0", "Pune", "0")]

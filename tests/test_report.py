@@ -37,6 +37,21 @@ def test_pivot_totals_come_from_rows(spark):
     assert made("count", "d")[1] == ("b", 1, 0, 1) and made("sum", "v")[2] == ("Total", 8.0, 2.0, 10.0)
 
 
+def test_number_formats_keep_decimals_and_patterns(spark, tmp_path):
+    """The formats that a plan asks for stand in the file, each at its column."""
+    import re
+
+    df = spark.createDataFrame([(1, 1234567.5, 2.25, 3.5)], "id int, a double, b double, c double").withColumn("d", F.lit("2025-01-02").cast("date"))
+    steps = [{"op": "number_format", "columns": ["a"], "style": "rupees"}, {"op": "number_format", "columns": ["b"], "style": "decimals", "decimals": 3}, {"op": "number_format", "columns": ["c"], "style": "decimals", "decimals": 0}, {"op": "number_format", "columns": ["d"], "style": "date", "date_pattern": "yyyy-mm"}]
+    path = str(tmp_path / "f.xlsx")
+    write_workbook(run_plan(sheet_of(df, ["id"]), steps), path)
+    with zipfile.ZipFile(path) as book:
+        page, styles = (book.read(f"xl/{n}.xml").decode() for n in ("worksheets/sheet1", "styles"))
+    codes = [re.sub("&quot;|&gt;", lambda m: {"&quot;": '"', "&gt;": ">"}[m[0]], c) for c in re.findall(r"""formatCode=["'](.*?)["']/>""", styles)]
+    of = {c: codes[int(s) - 2] for c, s in re.findall(r'<c r="([A-E])2" s="(\d+)"', page)}
+    assert of == {"B": '[>=10000000]"₹"##\\,##\\,##\\,##0.00;[>=100000]"₹"##\\,##\\,##0.00;"₹"#,##0.00', "C": "#,##0.000", "D": "#,##0", "E": "yyyy-mm"}
+
+
 def test_highlights_fill_cells(rows, tmp_path):
     out = run_plan(rows, [{"op": "top_n", "n": 3}, {"op": "highlight", "when": {"conditions": [{"column": "id", "operator": "equals", "value": 1}]}, "color": "dark green", "column": "v"}])
     path = str(tmp_path / "h.xlsx")

@@ -93,3 +93,21 @@ def test_groups_are_cut_before_the_shuffle(spark, plan):
     df = spark.range(1000).select("id", F.when(F.col("id") % 100 == 0, F.col("id").cast("string")).otherwise("hot").alias("k"), (F.col("id") % 10).alias("v"))
     shown = run_plan(sheet_of(df, ["id"]), plan).df._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in shown and "Partial" in shown
+
+
+def test_head_of_delimited_text_and_sql_over_files(spark, tmp_path):
+    from planframe.sheet import main_sheet, sheet_of
+    from planframe.sources.delimited import head_of, run_sql_on_files
+
+    path, other = tmp_path / "big.csv", tmp_path / "p.parquet"
+    path.write_text("\ufeffId; Name ;Name\n" + "".join(f"{i};n{i % 7};x\n" for i in range(5000)))
+    head = head_of(spark, str(path))
+    assert head["headers"] == ["Id", "Name", "Name (2)"] and head["delimiter"] == ";" and abs(head["rows"] - 5000) < 1000
+    few = tmp_path / "few.csv"
+    few.write_text("a,b\n1,2\n\n3,4\n")
+    (tmp_path / "none.csv").write_text("")
+    assert head_of(spark, str(few))["rows"] == 2 and head_of(spark, str(tmp_path / "none.csv"))["headers"] == []
+    spark.createDataFrame([("n1", 5)], "name string, w int").write.parquet(str(other))
+    out = run_sql_on_files(spark, "SELECT sum(Id) AS s, max(w) AS w FROM big JOIN p ON big.Name = p.name", {"big": str(path), "p": str(other)})
+    assert tuple(out.first()) == (sum(i for i in range(5000) if i % 7 == 1), 5)
+    assert main_sheet({"a": sheet_of(spark.range(2).toDF("x"), ["x"]), "b": sheet_of(spark.range(5).toDF("x"), ["x"])}) == "b"
