@@ -76,6 +76,34 @@ def test_quality_rules_equal_brute_force(spark, hard, labels):
         assert r["base_failed"] == failed and r["kept"] == (not failed and r["score"] >= -0.75)
 
 
+def ratio_brute(rows, good, bits=16):
+    """Scores by counting hashed words and pairs with dictionaries; one text after another."""
+    import numpy as np
+    import pyarrow as pa
+
+    def buckets(text):
+        part = next(quality_rules.T.buffers(pa.array([text])))
+        h = [int(x) for x in quality_rules.T.words(part, quality_rules.T.WHITE).hash]
+        mixed = [int(quality_rules.T.mix(np.array([(a * 0x9E3779B97F4A7C15 + b) % 2**64], np.uint64))[0]) for a, b in zip(h, h[1:])]
+        return [x >> 64 - bits for x in h + mixed]
+
+    raw, trusted = Counter(), Counter()
+    for i, text in rows:
+        raw.update(buckets(text))
+        if i in good:
+            trusted.update(buckets(text))
+    total, own = sum(raw.values()) + 2**bits, sum(trusted.values()) + 2**bits
+    ratio = lambda b: math.log2((trusted[b] + 1) / own) - math.log2((raw[b] + 1) / total)
+    return [(i, round(sum(map(ratio, found)) / len(found) if (found := buckets(text)) else 0.0, 7)) for i, text in rows]
+
+
+def test_quality_ratio_equals_brute_force(spark, hard, labels, empty):
+    got = Counter((r["doc_id"], round(r["score"], 7)) for r in rows_of(quality_rules.score_documents(hard, labels)))
+    want = Counter(ratio_brute([(r["doc_id"], r["text"] or "") for r in hard.collect()], {0, 13}))
+    assert got == want
+    assert {r["score"] for r in rows_of(quality_rules.score_documents(hard, labels.limit(0)))} == {0.0}
+
+
 def test_quality_ratio_separates_planted_junk(spark):
     docs = catalog.table(spark, DATA, "documents")
     labels = catalog.table(spark, DATA, "labels")
@@ -362,6 +390,52 @@ def test_classifier_grades_and_finds_toxic_text(spark, hard, labels, empty):
     assert quality_classifier.grade_documents(empty, model).count() == 0
 
 
+def test_classifier_fit_is_as_likely_as_a_search(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 2, (300, 3))
+    y = np.digitize(x @ [1.5, -1.0, 0.5] + rng.logistic(size=300), [-0.5, 1.0])
+    row, bucket = np.nonzero(x)
+
+    def likelihood(w, theta):
+        tail = 1 / (1 + np.exp(np.asarray(theta)[:, None] - (x @ w)[None, :]))
+        p = np.vstack([np.ones(300), tail]) - np.vstack([tail, np.zeros(300)])
+        return np.log(np.maximum(p[y, np.arange(300)], 1e-12)).mean()
+
+    model = quality_classifier.fit(row, bucket, y, bits=2, lasso=0.0, steps=800)
+    found = likelihood(model.weights[:3], model.thresholds)
+    best, step = np.array([0.0, 0.0, 0.0, -0.5, 1.0]), 1.0  # a search along the axes, with ever smaller steps
+    while step > 1e-4:
+        tried = [best + step * d for d in np.vstack([np.eye(5), -np.eye(5)])]
+        value = lambda v: likelihood(v[:3], v[3:]) if v[3] < v[4] else -9
+        top = max(tried, key=value)
+        best, step = (top, step) if value(top) > value(best) else (best, step / 2)
+    assert found > likelihood(best[:3], best[3:]) - 1e-3 and np.abs(model.weights[:3] - best[:3]).max() < 0.15
+
+
+def test_classifier_scores_hard_rows_by_its_formula(spark, hard):
+    """Expected grade and tail probability follow from weights and thresholds, row by row; absent grades have defined results."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    model = quality_classifier.Ordinal(rng.normal(size=1 << 16), np.array([-1.0, 0.5]), np.array([0, 1, 3]))
+    clash = hard.withColumn("raw_score", F.lit("x")).withColumn("kept", F.lit(1))
+    want = Counter()
+    for r in hard.select("doc_id", "text").collect():
+        _, bucket = quality_classifier.features(next(quality_classifier.T.buffers(pa.array([r["text"] or ""]))), 16)
+        raw = model.weights[bucket].sum()
+        one, two = (1 / (1 + math.exp(t - raw)) for t in model.thresholds)
+        want[r["doc_id"], round(raw, 6), round(one + 2 * two, 6), round(two, 6), two >= 0.75] += 1
+    got = Counter((r["doc_id"], round(r["raw_score"], 6), round(r["expected_grade"], 6), round(r["tail_prob"], 6), r["kept"]) for r in rows_of(quality_classifier.grade_documents(clash, model, select_grade=2)))
+    assert got == want
+    tails = lambda m, g: {(r["tail_prob"], r["kept"]) for r in rows_of(quality_classifier.grade_documents(hard, m, select_grade=g))}
+    assert tails(model, 4) == {(0.0, False)} and tails(model, 0) == {(1.0, True)}
+    single = quality_classifier.Ordinal(np.zeros(1 << 16), np.zeros(0), np.array([1]))
+    assert tails(single, 2) == {(0.0, False)} and tails(single, 1) == {(1.0, True)} and {r["expected_grade"] for r in rows_of(quality_classifier.grade_documents(hard, single))} == {1.0}
+
+
 # --- 5
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style><script>var a="<p>no</p>";</script></head><body class="has-sidebar">
 <header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></ul></nav><div id="cookie-notice">We use cookies</div>{main}
@@ -653,17 +727,80 @@ def test_filter_reads_no_count_too_low_and_few_too_high():
 
 
 # --- pipeline
-def test_pipeline_stages(spark, tmp_path):
+def test_pipeline_stages_equal_brute_force(spark, tmp_path, hard):
+    """Each stage on what its predecessor kept, hard rows among the documents, against plain Python."""
     import corpus_pipeline
 
-    docs = catalog.table(spark, DATA, "documents")
-    n = docs.count()
+    labels = catalog.table(spark, DATA, "labels")
+    bench = {r["item_id"]: r["text"] for r in catalog.table(spark, DATA, "benchmark").collect()}
+    docs = catalog.table(spark, DATA, "documents").unionByName(hard.filter("doc_id is null or doc_id > 5").select("doc_id", "text", "lang", "source", "n_chars").withColumn("doc_id", F.col("doc_id") + 100_000)).withColumn("extra", F.lit("kept"))
+    docs.write.parquet(str(tmp_path / "in"))
+    docs = spark.read.parquet(str(tmp_path / "in"))
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]
         stage(spark, docs, DATA).write.parquet(str(tmp_path / str(k)))
         new = spark.read.parquet(str(tmp_path / str(k)))
         if k < 4:
             assert new.columns == docs.columns
-            if name != "mixing sources to target weights":
-                assert 0.5 * n < new.count() <= docs.count()
+        after = Counter((r["doc_id"], r["text"]) for r in new.collect()) if k < 4 else None
+        if k == 0:
+            scores = Counter(ratio_brute([(i, t or "") for i, t, _ in before], {r["doc_id"] for r in labels.filter("quality = 1 and toxic = 0").collect()}))
+            kept = Counter()
+            for i, t, _ in before:
+                words, _, _, _, again = base_rules(t)
+                score = next(x for j, x in scores if j == i and scores[j, x]) if sum(1 for j, _ in scores if j == i) == 1 else None
+                kept[i, t] += words >= 20 and 100 * again <= 30 * words and (score is None or score >= -0.75)
+            assert after == +kept
+        elif k == 1:
+            classes = {(i, t): c for (i, t, _), c in zip(before, jaccard_labels([(i, t) for i, t, _ in before]))}
+            assert set(after) <= set(classes) and Counter(classes[x] for x in after.elements()) == Counter(set(classes.values()))
+            assert all(x[0] == min(j for (j, _), c in classes.items() if c == classes[x]) for x in after)
+        elif k == 2:
+            grams = {tuple(w[i : i + min(10, len(w))]) for t in bench.values() if (w := PLAIN.findall(low(t or ""))) for i in range(len(w) - min(10, len(w)) + 1)}
+            hit = lambda t: any(tuple(w[i : i + n]) in grams for w in [PLAIN.findall(low(t or ""))] for n in {len(g) for g in grams} for i in range(len(w) - n + 1))
+            assert after == Counter((i, t) for i, t, _ in before if not hit(t))
+        elif k == 3:
+            assert set(after) == {(i, t) for i, t, _ in before} and max(after.values()) <= 2
+            size, used = Counter(), Counter()
+            for i, t, s in before:
+                size[s] += len(WHITE.findall(t or ""))
+                used[s] += len(WHITE.findall(t or "")) * after[i, t]
+            longest = max(len(WHITE.findall(t or "")) for _, t, _ in before)
+            largest, least = max(size.values()), min(size.values())
+            a = max(0.0, 1 - math.log(2) / math.log(largest / least)) if largest > 2 * least else 0.0
+            assert all(size[s] * (largest / size[s]) ** (1 - a) - longest - 1 <= used[s] <= size[s] * (largest / size[s]) ** (1 - a) + 1 for s in size)
+        else:
+            assert Counter(r["doc_id"] for r in new.collect()) == Counter(i for i, _, _ in before)
+            loads, slots = Counter(), {}
+            for r in new.collect():
+                loads[r["shard"]] += r["size"]
+                slots.setdefault(r["shard"], []).append(r["slot"])
+            assert all(sorted(x) == list(range(len(x))) for x in slots.values()) and max(loads.values()) <= math.ceil(1.001 * sum(loads.values()) / 8) + max(r["size"] for r in new.collect())
         docs = new
-    assert docs.count() == corpus_pipeline.run(spark, DATA).count()
+    assert corpus_pipeline.run(spark, DATA).count() > 0
+
+
+def jaccard_labels(rows, n=5, threshold=0.8):
+    """The number of the class of each row; a row without a word is its own."""
+    words = [PLAIN.findall(low(t or "")) for _, t in rows]
+    sets = [frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset() for w in words]
+    label = list(range(len(rows)))
+    changed = True
+    while changed:
+        changed = False
+        for i in range(len(rows)):
+            for j in range(i):
+                if label[i] != label[j] and sets[i] and len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]) - 1e-9:
+                    old, new = max(label[i], label[j]), min(label[i], label[j])
+                    label = [new if x == old else x for x in label]
+                    changed = True
+    return label
+
+
+def test_pipeline_on_an_empty_table(spark):
+    import corpus_pipeline
+
+    docs = catalog.table(spark, DATA, "documents").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, DATA)
+    assert docs.count() == 0
