@@ -446,7 +446,7 @@ class Compiler:
             c = columns[0]
             k = V.kind_of(self.df, c)
             x = V.to_number(V.col(c), k) if k in ("number", "bool") else F.lit(None).cast("double")
-            agg = {"sum": F.coalesce(F.sum(x), F.lit(0.0)), "average": F.avg(x), "min": F.coalesce(F.min(x), F.lit(0.0)), "max": F.coalesce(F.max(x), F.lit(0.0)), "count": F.count(x).cast("double"), "counta": F.count(F.when(~V.is_blank(V.col(c), k), 1)).cast("double"), "median": F.median(x)}[name]
+            agg = {"sum": F.coalesce(F.sum(x), F.lit(0.0)), "average": F.avg(x), "min": F.coalesce(F.min(x), F.lit(0.0)), "max": F.coalesce(F.max(x), F.lit(0.0)), "count": F.count(x).cast("double"), "counta": F.count(F.when(~V.is_blank(V.col(c), k), 1)).cast("double"), "median": ("median", x)}[name]
             v = F.lit(self.total(f"{name}:{c}", agg)).cast("double")
             return self.cell("num", v, F.when(v.isNull(), DIV if name == "average" else NUM))
         cells = [self.compile(a) for a in args]
@@ -733,6 +733,19 @@ class Compiler:
         return self._conditional([(c, n)], find_column(self.df, (value or c)[1]), "average")
 
 
+def median(df: DataFrame, x: Column) -> float | None:
+    """The exact median. Values are counted first, then their counts are summed along the values, range by range: no task holds all."""
+    from ..lineage import scan
+
+    counted = df.select(x.alias("v")).filter("v is not null").groupBy("v").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    ran = scan(counted, [], [F.col("v").asc()], ["n"], "sum", ["upto"])
+    half = ran.agg(F.max("upto")).first()[0]
+    if half is None:
+        return None
+    low, high = ran.agg(*[F.min(F.when(F.col("upto") >= k, F.col("v"))) for k in ((half + 1) // 2, half // 2 + 1)]).first()
+    return (low + high) / 2
+
+
 def formula(df: DataFrame, text: str, today: Column | None = None) -> tuple[DataFrame, Cell]:
     """``df`` (with helper columns where criteria are joined) and the formula's cell."""
     tree = parse(text)
@@ -740,8 +753,9 @@ def formula(df: DataFrame, text: str, today: Column | None = None) -> tuple[Data
     compiler.compile(tree)
     if compiler.totals:
         names = list(compiler.totals)
-        row = df.agg(*[a.alias(f"t{i}") for i, a in enumerate(compiler.totals.values())]).first()
-        compiler.found = {n: row[i] for i, n in enumerate(names)}
+        plain = [n for n in names if isinstance(compiler.totals[n], Column)]
+        row = df.agg(*[compiler.totals[n].alias(f"t{i}") for i, n in enumerate(plain)]).first() if plain else ()
+        compiler.found = {n: row[i] for i, n in enumerate(plain)} | {n: median(df, compiler.totals[n][1]) for n in names if n not in plain}
     compiler.dry = False
     cell = compiler.compile(tree)
     value = F.round(cell.value, 10) if cell.kind == "num" else cell.value

@@ -111,6 +111,7 @@ for _part, _sql in {"year": "year(o_orderdate)::BIGINT", "quarter": "year(o_orde
 # --- order
 add("sort_multi", "supplier", [{"op": "sort", "columns": ["s_nationkey", "s_acctbal"], "ascending": False}, {"op": "top_n", "n": 40}, select("s_suppkey", "s_nationkey")], "SELECT s_suppkey, s_nationkey FROM supplier ORDER BY s_nationkey DESC NULLS LAST, s_acctbal DESC NULLS LAST, s_suppkey LIMIT 40")
 add("sort_all", "supplier", [{"op": "sort", "columns": ["s_nationkey", "s_acctbal"], "ascending": False}, {"op": "compute", "name": "one", "expr": "1"}, {"op": "calculate", "kind": "running_total", "column": "one", "name": "place"}, select("s_suppkey", "place")], "SELECT s_suppkey, (row_number() OVER (ORDER BY s_nationkey DESC, s_acctbal DESC, s_suppkey))::DOUBLE AS place FROM supplier")
+add("sort_full", "lineitem", [{"op": "sort", "columns": ["l_extendedprice"], "ascending": False}, LINE], f"SELECT {L} FROM lineitem", after=lambda sheet: sheet.output())
 add("sort_blanks_last", "customer", [{"op": "sort", "columns": ["segment"]}, {"op": "compute", "name": "one", "expr": "1"}, {"op": "calculate", "kind": "running_total", "column": "one", "name": "place"}, select("c_custkey", "place")], f"SELECT c_custkey, (row_number() OVER (ORDER BY CASE WHEN trim(segment) <> '' THEN segment END NULLS LAST, c_custkey))::DOUBLE AS place FROM {DIRTY_SQL}", before=DIRTY)
 add("top_n", "lineitem", [{"op": "top_n", "n": 25, "column": "l_extendedprice"}, LINE], f"SELECT {L} FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 25")
 add("bottom_n", "lineitem", [{"op": "top_n", "n": 25, "column": "l_extendedprice", "largest": False}, LINE], f"SELECT {L} FROM lineitem ORDER BY l_extendedprice, l_orderkey, l_linenumber LIMIT 25")

@@ -28,6 +28,15 @@ def test_long_groups_agree_with_windows(rows, monkeypatch, per, down):
     assert short[0]["v"] == (None if down else 7.0) and short[1]["run"] == 7.0
 
 
+@pytest.mark.parametrize("size", [10, 1_000_000])
+def test_medians_of_many_values(spark, rows, monkeypatch, size):
+    from planframe.functions.formula import median
+
+    monkeypatch.setattr(lineage, "WINDOW_ROWS", size)
+    assert median(rows.df, F.col("id").cast("double")) == 199.5 and median(rows.df.filter("id < 7"), F.col("id").cast("double")) == 3 and median(rows.df.limit(0), F.col("v")) is None
+    assert median(rows.df, F.col("v")) == rows.df.agg(F.median("v")).first()[0]
+
+
 def test_pivot_totals_come_from_rows(spark):
     df = spark.createDataFrame([(1, "a", "x", 1.0, "2/1/2025"), (2, "a", "y", 2.0, "1/12/2024"), (3, "b", "x", 6.0, None), (4, "b", "x", 1.0, "2/1/2025")], "id int, r string, c string, v double, d string")
     made = lambda func, v: [tuple(x) for x in run_plan(sheet_of(df, ["id"]), [{"op": "pivot", "rows": ["r"], "columns": ["c"], "values": v, "func": func}]).output().collect()]
