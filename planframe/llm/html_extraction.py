@@ -10,8 +10,8 @@ one template: the next one that differs is taken instead, past any number of equ
 Shared lines are deleted. Prior and differencing decide together:
 
 - ``open``: deleted where the nearest sibling shares the line, or two others do.
-- ``main``: deleted where at least three siblings, and three quarters of those tried, share the line: a line of the
-  template inside the article. A passage that one or two pages quote stays.
+- ``main``: deleted where at least four siblings, and three quarters of those tried, share the line at the same place, counted from the
+  beginning or from the end of the article: a line of the template inside it. Passages that articles quote stay, however many do.
 - ``soft``: deleted; but on a page without an article element and without any other text that is kept, the longest
   run of such blocks in one element that no sibling shares is the article.
 - ``out``: deleted.
@@ -236,7 +236,7 @@ def _closeness(a: str, b: str) -> int:
 
 
 def shared_lines(entries: list[dict], k: int, look: int, siblings: int) -> tuple[list[bool], list[int], int]:
-    """Which blocks of entry k its nearest sibling shares, how many siblings share each, and how many there are."""
+    """Which blocks of entry k its nearest sibling shares, how many siblings share each (inside articles: at its place), and how many there are."""
     page = entries[k]
     nearest, times, tried = [False] * len(page["texts"]), [0] * len(page["texts"]), 0
     if not page["host"]:
@@ -250,19 +250,27 @@ def shared_lines(entries: list[dict], k: int, look: int, siblings: int) -> tuple
         if size > COPY_SHARE * max(1, min(page["inside"], other["inside"])):
             continue
         tried += 1
-        for i, _ in pairs:
-            times[i] += 1
+        for i, j in pairs:
+            a, b = page["places"][i], other["places"][j]
+            times[i] += page["zones"][i] != "main" or a[0] == b[0] or a[1] == b[1]
             nearest[i] |= tried == 1
         if tried == siblings:
             break
     return nearest, times, tried
 
 
+def places(zones: list[str]) -> list[tuple[int, int]]:
+    """The place of each block among those of the article, from its beginning and from its end; -1 for others."""
+    at = [i for i, z in enumerate(zones) if z == "main"]
+    of = {i: (k, len(at) - k) for k, i in enumerate(at)}
+    return [of.get(i, (-1, -1)) for i in range(len(zones))]
+
+
 def text_of(zones: list[str], texts: list[str], nearest: list[bool], times: list[int], tried: int, has_main: bool) -> tuple[str, int]:
     """The text of a page, and how many of its blocks differencing decided."""
     keep, decided = [], 0
     for zone, near, n in zip(zones, nearest, times):
-        template = n >= 3 and 4 * n >= 3 * tried
+        template = n >= 4 and 4 * n >= 3 * tried
         keep.append(zone == "main" and not template or zone == "open" and not (near or n > 1))
         decided += zone == "open" and tried > 0 or zone == "main" and template
     if not has_main and not any(keep):
@@ -319,7 +327,7 @@ def ranges(keyed: DataFrame, reach: int, per_range: int, most: int) -> tuple[lis
     return [h[0] for h in heads], low, high
 
 
-def extract(pages: DataFrame, reach: int = 8, siblings: int = 4, per_range: int = 5_000, most_ranges: int = 50_000) -> DataFrame:
+def extract(pages: DataFrame, reach: int = 8, siblings: int = 6, per_range: int = 5_000, most_ranges: int = 50_000) -> DataFrame:
     """page_id, url, text, n_chars, n_blocks, n_shared (with the nearest sibling), n_decided for every row."""
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     number = F.lpad(F.coalesce(F.col("page_id").cast("string"), F.lit("")), 20, "0")
@@ -377,7 +385,7 @@ def extract(pages: DataFrame, reach: int = 8, siblings: int = 4, per_range: int
                     blocks, has_main = json.loads(zlib.decompress(row["packed"]))
                     zones, texts = [z for z, _ in blocks], [t for _, t in blocks]
                     inside = sum(len(t) for z, t in blocks if z in ("main", "open"))
-                    held.append({"host": host, "path": path, "packed": row["packed"], "zones": zones, "texts": texts, "inside": inside, "has_main": has_main, "rows": []})
+                    held.append({"host": host, "path": path, "packed": row["packed"], "zones": zones, "texts": texts, "places": places(zones), "inside": inside, "has_main": has_main, "rows": []})
                 if row["own"]:
                     held[-1]["rows"].append((row["page_id"], row["url"]))
                 if len(held) >= 256:

@@ -140,8 +140,22 @@ def jaccard_brute(rows, n=5, threshold=0.8):
     return Counter(out)
 
 
-@pytest.mark.parametrize("sizes", [{}, {"small": 2, "block": 2}, {"small": 2, "block": 3, "alike": 2.0}])
-def test_jaccard_join_equals_brute_force(spark, hard, sizes):
+def test_spread_join_equals_a_plain_one(spark, monkeypatch):
+    from planframe.llm import joins
+
+    monkeypatch.setattr(joins, "TOGETHER", 3)
+    big = spark.createDataFrame([(None if i % 3 == 0 else i % 3 if i % 5 else i, i // 2) for i in range(60)] + [(1, 0)] * 5, "k long, x long")
+    small = spark.createDataFrame([(k, f"v{k}") for k in (1, 2, 5, 7)] + [(None, "never")], "k long, v string")
+    for how in ("inner", "left"):
+        assert Counter(joins.spread_join(big, small, "k", how).collect()) == Counter(big.join(small, "k", how).collect())
+
+
+@pytest.mark.parametrize("sizes", [{}, {"small": 2, "block": 2}, {"small": 2, "block": 3, "alike": 2.0}, {"small": 3, "block": 3, "together": 2}])
+def test_jaccard_join_equals_brute_force(spark, hard, sizes, monkeypatch):
+    from planframe.llm import joins
+
+    sizes = dict(sizes)
+    monkeypatch.setattr(joins, "TOGETHER", sizes.pop("together", 1000))
     base = [f"t{i}" for i in range(80)]
     near = [(100 + k, " ".join(base[:k] + [f"n{k}"] + base[k + 1 :])) for k in range(0, 78, 4)]
     rows = [(r["doc_id"], r["text"]) for r in hard.collect()] + near + near[:3]
@@ -167,6 +181,17 @@ def test_jaccard_keeps_one_of_each(spark, hard, empty):
     assert jaccard_join.runs_for(0.99, 0.8, 2) >= 2
 
 
+def test_filter_of_ids_lets_all_members_pass(spark, monkeypatch):
+    import numpy as np
+
+    ids = spark.range(0, 3000, 3).select(F.when(F.col("id") == 0, None).otherwise(F.col("id")).alias("id"))
+    hashes = lambda df: np.array([r[0] for r in df.select(F.xxhash64("id")).collect()])
+    words = jaccard_join.id_filter(ids)
+    assert jaccard_join._maybe(words, hashes(ids)).all() and jaccard_join._maybe(words, hashes(spark.range(10_000, 20_000))).mean() < 0.03
+    monkeypatch.setattr(jaccard_join, "MOST_ID_BITS", 64)  # full: all pass
+    assert jaccard_join._maybe(jaccard_join.id_filter(ids), hashes(spark.range(100))).all()
+
+
 def test_jaccard_runs_reach_the_recall_after_all_levels():
     import numpy as np
 
@@ -476,13 +501,13 @@ def test_long_menus_do_not_make_pages_copies(spark):
 def test_differencing_deletes_template_lines_inside_articles_and_keeps_quoted_ones(spark):
     """Without the neighbours the answer is another."""
     quoted = "We shall fight them on the beaches, said the old man, and nobody at the table answered him for a long while."
-    page = lambda i: f"<article><h1>Story {i}</h1><p>Read this story in our app</p><p>{'body ' * (8 + i)}</p>{f'<p>{quoted}</p>' if i in (3, 4) else ''}</article>"
+    page = lambda i: f"<article><h1>Story {i}</h1><p>Read this story in our app</p><p>{'body ' * (8 + i)}</p>{f'<p>{quoted}</p>' if i in (3, 4) else ''}{f'<p>part {i}</p>' * i}<p>As they say</p>{f'<p>end {i}</p>' * (9 - i)}</article>"
     rows = [(i, f"http://n.example/a/{i}", page(i)) for i in range(10)]
     got = {r["page_id"]: r for r in rows_of(html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")))}
     alone = rows_of(html_extraction.extract(spark.createDataFrame(rows[:1], "page_id long, url string, html string")))
-    assert alone[0]["text"] == "Story 0\nRead this story in our app\n" + "body " * 7 + "body"
+    assert alone[0]["text"] == "Story 0\nRead this story in our app\n" + "body " * 7 + "body\nAs they say" + "\nend 0" * 9
     for i in range(10):
-        assert got[i]["text"] == f"Story {i}\n" + ("body " * (8 + i)).strip() + (f"\n{quoted}" if i in (3, 4) else "") and got[i]["n_decided"] == 1
+        assert got[i]["text"] == f"Story {i}\n" + ("body " * (8 + i)).strip() + (f"\n{quoted}" if i in (3, 4) else "") + f"\npart {i}" * i + "\nAs they say" + f"\nend {i}" * (9 - i) and got[i]["n_decided"] == 1
 
 
 def test_siblings_are_found_past_many_equal_pages(spark):
@@ -515,7 +540,7 @@ def article_by_pattern(html):
 
 
 def test_html_extraction_equals_patterns_on_generated_pages(spark):
-    pages = catalog.table(spark, "/root/testdata/sf0.01", "pages")
+    pages = catalog.table(spark, "/root/testdata/sf0.1", "pages")
     got = {r["page_id"]: r for r in rows_of(html_extraction.extract(pages))}
     for r in pages.collect():
         assert got[r["page_id"]]["text"] == article_by_pattern(r["html"]), r["page_id"]
