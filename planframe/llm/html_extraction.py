@@ -11,7 +11,8 @@ Shared lines are deleted. Prior and differencing decide together:
 
 - ``open``: deleted where the nearest sibling shares the line, or two others do.
 - ``main``: deleted where at least four siblings, and three quarters of those tried, share the line at the same place, counted from the
-  beginning or from the end of the article: a line of the template inside it. Passages that articles quote stay, however many do.
+  beginning or from the end of the article: a line of the template inside it. Passages that articles quote stay, however many do; so does
+  a line that begins with the page's title, or with which the title begins (``named``).
 - ``soft``: deleted; but on a page without an article element and without any other text that is kept, the longest
   run of such blocks in one element that no sibling shares is the article.
 - ``out``: deleted.
@@ -58,6 +59,7 @@ MAIN_WORDS = {"article", "main"}
 #: Elements that an opening element ends, for those without an end tag.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 COPY_SHARE = 0.7
+TEXT_ZONES = ("main", "named", "open")
 COLUMNS = ["page_id", "url", "text", "n_chars", "n_blocks", "n_shared", "n_decided"]
 
 
@@ -71,6 +73,7 @@ class Blocks(HTMLParser):
         self.held: list[str] = []
         self.silent = 0
         self.has_main = False
+        self.title = ""
 
     def zone(self) -> str:
         zone, soft, heading = "open", "", False
@@ -153,6 +156,8 @@ class Blocks(HTMLParser):
     def handle_data(self, data):
         if not self.silent:
             self.held.append(data)
+        elif self.stack and self.stack[-1][0] == "title":
+            self.title += data
 
 
 def blocks_of(html: str) -> tuple[list[tuple[str, str]], bool]:
@@ -161,7 +166,9 @@ def blocks_of(html: str) -> tuple[list[tuple[str, str]], bool]:
     parser.feed(html)
     parser.close()
     parser.flush()
-    return parser.blocks, parser.has_main
+    title = " ".join(parser.title.split())
+    named = lambda text: title and (text.startswith(title) or title.startswith(text))
+    return [("named" if z == "main" and named(t) else z, t) for z, t in parser.blocks], parser.has_main
 
 
 #: Bits that one alignment may hold; longer pages are aligned in halves.
@@ -246,7 +253,7 @@ def shared_lines(entries: list[dict], k: int, look: int, siblings: int) -> tuple
     for j in near:
         other = entries[j]
         pairs = common(page["texts"], other["texts"])
-        size = sum(len(page["texts"][i]) for i, _ in pairs if page["zones"][i] in ("main", "open"))
+        size = sum(len(page["texts"][i]) for i, _ in pairs if page["zones"][i] in TEXT_ZONES)
         if size > COPY_SHARE * max(1, min(page["inside"], other["inside"])):
             continue
         tried += 1
@@ -261,7 +268,7 @@ def shared_lines(entries: list[dict], k: int, look: int, siblings: int) -> tuple
 
 def places(zones: list[str]) -> list[tuple[int, int]]:
     """The place of each block among those of the article, from its beginning and from its end; -1 for others."""
-    at = [i for i, z in enumerate(zones) if z == "main"]
+    at = [i for i, z in enumerate(zones) if z in ("main", "named")]
     of = {i: (k, len(at) - k) for k, i in enumerate(at)}
     return [of.get(i, (-1, -1)) for i in range(len(zones))]
 
@@ -271,7 +278,7 @@ def text_of(zones: list[str], texts: list[str], nearest: list[bool], times: list
     keep, decided = [], 0
     for zone, near, n in zip(zones, nearest, times):
         template = n >= 4 and 4 * n >= 3 * tried
-        keep.append(zone == "main" and not template or zone == "open" and not (near or n > 1))
+        keep.append(zone == "named" or zone == "main" and not template or zone == "open" and not (near or n > 1))
         decided += zone == "open" and tried > 0 or zone == "main" and template
     if not has_main and not any(keep):
         best, run, size = [], [], 0
@@ -384,7 +391,7 @@ def extract(pages: DataFrame, reach: int = 8, siblings: int = 6, per_range: int
                 if not same:
                     blocks, has_main = json.loads(zlib.decompress(row["packed"]))
                     zones, texts = [z for z, _ in blocks], [t for _, t in blocks]
-                    inside = sum(len(t) for z, t in blocks if z in ("main", "open"))
+                    inside = sum(len(t) for z, t in blocks if z in TEXT_ZONES)
                     held.append({"host": host, "path": path, "packed": row["packed"], "zones": zones, "texts": texts, "places": places(zones), "inside": inside, "has_main": has_main, "rows": []})
                 if row["own"]:
                     held[-1]["rows"].append((row["page_id"], row["url"]))

@@ -510,6 +510,12 @@ def test_differencing_deletes_template_lines_inside_articles_and_keeps_quoted_on
         assert got[i]["text"] == f"Story {i}\n" + ("body " * (8 + i)).strip() + (f"\n{quoted}" if i in (3, 4) else "") + f"\npart {i}" * i + "\nAs they say" + f"\nend {i}" * (9 - i) and got[i]["n_decided"] == 1
 
 
+def test_lines_of_the_title_stay_even_where_siblings_share_them(spark):
+    page = lambda i: f"<head><title>Daily news</title></head><article><h1>Daily news of the town</h1><p>Read on</p><p>{'text ' * (i + 9)}</p></article>"
+    pages = spark.createDataFrame([(i, f"http://d.example/{i}", page(i)) for i in range(9)], "page_id long, url string, html string")
+    assert all(r["text"] == "Daily news of the town\n" + ("text " * (r["page_id"] + 9)).strip() for r in rows_of(html_extraction.extract(pages)))
+
+
 def test_siblings_are_found_past_many_equal_pages(spark):
     page = lambda i: f"<div><p>Welcome to our site</p><p>Body number {i} {'y' * 40 * (i + 1)}</p></div>"
     rows = [(i, f"http://e.example/{i:03d}", page(0 if 5 <= i < 45 else i)) for i in range(50)] + [(100, "http://e.example/000", page(0)), (100, "http://e.example/000", page(0))]
