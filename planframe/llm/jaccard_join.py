@@ -13,7 +13,7 @@ most ``block`` sets against ``block`` sets, each pair of blocks its own task's w
 similarity of every pair is computed. A pair met in several nodes counts in the node of smallest name
 only, so links are counted exactly once without writing pairs down; from each block pair only one row a
 class leaves: its links, and the smallest class it reaches there. Connected classes are found from these
-stars by passing on the smallest label, with pointer jumping.
+stars by passing on the smallest label, with pointer jumping. Joins on copies, classes and hubs of stars spread frequent keys.
 
 Defined results. Texts without a word form no links: each is its own class (class_id is its doc_id,
 n_links 0). Fewer than n words: all its words are one n-gram. Repeated rows are copies of each other.
@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from . import text as T
 from .arrow import runs_of
+from .joins import spread_join
 from .storage import fresh, materialise, text_or_empty
 
 LEVELS = 4
@@ -98,11 +99,35 @@ def signatures(docs: DataFrame, n: int, orders: int, id_column: str = "doc_id",
     return named.mapInArrow(sign, "doc_id long, text_key long, set_key long, n_set long, mins array<long>")
 
 
-def token_sets(docs: DataFrame, n: int, id_column: str = "doc_id") -> DataFrame:
-    """doc_id, set_key, and the set as 48-bit hashes, packed."""
+#: Bits of the filter of ids at most (16 MB): with more ids it lets more others pass, which costs work and changes nothing.
+MOST_ID_BITS = 1 << 27
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """Words of a Bloom filter of the first column's hashes, two bits each, put together on Spark; at most MOST_ID_BITS come to the driver."""
+    n = ids.count()
+    size = min(MOST_ID_BITS, max(1 << 10, 1 << (16 * n).bit_length()))
+    h = F.xxhash64(ids.columns[0])
+    at = ids.select(F.explode(F.array(h.bitwiseAND(size - 1), F.shiftrightunsigned(h, 32).bitwiseAND(size - 1))).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("i")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("w")).toArrow()
+    out = np.zeros(size >> 6, np.int64)
+    out[words.column("i").to_numpy()] = words.column("w").to_numpy()
+    return out
+
+
+def _maybe(words: np.ndarray, h: np.ndarray) -> np.ndarray:
+    size = len(words) << 6
+    has = lambda at: (words[at >> 6] >> (at & 63)) & 1
+    return (has(h & (size - 1)) & has((h >> 32) & (size - 1))).astype(bool)
+
+
+def token_sets(docs: DataFrame, n: int, ids: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """doc_id, set_key, and the set as 48-bit hashes, packed; of the rows whose id is in ``ids``, and few others."""
+    known = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
 
     def pack(batches):
         for batch in batches:
+            batch = batch.filter(pa.array(_maybe(known.value, batch.column(2).to_numpy())))
             for part in T.buffers(batch.column(1)):
                 gram, rows, first, key = _by_row(part, n)
                 small = np.ascontiguousarray(gram).view(np.uint8).reshape(-1, 8)[:, 2:]
@@ -110,8 +135,8 @@ def token_sets(docs: DataFrame, n: int, id_column: str = "doc_id") -> DataFrame:
                 packed = [small[ends[i] : ends[i + 1]].tobytes() for i in range(len(rows))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, part.rows).take(pa.array(rows)), pa.array(key), pa.array(packed, pa.binary())], ["doc_id", "set_key", "tokens"])
 
-    pairs = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_or_empty(docs).alias("text"))
-    return pairs.mapInArrow(pack, "doc_id long, set_key long, tokens binary")
+    doc_id = F.col(id_column).cast("long")
+    return docs.select(doc_id.alias("doc_id"), text_or_empty(docs).alias("text"), F.xxhash64(doc_id).alias("hash")).mapInArrow(pack, "doc_id long, set_key long, tokens binary")
 
 
 def leaves(classes: DataFrame, runs: int, branches: int, small: int, alike: float) -> DataFrame:
@@ -225,8 +250,8 @@ def _join_block(table: pa.Table, threshold: float) -> tuple[np.ndarray, ...] | N
 def links(classes: DataFrame, found: DataFrame, docs: DataFrame, n: int, threshold: float, block: int, id_column: str) -> DataFrame:
     """set_key, linked_sets, linked_rows, reach: one row a class and pair of blocks."""
     per_set = found.groupBy("set_key").agg(F.collect_list(F.struct("node", "n_sets")).alias("at"))
-    members = per_set.join(classes.select("set_key", "first_id", "n_rows"), "set_key")
-    sets = token_sets(docs, n, id_column)
+    members = materialise(per_set.join(classes.select("set_key", "first_id", "n_rows"), "set_key"))
+    sets = token_sets(docs, n, members.select("first_id"), id_column)
     same = (members.set_key == sets.set_key) & members.first_id.eqNullSafe(sets.doc_id)
     placed = (
         members.join(sets, same)
@@ -252,10 +277,10 @@ def components(edges: DataFrame, a: str = "set_key", b: str = "reach") -> DataFr
     both = materialise(one.unionByName(one.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     labels = materialise(both.groupBy("u").agg(F.least("u", F.min("v")).alias("label")))
     while True:
-        near = both.join(labels.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
-        stepped = labels.join(near, "u").select("u", "label", F.least("label", "near").alias("next"))
+        near = spread_join(both, labels.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
+        stepped = materialise(labels.join(near, "u").select("u", "label", F.least("label", "near").alias("next")))
         jump = stepped.select(F.col("u").alias("next"), F.col("next").alias("far"))
-        new = materialise(stepped.join(jump, "next").select("u", "label", F.least("next", "far").alias("next")))
+        new = materialise(spread_join(stepped, jump, "next").select("u", "label", F.least("next", "far").alias("next")))
         if new.filter("label <> next").isEmpty():
             return new.select(F.col("u").alias("key"), "label")
         labels = new.select("u", F.col("next").alias("label"))
@@ -282,10 +307,10 @@ def similar_documents(docs: DataFrame, **parameters) -> DataFrame:
     signed, named, edges = _labelled(docs, False, **parameters)
     counts = edges.groupBy("set_key").agg(F.sum("linked_sets").alias("linked_sets"), F.sum("linked_rows").alias("linked_rows"))
     lowest = named.groupBy("label").agg(F.min("first_id").alias("class_id"))
-    named = named.join(lowest, "label").join(counts, "set_key", "left").select(
+    named = spread_join(named, lowest, "label").join(counts, "set_key", "left").select(
         F.col("set_key"), "class_id", (F.coalesce("linked_rows", F.lit(0)) + F.col("n_rows") - 1).cast("long").alias("n_links"), F.coalesce("linked_sets", F.lit(0)).cast("long").alias("n_linked_texts"), F.col("n_rows").alias("n_copies")
     )
-    return signed.select("doc_id", "set_key").join(named, "set_key", "left").select(
+    return spread_join(signed.select("doc_id", "set_key"), named, "set_key", "left").select(
         "doc_id",
         F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
@@ -303,9 +328,9 @@ def one_of_each(docs: DataFrame, **parameters) -> DataFrame:
     """
     signed, named, _ = _labelled(docs, True, **parameters)
     rows = signed.filter("set_key is not null").groupBy("doc_id", "text_key", "set_key").agg(F.count("*").alias("times"))
-    placed = rows.join(named.select("set_key", "label"), "set_key").withColumn("place", F.struct(F.col("doc_id").isNull(), "doc_id", "text_key"))
+    placed = spread_join(rows, named.select("set_key", "label"), "set_key").withColumn("place", F.struct(F.col("doc_id").isNull(), "doc_id", "text_key"))
     best = placed.groupBy("label").agg(F.min("place").alias("best"))
-    judged = materialise(placed.join(best, "label").select("doc_id", "text_key", "times", (F.col("place") == F.col("best")).alias("stays")))
+    judged = materialise(spread_join(placed, best, "label").select("doc_id", "text_key", "times", (F.col("place") == F.col("best")).alias("stays")))
     row_id, row_key = fresh(docs.columns, "row_id", "row_key")
     match = F.col("doc_id").eqNullSafe(F.col(row_id)) & (F.xxhash64(text_or_empty(docs)) == F.col(row_key))
     of = lambda which: judged.filter(which).select(F.col("doc_id").alias(row_id), F.col("text_key").alias(row_key))
