@@ -78,6 +78,7 @@ PARTS = {
     "weekday": lambda d: F.date_format(d, "EEEE"),
     "day": lambda d: F.date_format(d, "yyyy-MM-dd"),
 }
+#: Days in the order of the week.
 WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 
 

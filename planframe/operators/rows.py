@@ -10,6 +10,10 @@ from ..lineage import fits_window, scan
 from ..sheet import PlanError, Sheet
 
 
+#: Fixed value: the share of dates from which a text column sorts as dates.
+DATES_SHARE = 0.8
+
+
 def sort_key(sheet: Sheet, name: str) -> Column:
     """Text that looks like dates sorts as dates, ordered labels in their order, blanks as NULL."""
     sheet.need(name)
@@ -22,11 +26,11 @@ def sort_key(sheet: Sheet, name: str) -> Column:
 
 
 def _dates(sheet: Sheet, name: str) -> bool:
-    """Whether over four fifths of the values read as dates and are not bare numbers; one aggregate over the column."""
+    """Whether over DATES_SHARE of the values read as dates and are not bare numbers; one aggregate over the column."""
     c = V.col(name)
     some = ~V.is_blank(c)
     read = sheet.df.agg(F.count(F.when(some, 1)), F.count(F.when(some & c.rlike("[0-9]") & ~c.rlike(r"^\s*[0-9]+\s*$"), V.read_date(c)))).first()
-    return read[0] > 0 and read[1] > 0.8 * read[0]
+    return read[0] > 0 and read[1] > DATES_SHARE * read[0]
 
 
 def sort(sheet: Sheet, step: dict, ctx) -> Sheet:
